@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -272,26 +270,15 @@ def arc_direction(a0, a1) -> Column:
 
 
 def nearest_standard(value, standards=None, tolerance: float = 6) -> Column:
-    """Nearest standard size as (value, within tolerance, delta); the first wins a tie."""
+    """Nearest standard size as (value, ok, delta); the first listed wins a tie."""
     value = col(value).cast("double")
     standards = STANDARD_WIDTHS if standards is None else standards
     if not standards:
         return F.struct(value.alias("value"), F.lit(False).alias("ok"), F.lit(0.0).alias("delta"))
-
-    def closer(best, size):
-        delta = F.abs(F.lit(float(size)) - value)
-        return F.when(best["delta"] <= delta, best).otherwise(F.struct(F.lit(float(size)).alias("value"), delta.alias("delta")))
-
-    first = F.struct(F.lit(float(standards[0])).alias("value"), F.abs(F.lit(float(standards[0])) - value).alias("delta"))
-    best = reduce(closer, standards[1:], first)
-    return F.struct(best["value"].alias("value"), (best["delta"] <= tolerance).alias("ok"), best["delta"].alias("delta"))
-
-
-def nearest_standard_width(value, tolerance: float = 6) -> Column:
-    """Same as :func:`nearest_standard` for wall widths, as one small array expression."""
-    value = col(value).cast("double")
-    sizes = F.array(*[F.lit(float(w)) for w in STANDARD_WIDTHS])
-    best = F.array_min(F.transform(sizes, lambda w: F.struct(F.abs(w - value).alias("delta"), w.alias("value"))))
+    sizes = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(w)).alias("w")) for i, w in enumerate(standards)])
+    best = F.array_min(
+        F.transform(sizes, lambda s: F.struct(F.abs(s["w"] - value).alias("delta"), s["i"].alias("i"), s["w"].alias("value")))
+    )
     return F.struct(best["value"].alias("value"), (best["delta"] <= tolerance).alias("ok"), best["delta"].alias("delta"))
 
 
