@@ -13,6 +13,11 @@ def col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value if isinstance(value, Column) else F.lit(value)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def point(x, y) -> Column:
     return F.struct(col(x).alias("x"), col(y).alias("y"))
 

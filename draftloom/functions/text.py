@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from draftloom.functions.geometry import col
+from draftloom.functions.geometry import col, let
 
 # Layer and block name patterns per element class.
 LAYER_PATTERNS = {
@@ -187,22 +187,31 @@ def title_text(text) -> Column:
 
 def title_score(text, layer, height, title) -> Column:
     """How much a text looks like the drawing's title; 0 without any sign of one."""
-    text, low, layer, height, title = F.trim(col(text)), F.lower(col(title)), F.lower(col(layer)), col(height), col(title)
-    words = [F.when(F.contains(low, F.lit(k)), 6.0 if len(k) >= 4 else 3.0).otherwise(0.0) for k in TITLE_KEYWORDS]
-    signals = [
-        F.when(layer.rlike("(title|name|图名|图签|标题)"), 4.0).otherwise(0.0),
-        F.when(title.rlike(r"(^|\s)[A-Z]?\d+[-~]?[A-Z]?\d*\s*(层|平面图)"), 4.0).otherwise(0.0),
-        F.when(text.rlike(r"^\s*(图名|图纸名称)\s*[:：]"), 8.0).otherwise(0.0),
-    ]
-    signal = reduce(lambda a, b: a + b, words + signals)
-    tall = F.when(height >= 200, F.least(F.lit(4.0), height / 150.0)).otherwise(0.0)
-    minus = (
-        F.when(low.rlike(r"^\s*(设计|校对|审核|审定|date|scale|project)\s*[:：]?"), 6.0).otherwise(0.0)
-        + F.when(low.rlike(r"(slope|1[:/]\d+|%|耐火等级|材料|标高)"), 8.0).otherwise(0.0)
-        + F.when((F.length(title) <= 4) & ~title.rlike("[图说明]"), 3.0).otherwise(0.0)
-    )
-    usable = F.length(title).between(2, 80) & (signal > 0)
-    return F.when(usable, signal + F.coalesce(tall, F.lit(0.0)) - minus).otherwise(0.0)
+    text, layer, height = F.trim(col(text)), F.lower(col(layer)), col(height)
+
+    def signs(p):
+        title, low = p["title"], p["low"]
+        words = [F.when(F.contains(low, F.lit(k)), 6.0 if len(k) >= 4 else 3.0).otherwise(0.0) for k in TITLE_KEYWORDS]
+        plus = [
+            F.when(layer.rlike("(title|name|图名|图签|标题)"), 4.0).otherwise(0.0),
+            F.when(title.rlike(r"(^|\s)[A-Z]?\d+[-~]?[A-Z]?\d*\s*(层|平面图)"), 4.0).otherwise(0.0),
+            F.when(text.rlike(r"^\s*(图名|图纸名称)\s*[:：]"), 8.0).otherwise(0.0),
+        ]
+        minus = (
+            F.when(low.rlike(r"^\s*(设计|校对|审核|审定|date|scale|project)\s*[:：]?"), 6.0).otherwise(0.0)
+            + F.when(low.rlike(r"(slope|1[:/]\d+|%|耐火等级|材料|标高)"), 8.0).otherwise(0.0)
+            + F.when((F.length(title) <= 4) & ~title.rlike("[图说明]"), 3.0).otherwise(0.0)
+        )
+        return F.struct(
+            F.length(title).between(2, 80).alias("usable"), reduce(lambda a, b: a + b, words + plus).alias("signal"), minus.alias("minus")
+        )
+
+    def total(s):
+        tall = F.when(height >= 200, F.least(F.lit(4.0), height / 150.0)).otherwise(0.0)
+        return F.when(s["usable"] & (s["signal"] > 0), s["signal"] + F.coalesce(tall, F.lit(0.0)) - s["minus"]).otherwise(0.0)
+
+    both = let(col(title), lambda x: F.struct(x.alias("title"), F.lower(x).alias("low")))
+    return let(let(both, signs), total)
 
 
 def keyword_score(text, keywords) -> Column:
@@ -301,7 +310,7 @@ def elevation_mm(value: Column) -> Column:
 
 def level_label(text: Column, value: Column) -> Column:
     """Level word standing last before a number; the first pattern that occurs decides."""
-    before = F.substring_index(plain_signs(text), F.trim(value), 1)
+    before = F.call_function("substring_index", plain_signs(text), F.trim(value), F.lit(1))
     patterns = [
         r"(?i)(地下?[一-龥\d]+?层)", r"(?i)([一-龥\d#]+?层)", "(屋面)", "(女儿墙)", "(室外地坪|室内地坪|地坪)",
         r"(?i)((?:roof|level|floor)\s*[A-Za-z0-9#\-]+)",
@@ -363,48 +372,57 @@ def facade_side(text) -> Column:
 
 def chinese_number(value) -> Column:
     """Digits, or Chinese numerals up to 99."""
-    text = F.trim(F.coalesce(col(value), F.lit("")))
-
     def digit(part):
         return F.when(F.length(part) == 1, F.instr(F.lit(CHINESE_DIGITS), part)).otherwise(0)
 
-    left, right = F.substring_index(text, "十", 1), F.substring_index(text, "十", -1)
-    return (
-        F.when(text.rlike(r"^\d+$"), text.try_cast("int"))
-        .when(text == "十", 10)
-        .when(text.startswith("十"), 10 + digit(F.substring(text, 2, 20)))
-        .when(F.contains(text, F.lit("十")), digit(left) * 10 + digit(right))
-        .when(digit(text) > 0, digit(text))
-    ).cast("int")
+    def read(text):
+        left, right = F.substring_index(text, "十", 1), F.substring_index(text, "十", -1)
+        return (
+            F.when(text.rlike(r"^\d+$"), text.try_cast("int"))
+            .when(text == "十", 10)
+            .when(text.startswith("十"), 10 + digit(F.substring(text, 2, 20)))
+            .when(F.contains(text, F.lit("十")), digit(left) * 10 + digit(right))
+            .when(digit(text) > 0, digit(text))
+        ).cast("int")
+
+    return let(F.trim(F.coalesce(col(value), F.lit(""))), read)
 
 
 def level_from_title(title, british: Column | bool = False) -> Column:
     """Storey of a plan from its title: key, name, number, confidence. NULL where none is named."""
-    text = F.translate(F.coalesce(col(title), F.lit("")), "－_", "- ")
     british = british if isinstance(british, Column) else F.lit(british)
-    word = F.lower(_found(text, rf"(?i)\b({'|'.join(ORDINALS)})\s+floor\b"))
-    ordinal = F.array_position(F.array(*map(F.lit, ORDINALS)), word).cast("int") + F.when(british, 1).otherwise(0)
-    below_raw = F.coalesce(_found(text, r"(?i)地下\s*([一二三四五六七八九十\d]+)\s*层"), _found(text, r"(?i)(?:地下\s*[一二三四五六七八九十\d]+\s*层|B\s*(\d+))"))
-    below = chinese_number(below_raw)
     shape = r"(?i)([一二三四五六七八九十\d]+)\s*层|([2-9]\d*)F|F([2-9]\d*)"
-    number = chinese_number(F.coalesce(_found(text, shape, 1), _found(text, shape, 2), _found(text, shape, 3)))
     names = F.array(*map(F.lit, list(CHINESE_DIGITS) + ["十"]))
-    shown = F.when(number.between(1, 10), F.try_element_at(names, number)).otherwise(number.cast("string"))
+
+    def parts(text):
+        word = F.lower(_found(text, rf"(?i)\b({'|'.join(ORDINALS)})\s+floor\b"))
+        below = F.coalesce(_found(text, r"(?i)地下\s*([一二三四五六七八九十\d]+)\s*层"), _found(text, r"(?i)B\s*(\d+)"))
+        return F.struct(
+            text.alias("text"),
+            (F.array_position(F.array(*map(F.lit, ORDINALS)), word).cast("int") + F.when(british, 1).otherwise(0)).alias("ordinal"),
+            chinese_number(below).alias("below"),
+            chinese_number(F.coalesce(_found(text, shape, 1), _found(text, shape, 2), _found(text, shape, 3))).alias("number"),
+        )
 
     def level(key, name, value, confidence):
         return F.struct(
             key.alias("key"), name.alias("name"), value.cast("int").alias("number"), F.round(confidence, 3).alias("confidence")
         )
 
-    return (
-        F.when(text.rlike(r"(?i)\bground\s+floor\b"), level(F.lit("L1"), F.lit("一层"), F.lit(1), F.lit(0.94)))
-        .when(word.isNotNull(), level(F.concat(F.lit("L"), ordinal), F.concat(F.lit("Level "), ordinal), ordinal, F.when(british, 0.94).otherwise(0.78)))
-        .when(text.rlike("(?i)屋顶|屋面|roof"), level(F.lit("roof"), F.lit("屋顶层"), F.lit(None), F.lit(0.86)))
-        .when(below.isNotNull(), level(F.concat(F.lit("B"), below), F.concat(F.lit("地下"), below, F.lit("层")), -below, F.lit(0.88)))
-        .when(text.rlike(r"(?i)首层|一层|1\s*层|1F|F1"), level(F.lit("L1"), F.lit("一层"), F.lit(1), F.lit(0.9)))
-        .when(number.isNotNull(), level(F.concat(F.lit("L"), number), F.concat(shown, F.lit("层")), number, F.lit(0.88)))
-        .when(text.rlike(r"(?i)标准层|standard\s*floor|typical\s*floor"), level(F.lit("typical"), F.lit("标准层"), F.lit(None), F.lit(0.76)))
-    )
+    def decide(p):
+        text, ordinal, below, number = p["text"], p["ordinal"], p["below"], p["number"]
+        shown = F.when(number.between(1, 10), F.try_element_at(names, number)).otherwise(number.cast("string"))
+        return (
+            F.when(text.rlike(r"(?i)\bground\s+floor\b"), level(F.lit("L1"), F.lit("一层"), F.lit(1), F.lit(0.94)))
+            .when(ordinal.isNotNull(), level(F.concat(F.lit("L"), ordinal), F.concat(F.lit("Level "), ordinal), ordinal, F.when(british, 0.94).otherwise(0.78)))
+            .when(text.rlike("(?i)屋顶|屋面|roof"), level(F.lit("roof"), F.lit("屋顶层"), F.lit(None), F.lit(0.86)))
+            .when(below.isNotNull(), level(F.concat(F.lit("B"), below), F.concat(F.lit("地下"), below, F.lit("层")), -below, F.lit(0.88)))
+            .when(text.rlike(r"(?i)首层|一层|1\s*层|1F|F1"), level(F.lit("L1"), F.lit("一层"), F.lit(1), F.lit(0.9)))
+            .when(number.isNotNull(), level(F.concat(F.lit("L"), number), F.concat(shown, F.lit("层")), number, F.lit(0.88)))
+            .when(text.rlike(r"(?i)标准层|standard\s*floor|typical\s*floor"), level(F.lit("typical"), F.lit("标准层"), F.lit(None), F.lit(0.76)))
+        )
+
+    return let(let(F.translate(F.coalesce(col(title), F.lit("")), "－_", "- "), parts), decide)
 
 
 def floor_number(text) -> Column:

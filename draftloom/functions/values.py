@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from draftloom.functions.geometry import col
+from draftloom.functions.geometry import col, let
 
 NUMBER = r"[-+]?\d+(?:\.\d+)?"
 
@@ -62,7 +62,8 @@ def parse_boundary(value) -> Column:
 
 
 def clamp(value: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+    # greatest and least skip NULL, so it has to be kept by hand.
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
 def row_confidence(value, default: float) -> Column:
@@ -99,10 +100,12 @@ def _plain_confidence(text: Column) -> Column:
 def confidence(value) -> Column:
     """Confidence written as a number, flag, word, percentage or an object holding one of these."""
     text = F.trim(col(value).cast("string"))
-    inner = F.coalesce(*[F.get_json_object(text, f"$.{k}") for k in CONFIDENCE_KEYS])
-    deeper = F.coalesce(*[F.get_json_object(inner, f"$.{k}") for k in CONFIDENCE_KEYS])
-    chosen = F.when(text.startswith("{"), F.when(inner.startswith("{"), deeper).otherwise(inner)).otherwise(F.regexp_replace(text, '^"|"$', ""))
-    return _plain_confidence(chosen)
+
+    def inside(value):
+        inner = F.coalesce(*[F.get_json_object(value, f"$.{k}") for k in CONFIDENCE_KEYS])
+        return F.when(value.startswith("{"), inner).otherwise(F.regexp_replace(value, '^"|"$', ""))
+
+    return let(let(let(text, inside), inside), _plain_confidence)
 
 
 def _material_of(item: Column) -> Column:
@@ -111,8 +114,7 @@ def _material_of(item: Column) -> Column:
     def one(text):
         return F.coalesce(*[F.get_json_object(text, f"$.{k}") for k in MATERIAL_KEYS])
 
-    inner = one(item)
-    named = F.when(inner.startswith("{"), one(inner)).otherwise(inner)
+    named = let(one(item), lambda inner: F.when(inner.startswith("{"), one(inner)).otherwise(inner))
     return F.when(item.startswith("{"), named).when(item.startswith("["), F.lit(None)).otherwise(F.regexp_replace(item, '^"|"$', ""))
 
 

@@ -69,3 +69,45 @@ def derived(spark: SparkSession, sf_dir: str, recipe: str) -> DataFrame:
 def derived_sql(recipe: str) -> str:
     table, columns = RECIPES[recipe]
     return "(select " + ", ".join(f"{text} as {name}" for name, text in columns.items()) + f" from {table})"
+
+
+_N = "(o_custkey%12+1)"
+_W = "lpad(cast(8+o_orderkey%11 as string),2,'0')"
+_H = "lpad(cast(15+o_orderkey%10 as string),2,'0')"
+_BS = "chr(92)"
+
+RECIPES["texts"] = ("orders", {
+    "drawing_id": "cast(o_custkey%200 as bigint)",
+    "text_id": "o_orderkey",
+    "layer": "case when o_orderkey%5=0 then 'A-TITLE' when o_orderkey%5=1 then 'A-WALL-DOOR' when o_orderkey%5=2 then '轴线' else 'S-COL' end",
+    "height": "cast(100+(o_custkey%5)*100 as bigint)",
+    "x": "cast((o_orderkey*7919)%60000 as bigint)",
+    "y": "cast((o_orderkey*104729)%60000 as bigint)",
+    "text": f"""case o_orderkey%18
+ when 0 then concat('M',{_W},{_H})
+ when 1 then concat('{{',{_BS},'fSimSun;TLC-',{_W},' ',{_H},'}}')
+ when 2 then concat({_N},'层层高',3+{_N}%3,'.',{_N}%10,'m')
+ when 3 then concat('Floor height: ',2800+{_N}*100,'mm')
+ when 4 then concat('二层标高 +',{_N}*3,'.600')
+ when 5 then concat('屋面 -',{_N},'.450')
+ when 6 then concat('LEVEL ',{_N},' EL.',{_N}*3,'.600')
+ when 7 then concat({_N},'层平面图')
+ when 8 then case {_N}%4 when 0 then 'Ground Floor Plan' when 1 then 'Second  floor plan' when 2 then 'Roof plan' else 'Typical floor notes' end
+ when 9 then case {_N}%4 when 0 then '南立面图' when 1 then 'East side elevation 1:100' when 2 then concat({_N},'-',{_N}+3,' 立面图') else 'A面' end
+ when 10 then concat('踏步 ',260+{_N},'x',150+{_N}%3,' 共',8+{_N},'级 1层-',{_N},'层')
+ when 11 then concat('栏杆高 ',900+{_N}*10,'mm')
+ when 12 then concat('女儿墙 高度: 0.',5+{_N}%5,'m')
+ when 13 then concat('设计使用年限 ',50+{_N},' 年; C',20+({_N}%5)*5,' 混凝土 抗震设防 ',6+{_N}%4,' 度 耐火等级: 二级 防水')
+ when 14 then concat('图名: ',{_N},'-A 剖面图 1:100')
+ when 15 then concat({_N}*100,'x',2000+{_N}*10)
+ when 16 then concat('地下',{_N},'层 B',{_N},{_BS},'P平面')
+ else concat('门表 C',{_W},{_H},' D-',{_W},'-',{_H},' notes') end""",
+})
+
+# Component names as a library of types would hold them, one per part and size.
+RECIPES["library"] = ("part", {
+    "file_id": "p_partkey",
+    "file_path": "concat('lib/', case p_partkey%4 when 0 then 'doors' when 1 then 'windows' when 2 then 'columns' else 'misc' end, '/', replace(p_name,' ','_'), case p_partkey%3 when 0 then concat('_',(8+p_partkey%11)*100,'x',(15+p_partkey%10)*100) when 1 then '_double leaf' else '_flush panel' end, '.rfa')",
+    "confidence": "cast(p_size%10 as double)/10",
+    "summary": "case p_partkey%5 when 0 then 'single leaf glazed door' when 1 then 'sliding window' when 2 then 'double door' else '' end",
+})
