@@ -160,35 +160,38 @@ def match_greedy(pairs: DataFrame, keys: Keys, left: str, right: str, order: Seq
     return taken if taken is not None else open_pairs
 
 
-def match_serial(prefs: DataFrame, keys: Keys, left: str, right: str, rank: str, turn: str) -> DataFrame:
+def match_serial(
+    prefs: DataFrame, keys: Keys, left: str, right: str, rank: str, turn: str, held: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Left rows choose in ``turn`` order, each taking its best free right row.
 
-    ``prefs`` lists acceptable pairs with the left row's ``rank`` (1 is best, distinct per
-    left row). Each round the first open left row of every contested right row keeps it:
-    left rows ask their best remaining choice and a right row takes the earliest asker,
-    giving up a later one. Ends at the result of the serial loop.
+    ``prefs`` lists acceptable pairs with the left row's ``rank`` (lowest is best, distinct per
+    left row). In each round the left rows without a partner ask their best remaining
+    choice; a right row keeps its earliest asker; pairs with a right row that an earlier
+    left row holds are struck out at once, since holders only ever get earlier. Ends at the
+    result of the serial loop. Returns the held pairs and the remaining list, with which
+    the work can go on after more pairs are added.
     """
-    open_prefs = checkpoint(prefs)
+    open_prefs = prefs
     row = F.struct(*prefs.columns).alias("row")
-    held: DataFrame | None = None
     rounds = 0
     while True:
-        asks = open_prefs
-        if held is not None:
-            asks = asks.join(held.select(*keys, left), [*keys, left], "left_anti")
+        asks = open_prefs if held is None else open_prefs.join(held.select(*keys, left), [*keys, left], "left_anti")
         best = asks.groupBy(*keys, left).agg(F.min(F.struct(F.col(rank).alias("_o"), row)).alias("_b"))
-        asked = checkpoint(best.select("_b.row.*"))
-        if asked.isEmpty():
-            break
+        asked = best.select("_b.row.*")
         rivals = asked if held is None else asked.unionByName(held)
         win = rivals.groupBy(*keys, right).agg(F.min(F.struct(F.col(turn).alias("_o"), row)).alias("_w"))
-        new_held = checkpoint(win.select("_w.row.*"))
-        lost = rivals.join(new_held.select(*keys, left, right), [*keys, left, right], "left_anti")
-        open_prefs = checkpoint(open_prefs.join(lost.select(*keys, left, right), [*keys, left, right], "left_anti"))
-        held = new_held
+        now_held = checkpoint(win.select("_w.row.*"))
+        taken = now_held.select(*keys, right, F.col(turn).alias("_turn"))
+        open_prefs = checkpoint(
+            open_prefs.join(taken, [*keys, right], "left").where(F.col("_turn").isNull() | (F.col(turn) <= F.col("_turn"))).drop("_turn")
+        )
+        same = held is not None and now_held.join(held.select(*keys, left, right), [*keys, left, right], "left_anti").isEmpty()
+        held = now_held
+        if same or held.isEmpty():
+            return held, open_prefs
         rounds += 1
         _over(rounds, "serial choice")
-    return held if held is not None else open_prefs
 
 
 def components(nodes: DataFrame, edges: DataFrame, keys: Keys, node: str = "id") -> DataFrame:

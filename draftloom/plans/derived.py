@@ -111,3 +111,43 @@ RECIPES["library"] = ("part", {
     "confidence": "cast(p_size%10 as double)/10",
     "summary": "case p_partkey%5 when 0 then 'single leaf glazed door' when 1 then 'sliding window' when 2 then 'double door' else '' end",
 })
+
+# Openings spread over 200 large sheets.
+RECIPES["sheet_openings"] = ("orders", {
+    "drawing_id": "cast(o_custkey%200 as bigint)",
+    "opening_id": "o_orderkey",
+    "kind": "case when o_orderkey%2=0 then 'door' else 'window' end",
+    "x": "cast((o_orderkey*15485863)%60000 as bigint)",
+    "y": "cast((o_orderkey*32452843)%60000 as bigint)",
+    "width_mm": "cast((8+o_orderkey%11)*100 as bigint)",
+    "height_mm": "cast((15+o_orderkey%10)*100 as bigint)",
+})
+
+# Plan and elevation openings of 200 projects.
+RECIPES["views"] = ("orders", {
+    "project_id": "cast(o_custkey%200 as bigint)",
+    "id": "o_orderkey",
+    "view": "case when o_orderkey%4<2 then 'plan' else 'elevation' end",
+    "kind": "case when o_orderkey%2=0 then 'door' else 'window' end",
+    "facade": "case o_custkey%3 when 0 then 'south' when 1 then 'north' else case when o_orderkey%3=0 then 'east' else 'west' end end",
+    "mark": "case when o_orderkey%5=0 then '' else concat(case when o_orderkey%2=0 then 'M' else 'C' end, lpad(cast(8+o_orderkey%11 as string),2,'0'), lpad(cast(15+o_custkey%4 as string),2,'0')) end",
+    "width_mm": "cast((8+o_orderkey%11)*100+o_custkey%3*50 as bigint)",
+    "height_mm": "cast((15+o_custkey%4)*100 as bigint)",
+    "sill_mm": "case when o_orderkey%4<2 and o_orderkey%3=0 then null else cast((o_orderkey%7)*150 as bigint) end",
+    "category": "case when o_orderkey%4<2 then 'unknown' else 'casement_window' end",
+    "position": "cast((o_orderkey*7919)%30000 as bigint)",
+})
+
+# Doors drawn on details and plans, with a mark, a type and a size.
+RECIPES["parts"] = ("orders", {
+    "project_id": "cast(floor(o_orderkey/40.0) as bigint)",
+    "component_group": "case when o_orderkey%2=0 then 'doors' else 'windows' end",
+    "view": "case when o_custkey%4=0 then 'detail' else 'floor_plan' end",
+    "id": "o_orderkey",
+    "mark": "case when o_custkey%3=0 then '' else concat('M',o_custkey%23) end",
+    "type": "case when o_custkey%5=0 then 'unresolved' else concat('type ',o_custkey%13) end",
+    "width_mm": "cast((8+o_custkey%9)*100+(o_orderkey%3)*4 as bigint)",
+    "height_mm": "case when o_custkey%7=0 then null else cast((20+o_custkey%4)*100 as bigint) end",
+    "thickness_mm": "cast(null as bigint)",
+    "material": "case when o_custkey%2=0 then null else concat('mat',o_custkey%6) end",
+})
