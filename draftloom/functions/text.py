@@ -340,13 +340,14 @@ def elevation_marks(text, drawing_type=None) -> Column:
         )
 
     def record(r):
-        label = plain_name(F.coalesce(_nonempty(r["l"]), level_label(raw, r["v"])))
-        labelled = F.coalesce(_nonempty(r["l"]), level_label(raw, r["v"])).isNotNull()
-        score = 0.68 + F.when(context, 0.14).otherwise(0.0) + F.when(labelled, 0.08).otherwise(0.0)
-        return F.struct(
-            label.alias("label"), F.round(elevation_mm(r["v"]), 3).alias("elevation_mm"),
-            F.round(F.least(F.lit(0.95), score), 3).alias("confidence"),
-        )
+        def scored(label):
+            score = 0.68 + F.when(context, 0.14).otherwise(0.0) + F.when(label.isNotNull(), 0.08).otherwise(0.0)
+            return F.struct(
+                plain_name(label).alias("label"), F.round(elevation_mm(r["v"]), 3).alias("elevation_mm"),
+                F.round(F.least(F.lit(0.95), score), 3).alias("confidence"),
+            )
+
+        return let(F.coalesce(_nonempty(r["l"]), level_label(raw, r["v"])), scored)
 
     return F.filter(F.transform(F.filter(rows, accepted), record), lambda m: m["elevation_mm"].isNotNull())
 
@@ -481,9 +482,15 @@ def parapet_height(text) -> Column:
     ]
 
     def read(shape):
-        value, unit = _found(plain, shape, 1).try_cast("double"), F.lower(F.coalesce(_found(plain, shape, 2), F.lit("")))
-        size = F.when(unit.isin("m", "米") | (value.between(0.2, 3.0) & (unit != "mm")), value * 1000).otherwise(value)
-        return F.when(size.between(250, 1800), F.round(size, 3))
+        found = F.struct(
+            _found(plain, shape, 1).try_cast("double").alias("v"), F.lower(F.coalesce(_found(plain, shape, 2), F.lit(""))).alias("u")
+        )
+
+        def size(f):
+            metres = f["u"].isin("m", "米") | (f["v"].between(0.2, 3.0) & (f["u"] != "mm"))
+            return F.when(metres, f["v"] * 1000).otherwise(f["v"])
+
+        return let(let(found, size), lambda s: F.when(s.between(250, 1800), F.round(s, 3)))
 
     return F.when(plain.rlike("(?i)女儿墙|parapet"), F.coalesce(*[read(s) for s in shapes]))
 

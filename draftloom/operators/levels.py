@@ -111,7 +111,7 @@ def assign_plans(plans: DataFrame, floors: DataFrame, keys: Keys) -> DataFrame:
     best = scored.groupBy(*keys, "drawing_id").agg(
         F.min(F.struct("_rule", "_f", "base_level_id", "base_level_name", "top_level_name", "floor_height_mm")).alias("_b")
     )
-    reason = F.element_at(F.array(*[F.lit(r) for _, r in rules]), F.col("_b._rule") + 1)
+    reason = F.get(F.array(*[F.lit(r) for _, r in rules]), F.col("_b._rule"))
     return plans.join(best, [*keys, "drawing_id"], "left").select(
         *plans.columns, F.col("_b._f").alias("floor_number"), F.col("_b.base_level_id").alias("base_level_id"), F.col("_b.base_level_name").alias("base_level_name"),
         F.col("_b.top_level_name").alias("top_level_name"), F.col("_b.floor_height_mm").alias("floor_height_mm"),

@@ -151,3 +151,25 @@ RECIPES["parts"] = ("orders", {
     "thickness_mm": "cast(null as bigint)",
     "material": "case when o_custkey%2=0 then null else concat('mat',o_custkey%6) end",
 })
+
+# Levels and stairs of projects.
+RECIPES["storeys"] = ("nation", {
+    "project_id": "cast(n_nationkey%5 as bigint)",
+    "level_id": "concat('LEVEL-',lpad(cast(n_nationkey as string),3,'0'))",
+    "name": "concat('L',cast(floor(n_nationkey/5) as int))",
+    "number": "cast(floor(n_nationkey/5) as int)",
+    "elevation_mm": "cast(floor(n_nationkey/5)*3300+n_nationkey%5*100 as bigint)",
+})
+RECIPES["stairs"] = ("supplier", {
+    "project_id": "cast(s_suppkey%5 as bigint)",
+    "id": "s_suppkey",
+    "span": "cast(s_suppkey%7 as int)",
+    "total_rise_mm": "cast((s_suppkey%7+1)*3300 as bigint)",
+    "risers": "cast((s_suppkey%7+1)*20+s_suppkey%3 as bigint)",
+    "treads": "cast((s_suppkey%7+1)*18 as bigint)",
+    "run_count": "cast(1+s_suppkey%2 as bigint)",
+    "tread_mm": "cast(260+s_suppkey%4*10 as bigint)",
+    "riser_mm": "cast(150+s_suppkey%9*5 as bigint)",
+    "landing_mm": "cast(1200 as bigint)",
+    "z0": "cast(s_suppkey%4*3300+s_suppkey%3*60 as bigint)",
+})

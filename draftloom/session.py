@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,15 +39,26 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     return tune(spark)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the folder named by ``spark.checkpoint.dir``.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the one ``spark.checkpoint.dir`` names.
 
-    The folder must be one that all executors share. Only a session that names none
-    (a local test) gets a folder of its own.
+    It must be one that all executors share. Only a session that names none (a local test)
+    gets a folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="draftloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage by writing the rows as a table in the shared folder and reading it back.
+
+    Unlike a checkpointed plan, whose size estimate keeps multiplying through the joins of
+    a loop, the written table tells the planner its true size each round.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/draftloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

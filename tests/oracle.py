@@ -47,8 +47,8 @@ def compare(df, con, sql):
         kinds = {type(v).__name__ for r in got[:50] for v in r} ^ {type(v).__name__ for r in want[:50] for v in r}
         note = f" types differ: {kinds}" if kinds - {"NoneType"} else ""
         return f"ok {len(a)}{note}" if a else "ok but EMPTY"
-    only_a = [x for x in a if x not in set(b)][:3] if len(a) < 200000 else []
-    only_b = [x for x in b if x not in set(a)][:3] if len(b) < 200000 else []
+    in_a, in_b = set(a), set(b)
+    only_a, only_b = [x for x in a if x not in in_b][:3], [x for x in b if x not in in_a][:3]
     return f"DIFF rows {len(a)} vs {len(b)}\n   spark only {only_a}\n   sql only {only_b}"
 
 
