@@ -173,3 +173,38 @@ RECIPES["stairs"] = ("supplier", {
     "landing_mm": "cast(1200 as bigint)",
     "z0": "cast(s_suppkey%4*3300+s_suppkey%3*60 as bigint)",
 })
+
+# Components of all groups with faults, states and materials.
+RECIPES["components"] = ("orders", {
+    "project_id": "cast(o_custkey%50 as bigint)",
+    "component_group": "case o_orderkey%6 when 0 then 'walls' when 1 then 'doors' when 2 then 'windows' when 3 then 'columns' when 4 then 'slabs' else 'railings' end",
+    "id": "concat('C-',case when o_custkey%97=0 then '' else cast(o_orderkey as string) end)",
+    "ord": "o_orderkey",
+    "level": "case when o_custkey%13=0 then '' else concat('L',o_orderkey%4) end",
+    "type": "case when o_orderkey%4=0 then 'short_paired_wall_lines' else 'generic' end",
+    "width_mm": "case when o_orderkey%17=0 then null else cast((o_orderkey%11)*100 as bigint) end",
+    "height_mm": "case when o_orderkey%19=0 then null else cast((15+o_orderkey%10)*100 as bigint) end",
+    "depth_mm": "case when o_orderkey%5=0 then null else cast(300 as bigint) end",
+    "diameter_mm": "case when o_orderkey%7=0 then cast(400 as bigint) end",
+    "thickness_mm": "cast((o_custkey%5)*60 as bigint)",
+    "x": "case when o_orderkey%23=0 then null else cast((o_custkey*37)%7000 as bigint) end",
+    "y": "cast((o_custkey*61)%9000 as bigint)",
+    "review_status": "case o_orderstatus when 'F' then 'ready' when 'O' then 'needs_review' else case when o_orderkey%3=0 then 'rejected' else 'odd' end end",
+    "modeling_status": "case when o_orderkey%29=0 then 'Blocked' else 'ok' end",
+    "execution_scope": "case when o_orderkey%31=0 then 'review_only' else '' end",
+    "confidence": "cast(o_custkey%105 as double)/100",
+    "source": "case when o_custkey%8=0 then 'default_floor' else 'wall_lines' end",
+    "notes": "case when o_orderkey%10=0 then 'height inferred' else '' end",
+    "material": "case o_orderkey%5 when 0 then '' when 1 then 'Brick' when 2 then 'C30混凝土' when 3 then 'solid wood' else 'steel' end",
+    "material_source": "case when o_orderkey%4=0 then 'ai_suggested_default' when o_orderkey%4=1 then 'design_notes' else '' end",
+    "material_confidence": "cast(o_orderkey%100 as double)/100",
+    "material_needs_review": "o_orderkey%14=0",
+    "drawing_type": "case o_custkey%5 when 0 then 'elevation' when 1 then 'detail' else 'floor_plan' end",
+    "drawing_name": "case when o_orderkey%3=0 then 'Stair plan 2' else 'Plan' end",
+})
+
+# Design notes: one per customer, several per project.
+RECIPES["notes"] = ("customer", {
+    "project_id": "cast(c_custkey%50 as bigint)",
+    "text": "concat('窗台高 ',850+c_custkey%3*50,'mm；外墙厚 ',180+c_custkey%4*20,'；门 ',800+c_custkey%5*100,'x',2+c_custkey%2,'100mm；层高 ',3+c_custkey%2,'.',c_custkey%3*3,'m；屋面坡度 ',2+c_custkey%3,'%；栏杆高 1.1米；墙采用', case c_custkey%50%3 when 0 then '砖' when 1 then '混凝土' else '玻璃' end, '砌筑')",
+})

@@ -53,13 +53,13 @@ def boundaries_inside(spark, sf_dir):
 
 @query("box_relations", "G10", f"""with a as (select opening_id, drawing_id, x x0, y y0, x+width_mm x1, y+height_mm y1 from {OPEN}), p as (select a.opening_id, b.opening_id other_id, greatest(b.x0-a.x1,a.x0-b.x1,0) gx, greatest(b.y0-a.y1,a.y0-b.y1,0) gy,
  greatest(least(a.x1,b.x1)-greatest(a.x0,b.x0),0)*greatest(least(a.y1,b.y1)-greatest(a.y0,b.y0),0) shared, least((a.x1-a.x0)*(a.y1-a.y0),(b.x1-b.x0)*(b.y1-b.y0)) smaller, b.x0>=a.x0-12 and b.y0>=a.y0-12 and b.x1<=a.x1+12 and b.y1<=a.y1+12 holds
- from a join a b on a.drawing_id=b.drawing_id and b.opening_id=a.opening_id+1) select opening_id, other_id, gx*gx+gy*gy gap2, round(shared/smaller,4) share, holds from p""")
+ from a join a b on a.drawing_id=b.drawing_id and b.opening_id=a.opening_id+1) select opening_id, other_id, gx*gx+gy*gy gap2, cast(floor(shared*100.0/smaller+1e-9) as bigint) share_percent, holds from p""")
 def box_relations(spark, sf_dir):
     o = derived(spark, sf_dir, "openings").select("drawing_id", "opening_id", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("width_mm")).alias("x1"), (F.col("y") + F.col("height_mm")).alias("y1"))
     a = o.select("drawing_id", "opening_id", *[F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")])
     b = o.select("drawing_id", F.col("opening_id").alias("other_id"), (F.col("opening_id") - 1).alias("opening_id"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
     return a.join(b, ["drawing_id", "opening_id"]).select(
-        "opening_id", "other_id", F.round(F.pow(g.box_gap("a_", "b_"), F.lit(2))).cast("bigint").alias("gap2"), F.round(g.box_overlap_share("a_", "b_"), 4).alias("share"), g.box_contains("a_", "b_").alias("holds"))
+        "opening_id", "other_id", F.round(F.pow(g.box_gap("a_", "b_"), F.lit(2))).cast("bigint").alias("gap2"), F.floor(g.box_overlap_share("a_", "b_") * 100 + 1e-9).cast("bigint").alias("share_percent"), g.box_contains("a_", "b_").alias("holds"))
 
 
 @query("arc_measures", "G11", f"""with a as (select opening_id, (opening_id*37)%360 a0, (opening_id*37+61+opening_id%7*10)%360 a1 from {OPEN}), s as (select *, (a1-a0+360)%360 w from a), m as (select *, (a0+w/2.0)%360 md from s)
