@@ -283,7 +283,7 @@ def source_readiness(components: DataFrame, plan_rows: DataFrame, notes: DataFra
 
 def tokens(text) -> Column:
     """Distinct lower-case words of at least two characters."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\w一-鿿]+)"), F.lit(1)), lambda w: F.length(w) >= 2))
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{M}\p{N}_]+)"), F.lit(1)), lambda w: F.length(w) >= 2))
 
 
 def retrieve_cases(queries: DataFrame, cases: DataFrame, k: int = 3) -> DataFrame:

@@ -164,11 +164,11 @@ def source_readiness(spark, sf_dir):
     return c.source_readiness(rows, rows.where("review_status = 'rejected'"), notes)
 
 
-@query("case_retrieval", "J39 U4", """with q as (select item_id query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text),'([0-9A-Za-z_]+)',1), lambda w: length(w)>=2))) w from benchmark), d as (select doc_id case_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text),'([0-9A-Za-z_]+)',1), lambda w: length(w)>=2))) w from documents where lang='en'),
+@query("case_retrieval", "J39 U4", """with q as (select item_id query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text),'([\\p{L}\\p{M}\\p{N}_]+)',1), lambda w: length(w)>=2))) w from benchmark), d as (select doc_id case_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text),'([\\p{L}\\p{M}\\p{N}_]+)',1), lambda w: length(w)>=2))) w from documents),
  s as (select query_id, case_id, count(*) score from q join d using (w) group by all), r as (select *, row_number() over (partition by query_id order by score desc, case_id) rn from s) select query_id, cast(rn as int) "rank", case_id, score from r where rn<=3""")
 def case_retrieval(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("case_id"), F.regexp_replace("text", "[^\\x00-\\x7F]", " ").alias("text"), F.lit(0).alias("created_at"))
-    q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_replace("text", "[^\\x00-\\x7F]", " ").alias("text"))
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), "text", F.lit(0).alias("created_at"))
+    q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return c.retrieve_cases(q, docs)
 
 
