@@ -86,30 +86,20 @@ def suppress(nodes: DataFrame, edges: DataFrame, keys: Keys, node: str = "id", o
     rivals of kept rows and keeps the rows whose earlier rivals all fell: the same result
     as the serial scan.
     """
-    named = nodes.select(*keys, F.col(node).alias("late"), F.col(order).alias("_lo"))
     early = nodes.select(*keys, F.col(node).alias("early"), F.col(order).alias("_eo"))
-    links = edges.select(*keys, "early", "late").dropDuplicates([*keys, "early", "late"])
-    open_links = checkpoint(links.join(early, [*keys, "early"]))
-    fallen: DataFrame | None = None
-    rounds = 0
-    while True:
-        waiting = open_links.select(*keys, F.col("late").alias("early")).distinct()
-        sure = open_links.join(waiting, [*keys, "early"], "left_anti")
-        hit = (
-            sure.groupBy(*keys, "late")
-            .agg(F.min(F.struct("_eo", "early")).alias("_by"))
-            .select(*keys, "late", F.col("_by.early").alias("duplicate_of"), F.col("_by._eo").alias("_do"))
-        )
-        hit = checkpoint(hit)
-        if hit.isEmpty():
-            break
+    links = checkpoint(edges.select(*keys, "early", "late").dropDuplicates([*keys, "early", "late"]).join(early, [*keys, "early"]))
+    open_links, fallen, rounds = links, None, 0
+    while not open_links.isEmpty():
+        waiting = open_links.select(*keys, F.col("late").alias("early")).distinct().withColumn("_waits", F.lit(True))
+        seen = open_links.join(waiting, [*keys, "early"], "left")
+        lost = seen.where("_waits is null").select(*keys, "late").distinct()
+        late = lost.withColumn("_late_lost", F.lit(True))
+        gone = lost.withColumnRenamed("late", "early").withColumn("_early_lost", F.lit(True))
+        # One table per round: links settled now and links that stay open.
+        state = checkpoint(seen.join(late, [*keys, "late"], "left").join(gone, [*keys, "early"], "left"))
+        hit = state.where("_waits is null").select(*keys, "late").distinct()
         fallen = hit if fallen is None else fallen.unionByName(hit)
-        gone = hit.select(*keys, "late")
-        open_links = checkpoint(
-            open_links.join(gone, [*keys, "late"], "left_anti").join(
-                gone.withColumnRenamed("late", "early"), [*keys, "early"], "left_anti"
-            )
-        )
+        open_links = state.where("_late_lost is null and _early_lost is null").select(*links.columns)
         rounds += 1
         _over(rounds, "suppression")
     result = nodes.withColumn("_id", F.col(node))
@@ -117,8 +107,7 @@ def suppress(nodes: DataFrame, edges: DataFrame, keys: Keys, node: str = "id", o
         return result.drop("_id").withColumn("kept", F.lit(True)).withColumn("duplicate_of", F.lit(None).cast(nodes.schema[node].dataType))
     # A fallen row names the first kept rival of all rounds, not only of the round it fell in.
     kept_rivals = (
-        links.join(early, [*keys, "early"])
-        .join(fallen.select(*keys, F.col("late").alias("early")), [*keys, "early"], "left_anti")
+        links.join(fallen.select(*keys, F.col("late").alias("early")), [*keys, "early"], "left_anti")
         .groupBy(*keys, "late").agg(F.min(F.struct("_eo", "early")).alias("_by"))
         .select(*keys, F.col("late").alias("_id"), F.col("_by.early").alias("duplicate_of"))
     )

@@ -15,6 +15,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from draftloom.session import checkpoint
+
 Keys = Sequence[str]
 
 
@@ -117,11 +119,16 @@ def nearest(
                 .groupBy(*ids).agg(F.array_sort(F.collect_list("_r")).alias("_found"))
             )
         tried = pending.join(best, ids, "left")
+        if not last:
+            # Written once: both the answers and the rows that go on read it.
+            tried = checkpoint(tried)
         full = F.coalesce(F.size("_found"), F.lit(0)) >= k
         answer = tried.where(F.col("_found").isNotNull() if last else full)
         done = answer if done is None else done.unionByName(answer)
         if not last:
             pending = tried.where(~full).drop("_found")
+            if pending.isEmpty():
+                break
     out = done.select("*", F.posexplode("_found").alias("_rank", "_hit")).drop("_found")
     return out.select(
         *left.columns, (F.col("_rank") + 1).alias("_rank"), F.col("_hit._distance").alias("_distance"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from draftloom.functions import geometry as g
 from draftloom.operators.ordered import first_wins, number_rows
 from draftloom.operators.spatial import Keys, box_join, islands, nearest, prefixed, with_cells
+from draftloom.session import checkpoint
 
 DRAWING = ("project_id", "drawing_id")
 
@@ -321,14 +322,17 @@ def host_walls(points: DataFrame, walls: DataFrame, keys: Keys, point_id: str =
         if last:
             tried = tried.withColumn("_b", outcome(F.lit(radius)))
         else:
-            settled = []
+            steps = []
             for step in range(1, 7):
                 limit = F.col("_near") + 100.0 * step
-                result = outcome(limit)
-                settled.append(F.when((limit <= radius) & (result["far"] <= limit - 50), result))
-            tried = tried.withColumn("_b", F.coalesce(*settled))
-        tried = tried.drop("_c", "_near")
+                sure = g.let(outcome(limit), lambda r, limit=limit: F.when(r["far"] <= limit - 50, r))
+                steps.append(F.when(limit <= radius, sure))
+            tried = tried.withColumn("_b", F.coalesce(*steps))
+        # Written once: both the answers and the points that go on read it.
+        tried = checkpoint(tried.drop("_c", "_near"))
         answer = tried if last else tried.where(F.col("_b").isNotNull())
         done = answer if done is None else done.unionByName(answer)
         pending = tried.where(F.col("_b").isNull()).drop("_b")
+        if last or pending.isEmpty():
+            break
     return done.select(*points.columns, F.col("_b.id").alias("host_wall_id"), F.col("_b.d").alias("host_distance"))
