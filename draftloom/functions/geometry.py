@@ -13,6 +13,11 @@ def col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value if isinstance(value, Column) else F.lit(value)
 
 
+def strip(value) -> Column:
+    """Text without white space at its ends, line breaks and wide spaces included."""
+    return F.btrim(col(value), F.lit(" \t\n\r\f\v\u00a0\u3000"))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
     return F.transform(F.array(value), body)[0]

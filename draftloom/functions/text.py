@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from draftloom.functions.geometry import col, let
+from draftloom.functions.geometry import col, let, strip
 
 # Layer and block name patterns per element class.
 LAYER_PATTERNS = {
@@ -109,7 +109,7 @@ def clean_cad_text(text) -> Column:
     text = F.regexp_replace(text, r"\\[A-Za-z]+[0-9.+-]*;?", "")
     text = F.regexp_replace(text, r"\|[^;\n]{1,120};", "")
     text = F.translate(text, "{}", "")
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def mark_text(text) -> Column:
@@ -156,7 +156,7 @@ def first_mark(text, kind_hint: str | None = None, allow_unprefixed: bool = Fals
 
 
 def first_clause(text) -> Column:
-    return F.trim(F.regexp_extract(F.trim(col(text)), "^[^\n。；;]*", 0))
+    return strip(F.regexp_extract(strip(col(text)), "^[^\n。；;]*", 0))
 
 
 def directional_title(text) -> Column:
@@ -165,12 +165,12 @@ def directional_title(text) -> Column:
     tail = r"\s*(?:立面图|立面|面图|面)"
     chinese = F.coalesce(_found(clause, f"(?i)((?:东|西|南|北|正|背|左|右){tail})"), _found(clause, f"(?i)([A-Za-z0-9]+[-~]?[A-Za-z0-9]*{tail})"))
     english = _found(clause, r"(?i)((?:north|south|east|west)[^\n;]{0,24}(?:elevation|facade))")
-    return F.substring(F.coalesce(F.regexp_replace(F.trim(chinese), r"\s+", ""), F.regexp_replace(F.trim(english), r"\s+", " ")), 1, 80)
+    return F.substring(F.coalesce(F.regexp_replace(strip(chinese), r"\s+", ""), F.regexp_replace(strip(english), r"\s+", " ")), 1, 80)
 
 
 def title_text(text) -> Column:
     """The part of a text that reads as the title of a drawing."""
-    text = F.trim(col(text))
+    text = strip(col(text))
     explicit = _found(text, r"(?i)(?:图名|图纸名称|drawing\s*(?:title|name))\s*[:：]\s*(.+)")
     words = "first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth"
     plan = _found(
@@ -180,14 +180,14 @@ def title_text(text) -> Column:
     low = F.lower(text)
     known = F.coalesce(*[F.when(F.contains(low, F.lit(t)), t) for t in KNOWN_TITLES])
     return F.coalesce(
-        directional_title(text), F.substring(F.trim(explicit), 1, 80), F.substring(F.trim(F.regexp_replace(plan, r"\s+", " ")), 1, 80),
+        directional_title(text), F.substring(strip(explicit), 1, 80), F.substring(strip(F.regexp_replace(plan, r"\s+", " ")), 1, 80),
         known, F.substring(first_clause(text), 1, 80),
     )
 
 
 def title_score(text, layer, height, title) -> Column:
     """How much a text looks like the drawing's title; 0 without any sign of one."""
-    text, layer, height = F.trim(col(text)), F.lower(col(layer)), col(height)
+    text, layer, height = strip(col(text)), F.lower(col(layer)), col(height)
 
     def signs(p):
         title, low = p["title"], p["low"]
@@ -273,7 +273,7 @@ def height_mm(value: Column, unit: Column) -> Column:
 
 def floor_heights(text) -> Column:
     """Floor heights named in a text: floor, height_mm, confidence."""
-    text = F.trim(col(text))
+    text = strip(col(text))
     name, number = r"[一-龥A-Za-z0-9#\-~]+?层", r"(\d+(?:\.\d+)?)"
     shapes = [
         (rf"(?i)({name})?[^\n。；;]{{0,8}}?层高\s*[:：=]?\s*{number}\s*(mm|m|米)?", 1, 2, 3),
@@ -310,7 +310,7 @@ def elevation_mm(value: Column) -> Column:
 
 def level_label(text: Column, value: Column) -> Column:
     """Level word standing last before a number; the first pattern that occurs decides."""
-    before = F.call_function("substring_index", plain_signs(text), F.trim(value), F.lit(1))
+    before = F.call_function("substring_index", plain_signs(text), strip(value), F.lit(1))
     patterns = [
         r"(?i)(地下?[一-龥\d]+?层)", r"(?i)([一-龥\d#]+?层)", "(屋面)", "(女儿墙)", "(室外地坪|室内地坪|地坪)",
         r"(?i)((?:roof|level|floor)\s*[A-Za-z0-9#\-]+)",
@@ -320,7 +320,7 @@ def level_label(text: Column, value: Column) -> Column:
 
 def elevation_marks(text, drawing_type=None) -> Column:
     """Elevation marks in a text: label, elevation_mm, confidence."""
-    raw = F.trim(col(text))
+    raw = strip(col(text))
     text = plain_signs(raw)
     kind = F.lit(None).cast("string") if drawing_type is None else col(drawing_type)
     pattern = (
@@ -328,7 +328,7 @@ def elevation_marks(text, drawing_type=None) -> Column:
         r"\s*(?:标高|EL\.?|LEVEL)?\s*[:：=]?\s*([+\-±]?\s*\d{1,5}(?:\.\d{1,4})?)"
     )
     context = text.rlike(ELEVATION_CONTEXT)
-    alone = F.trim(F.regexp_replace(F.trim(text), r"^\|[^;\n]{1,120};", ""))
+    alone = strip(F.regexp_replace(strip(text), r"^\|[^;\n]{1,120};", ""))
     rows = F.arrays_zip(_all(text, pattern, 1).alias("l"), _all(text, pattern, 2).alias("v"))
 
     def accepted(r):
@@ -354,7 +354,7 @@ def elevation_marks(text, drawing_type=None) -> Column:
 
 def face_label(text) -> Column:
     """Name of the face a text speaks of, such as a compass side or 'A面'."""
-    text = F.trim(col(text))
+    text = strip(col(text))
     named = _found(
         F.concat(F.lit(" "), text, F.lit(" ")),
         r"(?i)(?:^|[\s\-_:：])((?:[A-Za-z0-9]+|[一-龥]{1,4})\s*(?:面|立面|facade|elevation))(?:$|[\s\-_:：])",
@@ -386,7 +386,7 @@ def chinese_number(value) -> Column:
             .when(digit(text) > 0, digit(text))
         ).cast("int")
 
-    return let(F.trim(F.coalesce(col(value), F.lit(""))), read)
+    return let(strip(F.coalesce(col(value), F.lit(""))), read)
 
 
 def level_from_title(title, british: Column | bool = False) -> Column:
@@ -434,7 +434,7 @@ def floor_number(text) -> Column:
 
 def explicit_floor_number(text) -> Column:
     """Floor number a drawing or level name states; English ordinals count from the ground floor."""
-    low = F.lower(F.trim(F.coalesce(col(text), F.lit(""))))
+    low = F.lower(strip(F.coalesce(col(text), F.lit(""))))
     word = _found(low, rf"\b({'|'.join(ORDINALS)})\s+floor\b")
     digits = [r"(?<![a-z0-9])(\d{1,2})\s*(?:层|楼)", r"(?<![a-z0-9])(\d{1,2})\s*f(?![a-z0-9])", r"(?:level|floor)\s*(\d{1,2})(?!\d)"]
     return F.coalesce(
@@ -496,7 +496,7 @@ def parapet_height(text) -> Column:
 
 
 def one_line(text) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(col(text), F.lit("")), r"(?U)\s+", " "))
+    return strip(F.regexp_replace(F.coalesce(col(text), F.lit("")), r"(?U)\s+", " "))
 
 
 def is_dimension_text(text) -> Column:
@@ -511,5 +511,5 @@ def is_material_text(text) -> Column:
 def safe_name(name, fallback) -> Column:
     """Grid names without control codes and characters the modelling host forbids."""
     clean = F.regexp_replace(F.coalesce(col(name), F.lit("")), r"\\[A-Za-z0-9]+", "")
-    clean = F.trim(F.regexp_replace(F.regexp_replace(clean, r"[\\:{}\[\]|;<>?`~]", ""), r"\s+", " "))
+    clean = strip(F.regexp_replace(F.regexp_replace(clean, r"[\\:{}\[\]|;<>?`~]", ""), r"\s+", " "))
     return F.when(clean == "", col(fallback)).otherwise(clean)

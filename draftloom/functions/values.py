@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from draftloom.functions.geometry import col, let
+from draftloom.functions.geometry import col, let, strip
 
 NUMBER = r"[-+]?\d+(?:\.\d+)?"
 
@@ -133,8 +133,8 @@ def material_names(value) -> Column:
 
 def json_object(text) -> Column:
     """First JSON object in a text that may wrap it in prose or code fences; NULL if none parses."""
-    text = F.trim(F.coalesce(col(text), F.lit("")))
-    fenced = F.trim(F.regexp_extract(text, r"(?is)```(?:json)?\s*(.*?)```", 1))
+    text = strip(F.coalesce(col(text), F.lit("")))
+    fenced = strip(F.regexp_extract(text, r"(?is)```(?:json)?\s*(.*?)```", 1))
     # Balanced braces up to four levels, strings skipped; deeper objects fall back to the last brace.
     string = r'"(?:[^"\\]|\\.)*"'
     level = rf'(?:[^{{}}"]|{string})*'

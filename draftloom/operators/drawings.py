@@ -315,3 +315,23 @@ def stair_segments(stairs: DataFrame, levels: DataFrame, keys: Keys = ("project_
         F.round(F.col("total_rise_mm") / F.col("_parts"), 3).alias("total_rise_mm"), risers.alias("risers"), treads.alias("treads"),
         (F.col("tread_mm") * per_run).alias("run_length_mm"), F.round(F.col("tread_mm") * per_run * F.col("run_count") + F.coalesce("landing_mm", F.lit(0)), 3).alias("total_run_mm"),
     )
+
+
+def stair_target_floors(stairs: DataFrame, floors: DataFrame, keys: Keys = ("project_id",)) -> DataFrame:
+    """Floors that a stair's opening cuts: its own host, else the storeys above its start up to its end, else its span above the lowest floor.
+
+    ``stairs``: keys, ``id``, ``host_floor_id``, ``start_number``, ``end_number``, ``span``. ``floors``: keys, ``floor_id``, ``number``. Levels become join keys,
+    so a stair meets only the floors it cuts. A stair without any keeps one row without a floor.
+    """
+    lowest = floors.groupBy(*keys).agg(F.min("number").alias("_low"))
+    rows = stairs.join(lowest, list(keys), "left")
+    host = F.coalesce(F.col("host_floor_id").cast("string"), F.lit("")) != ""
+    ranged = F.coalesce(F.col("end_number") > F.col("start_number"), F.lit(False))
+    levels = F.when(host, F.array().cast("array<int>")).when(ranged, F.sequence(F.col("start_number").cast("int") + 1, F.col("end_number").cast("int"))).when(
+        (F.col("span") > 1) & F.col("_low").isNotNull(), F.sequence(F.col("_low").cast("int") + 1, F.col("_low").cast("int") + F.col("span").cast("int"))).otherwise(F.array().cast("array<int>"))
+    asked = rows.select(*keys, "id", F.explode(levels).alias("number"))
+    cut = asked.join(floors, [*keys, "number"]).select(*keys, "id", "floor_id", F.lit(True).alias("projected"))
+    own = stairs.where(F.coalesce(F.col("host_floor_id").cast("string"), F.lit("")) != "").select(*keys, "id", F.col("host_floor_id").alias("floor_id")).join(
+        floors.select(*keys, "floor_id").distinct(), [*keys, "floor_id"], "left_semi").select(*keys, "id", "floor_id", F.lit(False).alias("projected"))
+    found = cut.unionByName(own)
+    return stairs.select(*keys, "id").join(found, [*keys, "id"], "left").withColumn("needs_mapping", F.col("floor_id").isNull())

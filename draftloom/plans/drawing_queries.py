@@ -296,3 +296,15 @@ def placed_openings(spark, sf_dir):
     o = derived(spark, sf_dir, "openings").join(first, "drawing_id").select(
         "drawing_id", "opening_id", F.col("s.id").alias("host_wall_id"), F.when(h, F.col("s.x1") + t).otherwise(F.col("s.x1") + 130).alias("x"), F.when(h, F.col("s.y1") + 130).otherwise(F.col("s.y1") + t).alias("y"))
     return d.placed_on_hosts(o, walls, KEYS).select("opening_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+
+
+@query("stair_target_floors", "J29", f"""with f as (select project_id, level_id floor_id, number from {STOREYS}), lo as (select project_id, min(number) lw from f group by all), s as (select *, case when id%6=0 then 'LEVEL-'||lpad((id%25)::string,3,'0') end hf, case when id%3=0 then id%4 end sn, case when id%3=0 then id%5 end en from {STAIRS}),
+ t as (select s.project_id, s.id, f.floor_id, false projected from s join f on f.project_id=s.project_id and f.floor_id=s.hf union all select s.project_id, s.id, f.floor_id, true from s join lo using (project_id) join f on f.project_id=s.project_id where hf is null and case when en>sn then f.number>sn and f.number<=en else span>1 and f.number>lw and f.number<=lw+span end)
+ select s.project_id, s.id, t.floor_id, t.projected, t.floor_id is null needs_mapping from s left join t using (project_id, id)""")
+def stair_target_floors(spark, sf_dir):
+    s = derived(spark, sf_dir, "stairs")
+    host = F.when(F.col("id") % 6 == 0, F.concat(F.lit("LEVEL-"), F.lpad((F.col("id") % 25).cast("string"), 3, "0")))
+    ranged = F.col("id") % 3 == 0
+    s = s.select("project_id", "id", host.alias("host_floor_id"), F.when(ranged, F.col("id") % 4).alias("start_number"), F.when(ranged, F.col("id") % 5).alias("end_number"), "span")
+    floors = derived(spark, sf_dir, "storeys").select("project_id", F.col("level_id").alias("floor_id"), "number")
+    return d.stair_target_floors(s, floors)

@@ -1,0 +1,4 @@
+"""No streaming operators: drawings are independent files and the project step needs all of them, so all work is batch.
+
+Case rows that arrive again are merged by :func:`draftloom.operators.components.latest`.
+"""
