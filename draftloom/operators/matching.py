@@ -188,17 +188,21 @@ def match_score(plan: str = "p_", elevation: str = "e_") -> Column:
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.22 + mark + width + height + place)), 6)
 
 
+# Highest score without an equal mark or a position within 900.
+WEAK_SCORE = 0.58
+
+
 def match_views(plans: DataFrame, elevations: DataFrame, keys: Keys = ("project_id",)) -> DataFrame:
     """Each plan opening, in order, takes the best free elevation opening of its facade.
 
     Both sides: keys, ``id``, ``ord``, ``kind``, ``facade``, ``mark``, ``width``, ``height``, ``position``. A plan opening whose
     facade has nothing left may take an opening of another facade with a score of at least 0.68.
 
-    Preferences are made in three steps so that no facade is paired row by row: first equal
-    marks and close positions; only for plan openings that run out of these, the rest of
-    their facade; only then other facades (where a score of 0.68 again needs an equal mark
-    or a close position). The match over the lists made so far is final once no plan
-    opening without a partner has a step left.
+    Preferences are made in steps so that no facade is paired row by row. A score above 0.58 needs an
+    equal mark or a position within 900, so the first lists come from these two joins alone.
+    Only plan openings that run out of them get the rest of their facade, and openings of other
+    facades (0.68 again needs one of the two). The match over the lists made so far is final
+    once no plan opening without a partner has a step left.
     """
     p, e = prefixed(plans, "p_", keys), prefixed(elevations, "e_", keys)
     same = F.col("p_facade") == F.col("e_facade")
@@ -223,7 +227,7 @@ def match_views(plans: DataFrame, elevations: DataFrame, keys: Keys = ("project_
         both = by_mark.unionByName(near.where(~equal))
         return both.drop(*[c for c in on if c not in keys])
 
-    lists = checkpoint(prefs(strong(p, True), 0))
+    lists = checkpoint(prefs(strong(p, True), 0).where(F.col("score") > WEAK_SCORE))
     ids = [*keys, "p_id"]
     widened, held = None, None
     rounds = 0
@@ -238,10 +242,7 @@ def match_views(plans: DataFrame, elevations: DataFrame, keys: Keys = ("project_
         rest = free.withColumn("_k", F.col("p_kind")).withColumn("_f", F.col("p_facade")).join(
             e.withColumn("_k", F.col("e_kind")).withColumn("_f", F.col("e_facade")), [*keys, "_k", "_f"]
         ).drop("_k", "_f")
-        tried = (F.abs(F.col("p_position") - F.col("e_position")) <= 900) | (
-            (F.upper(F.trim("p_mark")) == F.upper(F.trim("e_mark"))) & (F.trim("p_mark") != "")
-        )
-        rest = prefs(rest.where(~F.coalesce(tried, F.lit(False))), 1)
+        rest = prefs(rest, 1).where((F.col("score") > 0) & (F.col("score") <= WEAK_SCORE))
         other = prefs(strong(free, False).where(~same), 2).where(F.col("score") >= 0.68)
         lists = checkpoint(lists.unionByName(rest).unionByName(other))
         widened = free.select(*ids) if widened is None else checkpoint(widened.unionByName(free.select(*ids)))
