@@ -96,6 +96,8 @@ def wall_candidates(segments: DataFrame, keys: Keys = DRAWING) -> DataFrame:
 
 def keep_piers(candidates: DataFrame, keys: Keys = DRAWING, cell: float = 2000.0) -> DataFrame:
     """Normal and short walls, and of the piers those that end at a wall across them."""
+    # Read three times below; written once so that the pair join runs once.
+    candidates = checkpoint(candidates)
     sure = candidates.where("recognition_source <> 't_pier_wall_lines'")
     pier = candidates.where("recognition_source = 't_pier_wall_lines'")
     shape = ["a_ord", "b_ord", "x1", "y1", "x2", "y2", "len", "ux", "uy", "raw_width", "normalized_width", *BOX]

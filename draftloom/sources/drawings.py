@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from draftloom.functions import geometry as g
+from draftloom.session import checkpoint
 
 # Entity types that are kept, and the group codes of their numbers.
 SIMPLE_TYPES = ["LINE", "ARC", "CIRCLE", "LWPOLYLINE", "TEXT", "MTEXT", "DIMENSION", "INSERT"]
@@ -105,7 +106,7 @@ def read_blocks(tags: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Block definitions (name, base point, bounds, layers, count) and their entities."""
     numbered = _numbered(tags).where("section = 'BLOCKS' and entity > 0 and block > 0")
     heads = numbered.groupBy("file", "block").agg(F.min_by(F.when(F.col("code") == "2", F.col("val")), F.when(F.col("code") == "2", F.col("n"))).alias("block_name"))
-    rows = _gathered(numbered)
+    rows = checkpoint(_gathered(numbered))
     base = rows.where("etype = 'BLOCK'").select("file", "block", F.col("c10").alias("base_x"), F.col("c20").alias("base_y"))
     named = heads.join(base, ["file", "block"]).where(F.coalesce("block_name", F.lit("")) != "")
     # A name defined again replaces the earlier definition.
