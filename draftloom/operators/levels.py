@@ -135,3 +135,12 @@ def nearest_level(items: DataFrame, levels: DataFrame, keys: Keys, item_id: str,
     gap = F.abs(F.col(z) - F.col("_z"))
     best = a.join(b, [*keys, "_c"]).where(gap <= tolerance).groupBy(*keys, item_id).agg(F.min(F.struct(gap.alias("gap"), F.col("_z"), F.col("_id"))).alias("_b"))
     return items.join(best, [*keys, item_id], "left").select(*items.columns, F.col("_b._id").alias("level_id"), F.col("_b.gap").alias("level_gap"))
+
+
+def merge_heights(explicit: DataFrame, derived: DataFrame, keys: Keys) -> DataFrame:
+    """Stated and derived floor heights as one list: the surest per floor and height, then the lowest and leftmost.
+
+    Both: keys, ``floor``, ``height_mm``, ``confidence``, ``x``, ``y``.
+    """
+    both = explicit.unionByName(derived).withColumn("_h", F.round("height_mm", 1)).withColumn("_f", F.coalesce("floor", F.lit("")))
+    return first_wins(both, [*keys, "_f", "_h"], [-F.col("confidence"), F.col("y"), F.col("x")]).drop("_f", "_h")

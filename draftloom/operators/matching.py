@@ -391,3 +391,23 @@ def infer_sills(windows: DataFrame, views: DataFrame, keys: Keys = ("project_id"
         *[c for c in windows.columns if c != "sill_mm"], F.coalesce("sill_mm", "_size_sill", "_usual", F.lit(default)).alias("sill_mm"), source.alias("sill_source"),
         (F.col("sill_mm").isNull() & F.col("_size_sill").isNull() & F.col("_usual").isNull()).alias("sill_needs_review"),
     )
+
+
+def attach_marks(openings: DataFrame, marks: DataFrame, keys: Keys = DRAWING, opening_id: str = "opening_id") -> DataFrame:
+    """Openings with the size of their nearest mark; a width it replaces is kept, doors stand on the floor."""
+    near = nearest_marks(openings, marks, keys, opening_id).select(*keys, "kind", opening_id, F.col("m_width_mm").alias("_w"), F.col("m_height_mm").alias("_h"))
+    rows = openings.join(near, [*keys, "kind", opening_id], "left")
+    found = F.col("_w").isNotNull()
+    return rows.select(
+        *[c for c in openings.columns if c not in ("width_mm", "height_mm")], F.coalesce("_w", "width_mm").alias("width_mm"), F.coalesce("_h", "height_mm").alias("height_mm"),
+        F.when(found & (F.col("_w") != F.col("width_mm")), F.col("width_mm")).alias("width_geometry_original"), F.when(found, "nearest_text_annotation").alias("size_source"),
+        F.when(F.col("kind") == "door", 0).alias("sill_mm"), F.when(F.col("kind") == "door", "door_default_floor_level").alias("sill_source"),
+    )
+
+
+def attach_wall_heights(walls: DataFrame, heights: DataFrame, keys: Keys = DRAWING) -> DataFrame:
+    """Walls without a height take the drawing's first floor height. ``heights``: keys, ``ord``, ``height_mm``."""
+    first = heights.where("height_mm > 0").groupBy(*keys).agg(F.min(F.struct("ord", "height_mm")).alias("_f"))
+    rows = walls.join(first, list(keys), "left")
+    take = F.col("height_mm").isNull() & F.col("_f").isNotNull()
+    return rows.select(*[c for c in walls.columns if c != "height_mm"], F.coalesce("height_mm", "_f.height_mm").alias("height_mm"), F.when(take, "floor_height_candidate").alias("height_source"))

@@ -199,3 +199,29 @@ def window_sills(spark, sf_dir):
     v = derived(spark, sf_dir, "views").where("kind = 'window'")
     filled = m.infer_sills(v.where("view = 'plan'"), v.where("view = 'elevation' and sill_mm is not null"))
     return filled.select("project_id", "id", F.col("sill_mm").cast("bigint").alias("sill_mm"), "sill_source")
+
+
+@query("attached_marks", "R5", f"""with p as (select o.drawing_id, opening_id, m.width_mm mw, m.height_mm mh, mark_id, {_NEAR} d from {DOORS} o join {MARKS} m using (drawing_id, kind)), k as (select *, row_number() over (partition by drawing_id, opening_id order by d, mark_id) rn from p where d<2500)
+ select o.opening_id, coalesce(mw,o.width_mm) width_mm, coalesce(mh,o.height_mm) height_mm, case when mw<>o.width_mm then o.width_mm end width_geometry_original, case when o.kind='door' then 0 end sill_mm from {DOORS} o left join k on k.drawing_id=o.drawing_id and k.opening_id=o.opening_id and rn=1""")
+def attached_marks(spark, sf_dir):
+    found = m.attach_marks(derived(spark, sf_dir, "sheet_openings"), derived(spark, sf_dir, "marks"), KEYS)
+    return found.select("opening_id", "width_mm", "height_mm", "width_geometry_original", "sill_mm")
+
+
+@query("attached_wall_heights", "R5", f"""with h as (select drawing_id, arg_min(height_mm, opening_id) h from {OPEN} group by drawing_id) select w.id, case when w.id%2=0 then 2500 else h.h end::bigint height_mm, case when w.id%2<>0 and h.h is not null then 'floor_height_candidate' end height_source from {WALLS} w left join h using (drawing_id)""")
+def attached_wall_heights(spark, sf_dir):
+    walls = placed_walls(spark, sf_dir).withColumn("height_mm", F.when(F.col("id") % 2 == 0, F.lit(2500).cast("bigint")))
+    heights = derived(spark, sf_dir, "openings").select("drawing_id", F.col("opening_id").alias("ord"), "height_mm")
+    return m.attach_wall_heights(walls, heights, KEYS).select("id", "height_mm", "height_source")
+
+
+@query("merged_heights", "U2 W8", f"""with u as (select drawing_id, 'F'||(opening_id%4) floor, height_mm, 0.9 c, x, y from {DOORS} where kind='door' union all select drawing_id, 'F'||(opening_id%4), height_mm, 0.72, x, y from {DOORS} where kind='window'), r as (select *, row_number() over (partition by drawing_id, floor, height_mm order by c desc, y, x) rn from u) select drawing_id, floor, height_mm, x, y from r where rn=1""")
+def merged_heights(spark, sf_dir):
+    from draftloom.operators.levels import merge_heights
+
+    o = derived(spark, sf_dir, "sheet_openings").withColumn("floor", F.concat(F.lit("F"), (F.col("opening_id") % 4).cast("string")))
+
+    def part(kind, sure):
+        return o.where(F.col("kind") == kind).select("drawing_id", "floor", "height_mm", F.lit(sure).alias("confidence"), "x", "y")
+
+    return merge_heights(part("door", 0.9), part("window", 0.72), KEYS).drop("confidence")

@@ -214,3 +214,13 @@ def normalized_components(spark, sf_dir):
                    F.when(F.col("review_status") == "needs_review", "TRUE").otherwise("").alias("Needs-Review"), F.col("confidence").cast("string").alias("Confidence"))
     found = tb.normalized_components(tb.clean_table(raw), "doors")
     return found.select(F.col("id").cast("bigint").alias("id"), "width_mm", "review_status", "confidence")
+
+
+@query("model_items", "S9 S10", f"""select opening_id::string id, x::double x, y::double y, (height_mm)::double height_mm, case when kind='door' then 0.9 else 0.85 end::double confidence, 3 corners from {OPEN}""")
+def model_items(spark, sf_dir):
+    o = derived(spark, sf_dir, "openings")
+    door = F.col("kind") == "door"
+    boundary = F.to_json(F.array(*[F.array(F.col("x") + i, F.col("y") + j) for i, j in ((0, 0), (1, 0), (1, 1))]))
+    item = F.to_json(F.struct(F.col("opening_id").cast("string").alias("id"), F.struct("x", "y").alias("center"), F.lit(0).alias("base_z_mm"), F.col("height_mm").alias("top_z_mm"), F.when(door, "high").otherwise("85%").alias("confidence"), boundary.alias("boundary")))
+    items = o.select(F.col("drawing_id").cast("string").alias("file"), F.concat(F.col("kind"), F.lit("s")).alias("component_group"), F.col("opening_id").alias("ord"), item.alias("item"))
+    return tb.model_fields(items).select("id", "x", "y", "height_mm", "confidence", F.size("boundary").alias("corners"))

@@ -26,7 +26,7 @@ def tags_of(files: DataFrame) -> DataFrame:
     lines = F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")
     pairs = F.transform(
         F.sequence(F.lit(0), F.floor((F.size("_l") / 2)).cast("int") - 1),
-        lambda i: F.struct(i.cast("bigint").alias("n"), F.trim(F.get("_l", i * 2)).alias("code"), F.trim(F.get("_l", i * 2 + 1)).alias("val")),
+        lambda i: F.struct(i.cast("bigint").alias("n"), g.strip(F.get("_l", i * 2)).alias("code"), g.strip(F.get("_l", i * 2 + 1)).alias("val")),
     )
     return files.withColumn("_l", lines).where(F.size("_l") >= 2).select("file", F.explode(pairs).alias("_t")).select("file", "_t.*")
 
