@@ -324,7 +324,10 @@ def fuse_details(details: DataFrame, plans: DataFrame, keys: Keys = ("project_id
         fits = fits & F.coalesce(F.abs(F.col(c) - F.col(f"p_{c}")) <= 10, F.lit(True))
     on_width = pairs.join(close, [*keys, "_w"]).where(F.col("p_width_mm").isNotNull())
     # Sizes without a width on either side compare by the other two fields.
-    bare = wanted.join(close.drop("_w"), list(keys)).where(F.col("width_mm").isNull() | F.col("p_width_mm").isNull())
+    kinds_only = close.drop("_w")
+    bare = wanted.where("width_mm is null").join(kinds_only, list(keys)).unionByName(
+        wanted.where("width_mm is not null").join(kinds_only.where("p_width_mm is null"), list(keys))
+    )
     sized = on_width.drop("_w").unionByName(bare).where(fits & (compared >= 2)).groupBy(*keys, *sizes).agg(
         F.sum("n").alias("_n"), F.min("pid").alias("_size_id")
     ).where("_n = 1").drop("_n")
