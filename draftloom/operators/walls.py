@@ -41,7 +41,7 @@ def _heading(degrees: Column) -> Column:
     return (F.floor((F.pmod(degrees, F.lit(180.0)) + 22.5) / 45.0).cast("int")) % 4
 
 
-def pair_lines(segments: DataFrame, keys: Keys = DRAWING, cell: float = 2000.0) -> DataFrame:
+def pair_lines(segments: DataFrame, keys: Keys = DRAWING, cell: float = 4000.0) -> DataFrame:
     """Every pair of parallel lines a wall thickness apart that run side by side.
 
     Input: keys, ``id``, ``ord``, ``layer``, x1, y1, x2, y2. Output per pair: both ids and
