@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -42,12 +43,14 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 def checkpoint_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: the one ``spark.checkpoint.dir`` names.
 
-    It must be one that all executors share. Only a session that names none (a local test)
-    gets a folder of its own.
+    It must be one that all executors share. Only a local session that names none (a test)
+    gets a folder of its own; on a cluster that is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="draftloom-checkpoint-"))
     return context.getCheckpointDir()
 
