@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftloom.llm import chat, mixing, simhash
+from draftloom.llm import bins, chat, language, mixing, packing, pages, perplexity, simhash, vectors
 from draftloom.llm.common import table, words
 from draftloom.session import checkpoint
 
@@ -69,3 +69,40 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     return simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op2_packed_tokens")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as rows of a matrix of token ids."""
+    return packing.pack_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("op3_nearest_vectors")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest other vectors of every hundredth vector."""
+    return vectors.search(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_page_texts")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return pages.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op8_languages")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op9_best_fit_bins")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in bins of the permitted lengths."""
+    return bins.pack_documents(table(spark, sf_dir, "documents"), with_texts=False)
+
+
+@query("op10_quality_rules")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and perplexity verdict of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return perplexity.judge(docs, carry=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity")
