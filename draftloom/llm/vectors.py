@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from draftloom.llm.common import ship
 from draftloom.session import checkpoint
 
 NEIGHBOURS = 10
@@ -69,6 +70,7 @@ def index(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", sa
 
     The centre is the mean of at most ``sample`` rows, those with the smallest hash of their id. None if no row is usable.
     """
+    ship(vectors.sparkSession)
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("vector")).where("id is not null").where(usable(F.col("vector")))
     common = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if common is None:
