@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftloom.llm import bins, chat, language, mixing, packing, pages, perplexity, simhash, vectors
+from draftloom.llm import bins, chat, language, mixing, packing, pages, perplexity, secrets, simhash, vectors
 from draftloom.llm.common import table, words
 from draftloom.session import checkpoint
 
@@ -89,6 +89,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+@query("op5_secret_findings")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate credential of every document and whether it is a secret."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op8_languages")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
