@@ -135,7 +135,7 @@ def labelled_findings(docs: DataFrame, found: DataFrame, key: str = "doc_id", te
                                          F.pmod(F.xxhash64(F.lit("form"), F.col(key).cast("string")), F.lit(8)).alias("form")).where("size(w) >= 3")
 
     def word(i: int) -> Column:
-        return F.element_at("w", (F.pmod(F.xxhash64("h", F.lit(i)), F.size("w")) + 1).cast("int"))
+        return F.get("w", F.pmod(F.xxhash64("h", F.lit(i)), F.greatest(F.size("w"), F.lit(1))).cast("int"))
 
     base = base.select("h", "s", "form", word(1).alias("a"), word(2).alias("b"), word(3).alias("c"))
     plain = F.regexp_replace("a", r"[^\p{L}]", "")
