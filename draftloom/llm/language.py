@@ -9,7 +9,7 @@ Learning: words of labelled rows are counted per language by Spark; expectation
 rows is bounded per language by ``ROWS_PER_LANGUAGE``, drawn by hash of the row's key. The model has one number per
 language and vocabulary entry, so its size is bounded by the vocabulary; only that is sent to the tasks.
 
-Prediction: all pieces in the distinct words of a batch are found by one pass of an automaton, the forward sums of all words run
+Prediction: all pieces in the distinct words of a batch are looked up length by length, the forward sums of all words run
 side by side, and a bounded memory keeps the scores of words that were met before. Whole texts are scored.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; if nothing could be learned, so is every text; bytes that
@@ -22,8 +22,8 @@ from __future__ import annotations
 import base64
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,9 +36,11 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 ROWS_PER_LANGUAGE = 2000
 ROUNDS = 3
 #: Pieces longer than this are not used; words are cut into stretches of at most so many bytes.
-LONGEST_PIECE, LONGEST_WORD = 16, 64
+LONGEST_PIECE, LONGEST_WORD = 16, 32
 #: Count that every piece has in every language from the outset, and words a worker remembers.
-PRIOR, REMEMBERED = 0.01, 500_000
+PRIOR, REMEMBERED = 0.01, 1_000_000
+#: No piece is less likely than this.
+FLOOR = 1e-9
 UNKNOWN = "und"
 
 
@@ -51,34 +53,67 @@ def read_vocabulary(path: str = VOCABULARY) -> list[bytes]:
 
 
 class Lattice:
-    """Forward and backward sums of words over the pieces of a vocabulary."""
+    """Forward and backward sums of words over the pieces of a vocabulary.
+
+    Pieces are found by their bytes, packed into 64 bits (a hash of them beyond eight bytes), in one sorted array per length.
+    """
 
     def __init__(self, pieces: list[bytes]) -> None:
         self.lengths = np.array([len(p) for p in pieces], dtype=np.int32)
-        # Bytes as characters of one code point each, so that the automaton reads any word.
-        self.automaton = ahocorasick.Automaton()
-        for i, p in enumerate(pieces):
-            self.automaton.add_word(p.decode("latin-1"), i)
-        self.automaton.make_automaton()
+        self.longest = int(self.lengths.max())
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))]
+        for n in range(1, self.longest + 1):
+            number = np.flatnonzero(self.lengths == n)
+            keys = self._keys(self._packed(b"".join(pieces[i] for i in number)), np.arange(len(number)) * n, n)
+            order = np.argsort(keys)
+            self.tables.append((keys[order], number[order]))
+
+    @staticmethod
+    def _packed(joined: bytes) -> np.ndarray:
+        """The eight bytes from each place on, big-endian."""
+        values = np.frombuffer(joined + bytes(24), dtype=np.uint8)
+        packed = np.zeros(len(values) - 8, dtype=np.uint64)
+        for k in range(8):
+            packed = (packed << np.uint64(8)) | values[k:k + len(packed)]
+        return packed
+
+    @staticmethod
+    def _keys(packed: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        first = packed[at] >> np.uint64(8 * max(0, 8 - n))
+        if n <= 8:
+            return first
+        return first * np.uint64(0x9E3779B97F4A7C15) + (packed[at + 8] >> np.uint64(8 * (16 - n)))
 
     def edges(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """(word, end, piece) of every piece found in a word, and the longest word."""
         sizes = np.array([len(w) for w in words], dtype=np.int64)
-        joined = b"\x00".join(words).decode("latin-1")
-        starts = np.concatenate(([0], np.cumsum(sizes[:-1] + 1)))
-        found = np.array(list(self.automaton.iter(joined)), dtype=np.int64).reshape(-1, 2)
-        word = np.searchsorted(starts, found[:, 0], side="right") - 1
-        end = found[:, 0] - starts[word] + 1
-        inside = (end <= sizes[word]) & (end - self.lengths[found[:, 1]] >= 0)
-        return word[inside], end[inside], found[inside, 1], int(sizes.max(initial=0))
+        packed = self._packed(b"".join(words))
+        word = np.repeat(np.arange(len(words)), sizes)
+        place = np.arange(len(word)) - (np.cumsum(sizes) - sizes)[word]
+        at, left = np.arange(len(word)), sizes[word] - place
+        out = []
+        for n, (keys, numbers) in enumerate(self.tables[1:], 1):
+            fits = left >= n
+            at, left = at[fits], left[fits]
+            if not len(at):
+                break
+            if not len(keys):
+                continue
+            wanted = self._keys(packed, at, n)
+            spot = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            hit = keys[spot] == wanted
+            found = at[hit]
+            out.append((word[found], place[found] + n, numbers[spot[hit]]))
+        return *(np.concatenate(x) for x in zip(*out)), int(sizes.max(initial=0))
 
     def forward(self, words: list[bytes], probabilities: np.ndarray) -> np.ndarray:
-        """Log probability of each word in each language: words x languages. ``probabilities``: pieces x languages."""
-        sums, scale, _ = self._forward(words, probabilities)
-        last = np.array([len(w) for w in words])
-        return np.log(sums[last, np.arange(len(words))]) + scale[last, np.arange(len(words))][:, None]
+        """Log probability of each word, with a space before it, in each language: words x languages. ``probabilities``: pieces x languages."""
+        sums, last, _ = self._forward(words, probabilities)
+        return np.log(sums[last, np.arange(len(words))])
 
     def _forward(self, words: list[bytes], probabilities: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """Sums over all segmentations up to each place (``LONGEST_WORD`` and ``FLOOR`` keep them above zero), places where words end, edges."""
+        words = [b" " + w for w in words]
         word, end, piece, longest = self.edges(words)
         order = np.argsort(end, kind="stable")
         word, end, piece = word[order], end[order], piece[order]
@@ -86,63 +121,40 @@ class Lattice:
         bounds = np.searchsorted(end, np.arange(longest + 2))
         n, languages = len(words), probabilities.shape[1]
         sums = np.zeros((longest + 1, n, languages))
-        scale = np.zeros((longest + 1, n))
         sums[0] = 1.0
         for at in range(1, longest + 1):
             part = slice(bounds[at], bounds[at + 1])
-            w, s = word[part], start[part]
-            if not len(w):
-                continue
-            # Sums are kept near one; what was taken out stands in ``scale``. Distances between places are rescaled to this one.
-            base = np.full(n, -np.inf)
-            np.maximum.at(base, w, scale[s, w])
-            gain = np.exp(scale[s, w] - base[w])
-            value = sums[s, w] * probabilities[piece[part]] * gain[:, None]
+            w = word[part]
+            value = sums[start[part], w] * probabilities[piece[part]]
             for k in range(languages):
                 sums[at, :, k] = np.bincount(w, value[:, k], n)
-            top = sums[at].max(axis=1)
-            live = top > 0
-            sums[at, live] /= top[live, None]
-            scale[at, live] = base[live] + np.log(top[live])
-        return sums, scale, (word, start, end, piece)
+        return sums, np.array([len(w) for w in words]), (word, start, end, piece)
 
     def expected(self, words: list[bytes], counts: np.ndarray, probabilities: np.ndarray, pieces: int) -> np.ndarray:
         """Expected number of uses of each piece in one language, for words with counts."""
-        sums, scale, (word, start, end, piece) = self._forward(words, probabilities)
-        ahead = np.where(sums[:, :, 0] > 0, np.log(np.maximum(sums[:, :, 0], 1e-300)) + scale, -np.inf)
-        n, longest = len(words), sums.shape[0] - 1
-        last = np.array([len(w) for w in words])
-        back = np.full((longest + 1, n), -np.inf)
-        back[last, np.arange(n)] = 0.0
-        logs = np.log(probabilities[:, 0])
+        sums, last, (word, start, end, piece) = self._forward(words, probabilities)
+        ahead, n = sums[:, :, 0], len(words)
+        back = np.zeros_like(ahead)
+        back[last, np.arange(n)] = 1.0
         order = np.argsort(-start, kind="stable")
         word, start, end, piece = word[order], start[order], end[order], piece[order]
+        chance = probabilities[piece, 0]
+        longest = len(ahead) - 1
         bounds = np.searchsorted(-start, -np.arange(longest, -2, -1))
         for k, at in enumerate(range(longest, -1, -1)):
             part = slice(bounds[k], bounds[k + 1])
             w = word[part]
-            if len(w):
-                value = logs[piece[part]] + back[end[part], w]
-                top = np.full(n, -np.inf)
-                np.maximum.at(top, w, value)
-                fine = np.isfinite(top[w])
-                total = np.bincount(w[fine], np.exp(value[fine] - top[w[fine]]), n)
-                here = total > 0
-                back[at, here] = np.logaddexp(back[at, here], np.log(total[here]) + top[here])
-        share = ahead[start, word] + logs[piece] + back[end, word] - ahead[last[word], word]
-        return np.bincount(piece, np.exp(np.minimum(share, 0)) * counts[word], pieces)
+            back[at] += np.bincount(w, chance[part] * back[end[part], w], n)
+        share = ahead[start, word] * chance * back[end, word] / ahead[last[word], word]
+        return np.bincount(piece, share * counts[word], pieces)
 
 
 def stretches(text: str) -> list[bytes]:
-    """Words of a text with a space before each; very long words come in stretches."""
-    out = []
-    for word in text.encode("utf-8", "surrogatepass").replace(b"\x00", b" ").split():
-        word = b" " + word
-        if len(word) <= LONGEST_WORD:
-            out.append(word)
-        else:
-            out += [word[i:i + LONGEST_WORD] for i in range(0, len(word), LONGEST_WORD)]
-    return out
+    """Words of a text; very long words come in stretches."""
+    words = text.encode("utf-8", "surrogatepass").split()
+    if not words or max(map(len, words)) <= LONGEST_WORD:
+        return words
+    return [word[i:i + LONGEST_WORD] for word in words for i in range(0, len(word), LONGEST_WORD)]
 
 
 _lattices: dict[int, Lattice] = {}
@@ -167,11 +179,11 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
     """Fit piece probabilities from rows with text and language; None if there are none."""
     spark = docs.sparkSession
     small_batches(spark)
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    share = labelled.groupBy(lang).count().select(F.col(lang).alias("l"), (F.lit(float(rows_per_language)) / F.col("count")).alias("share"))
-    drawn = labelled.join(share, F.col(lang) == F.col("l"))
     u = F.pmod(F.xxhash64(F.lit("learn"), F.col(key).cast("string")), F.lit(1_000_003)) / 1_000_003
-    drawn = drawn.where(u < F.col("share")).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    labelled = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), u.alias("u")).where("lang is not null and text is not null")
+    # One small row per language, written so that the planner knows its size: texts need no shuffle to meet it.
+    share = checkpoint(labelled.groupBy("lang").count().select("lang", (F.lit(float(rows_per_language)) / F.col("count")).alias("share")))
+    drawn = labelled.join(share, "lang").where(F.col("u") < F.col("share")).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, Counter] = {}
@@ -223,7 +235,7 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
         sums = words.mapInPandas(expect, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
         counts = np.full((len(pieces), len(languages)), PRIOR)
         np.add.at(counts, (sums["piece"].to_numpy(), sums["lang"].map(place).to_numpy()), sums["n"].to_numpy())
-        probabilities = counts / counts.sum(axis=0)
+        probabilities = np.maximum(counts / counts.sum(axis=0), FLOOR)
         shipped.unpersist()
     return Model(languages, pieces, probabilities)
 
@@ -241,7 +253,7 @@ class Scorer:
         if len(self.places) > REMEMBERED:
             self.places = {}
         known = self.places
-        new = list({w for words in split for w in words if w not in known})
+        new = list(set().union(*split).difference(known))
         if new:
             # Words of like length run side by side.
             new.sort(key=len)
@@ -252,11 +264,10 @@ class Scorer:
                 part = new[at:at + 4096]
                 self.scores[len(known):len(known) + len(part)] = self.lattice.forward(part, self.model.probabilities)
                 known.update(zip(part, range(len(known), len(known) + len(part))))
-        out = np.zeros((len(texts), len(self.model.languages)))
-        for i, words in enumerate(split):
-            if words:
-                out[i] = self.scores[[known[w] for w in words]].sum(axis=0)
-        return out
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        places = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        owner = np.repeat(np.arange(len(split)), sizes)
+        return np.stack([np.bincount(owner, column[places], len(split)) for column in self.scores.T], axis=1)
 
 
 _scorers: dict[int, Scorer] = {}
