@@ -168,3 +168,9 @@ def smart_text(value) -> Column:
     number = text.try_cast("double")
     whole = number.isNotNull() & (number == F.floor(number)) & (F.abs(number) < 1e15)
     return F.when(text == "", F.lit(None)).when(whole, F.floor(number).cast("bigint").cast("string")).otherwise(text)
+
+
+def padded(number: Column, width: int) -> Column:
+    """A number as text with leading zeros; numbers with more digits keep all of them (``lpad`` alone would cut them)."""
+    text = number.cast("string")
+    return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)

@@ -256,23 +256,29 @@ def design_requirements(notes: DataFrame, keys: Keys, text: str = "text") -> Dat
     return rows.groupBy(*keys, "rule", "component_group", "value", "unit").agg(F.min("tolerance").alias("tolerance"))
 
 
-def requirement_conflicts(requirements: DataFrame, values: DataFrame, keys: Keys, stop: int = 25, bucket: int = 65536) -> DataFrame:
+def requirement_conflicts(requirements: DataFrame, values: DataFrame, keys: Keys, stop: int | None = None, bucket: int = 65536) -> DataFrame:
     """Components that miss or contradict a requirement.
 
-    ``values``: keys, ``id``, ``ord`` and ``rule`` with ``actual``. A rule stops after the conflict that brings its rows
-    to ``stop``, as the report it feeds shows no more. Rows are numbered in buckets of ``ord``, so
-    a project that holds most rows is shared by many tasks.
+    ``values``: keys, ``id``, ``ord`` and ``rule`` with ``actual``. All rows, unless a report that shows no more
+    asks for ``stop``: then a rule ends with the conflict that brings its rows to that number. Rows are numbered in
+    buckets of ``ord``, so a project that holds most rows is shared by many tasks.
     """
     rows = requirements.join(values, [*keys, "rule"])
     missing = F.coalesce("actual", F.lit(0)) <= 0
     off = F.abs(F.col("actual") - F.col("value")) > F.col("tolerance")
     hits = rows.where(missing | off).withColumn("_missing", missing)
     by = [*keys, "rule", "value", "unit"]
+    if stop is None:
+        return _conflict_rows(hits, keys)
     # The first conflict with at least ``stop`` rows up to it ends the list: rows below it are all kept.
     numbered = number_rows(hits, by, [F.col("ord"), F.col("id")], F.floor(F.col("ord") / bucket), "_n")
     end = numbered.where(~F.col("_missing") & (F.col("_n") >= stop)).groupBy(*by).agg(F.min("_n").alias("_end"))
     kept = numbered.join(end, by, "left").where(F.col("_end").isNull() | (F.col("_n") <= F.col("_end")))
-    return kept.select(
+    return _conflict_rows(kept, keys)
+
+
+def _conflict_rows(hits: DataFrame, keys: Keys) -> DataFrame:
+    return hits.select(
         *keys, "rule", "value", "id", F.when(F.col("_missing"), "missing_required_evidence").otherwise("multi_source_conflict").alias("evidence_type"),
         F.when(~F.col("_missing"), F.round(F.abs(F.col("actual") - F.col("value")), 3)).alias("difference"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from draftloom.functions import values as v
 from draftloom.functions import geometry as g
 from draftloom.operators.matching import point_box
 from draftloom.operators.ordered import first_wins, suppress
@@ -47,7 +48,7 @@ def numbered_frames(frames: DataFrame, keys: Keys = DRAWING) -> DataFrame:
     from draftloom.operators.ordered import number_rows
 
     rows = number_rows(frames, keys, [F.col("y1").desc(), F.col("x0"), F.col("ord")], F.floor(-F.col("y1") / 100000), "_n")
-    return rows.withColumn("frame_id", F.concat(F.lit("F"), F.lpad(F.col("_n").cast("string"), 3, "0"))).drop("_n")
+    return rows.withColumn("frame_id", F.concat(F.lit("F"), v.padded(F.col("_n"), 3))).drop("_n")
 
 
 def in_frames(entities: DataFrame, frames: DataFrame, keys: Keys = DRAWING, margin: float = 0.0, cell: float = 20000.0) -> DataFrame:
@@ -83,10 +84,11 @@ def opening_reach(width, minimum=450.0) -> Column:
     return F.greatest(F.lit(float(minimum)), F.least(F.lit(1200.0), F.coalesce(g.col(width), F.lit(0.0)) * 0.65))
 
 
-def distinct_openings(found: DataFrame, placed: DataFrame | None, keys: Keys = DRAWING, minimum: float = 450.0, cell: float = 1200.0) -> DataFrame:
+def distinct_openings(found: DataFrame, placed: DataFrame | None, keys: Keys = DRAWING, minimum: float = 450.0, cell: float = 1200.0, rivals: DataFrame | None = None) -> DataFrame:
     """Openings of one recognition stage that are not near an earlier one.
 
     ``found``: keys, ``id``, ``ord``, ``x``, ``y``, ``width``; ``placed`` holds the results of earlier stages, which stay.
+    ``rivals`` (keys, ``early``, ``late``) names further rows of which only one can stand, such as pairs with a part in common.
     """
     near = F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")) <= F.greatest(opening_reach("b_width", minimum), F.least(F.lit(1200.0), F.coalesce("a_width", F.lit(0.0)) * 0.65))
     rows = found
@@ -94,7 +96,8 @@ def distinct_openings(found: DataFrame, placed: DataFrame | None, keys: Keys = D
         taken = box_join(point_box(placed), point_box(rows), keys, BOX, BOX, cell, margin=1200.0, condition=near)
         rows = rows.join(taken.select(*keys, F.col("b_id").alias("id")).distinct(), [*keys, "id"], "left_anti")
     pairs = box_join(point_box(rows), point_box(rows), keys, BOX, BOX, cell, margin=1200.0, condition=_earlier() & near)
-    return suppress(rows, _edges(pairs, keys), keys)
+    edges = _edges(pairs, keys)
+    return suppress(rows, edges if rivals is None else edges.unionByName(rivals), keys)
 
 
 def distinct_rectangles(rects: DataFrame, keys: Keys = DRAWING, cell: float = 3000.0) -> DataFrame:
@@ -160,7 +163,7 @@ def recheck_walls(walls: DataFrame, keys: Keys = ("project_id",), cell: float =
 
     ``walls``: keys, ``id``, ``level``, ``drawing_id``, ``drawing_type``, ``floor_number``, ``floor_status``, x1, y1, x2, y2, ``thickness_mm``, ``material``,
     ``height_mm``, ``review_status``, ``confidence``. Adds ``kept``, ``duplicate_of``, ``conflicts`` (with the kept wall), ``blocked_by``: a wall of another
-    drawing at the same place whose floor identity is open blocks both.
+    drawing at the same place whose floor identity is open blocks both (the first of them in order of preference is named).
     """
     described = (F.coalesce("thickness_mm", F.lit(0)) != 0).cast("int") + (F.coalesce("material", F.lit("")) != "").cast("int") + (F.coalesce("height_mm", F.lit(0)) != 0).cast("int")
     view = F.when(F.col("drawing_type") == "floor_plan", 3).when(F.coalesce("drawing_type", F.lit("")) == "", 2).otherwise(1)
@@ -180,9 +183,10 @@ def recheck_walls(walls: DataFrame, keys: Keys = ("project_id",), cell: float =
     conflicts = merged.select(*keys, F.col("b_id").alias("id"), F.col("a_id").alias("duplicate_of"), differ.alias("conflicts"))
     kept = result.where("kept").select(*keys, "id")
     open_pairs = pairs.where(~same_floor() & (F.trim("a_drawing_id") != "") & (F.trim("b_drawing_id") != ""))
-    sides = open_pairs.select(*keys, F.col("a_id").alias("id"), F.col("b_id").alias("_other")).unionByName(open_pairs.select(*keys, F.col("b_id").alias("id"), F.col("a_id").alias("_other")))
+    sides = open_pairs.select(*keys, F.col("a_id").alias("id"), F.col("b_id").alias("_other"), F.col("b_ord").alias("_oo")).unionByName(
+        open_pairs.select(*keys, F.col("b_id").alias("id"), F.col("a_id").alias("_other"), F.col("a_ord").alias("_oo")))
     sides = sides.join(kept, [*keys, "id"], "left_semi").join(kept.withColumnRenamed("id", "_other"), [*keys, "_other"], "left_semi")
-    blocked = sides.groupBy(*keys, "id").agg(F.min("_other").alias("blocked_by"))
+    blocked = sides.groupBy(*keys, "id").agg(F.min(F.struct("_oo", "_other")).alias("_b")).select(*keys, "id", F.col("_b._other").alias("blocked_by"))
     return walls.join(result.select(*keys, "id", "kept", "duplicate_of"), [*keys, "id"]).join(conflicts, [*keys, "id", "duplicate_of"], "left").join(blocked, [*keys, "id"], "left").select(
         *walls.columns, "kept", "duplicate_of", "conflicts", "blocked_by"
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from draftloom.functions import values as v
 from draftloom.functions import geometry as g
 from draftloom.operators.ordered import mode, number_rows
 from draftloom.operators.spatial import Keys
@@ -27,7 +28,7 @@ def raw_inventory(entities: DataFrame, keys: Keys = DRAWING, bucket: int = 10000
         kind = F.when(F.upper("etype") == name, short).otherwise(kind)
     named = entities.withColumn("raw_kind", kind)
     numbered = number_rows(named, [*keys, "raw_kind"], [F.col("ord")], F.floor(F.col("ord") / bucket), "raw_no")
-    return numbered.withColumn("raw_id", F.concat("raw_kind", F.lit("-"), F.lpad(F.col("raw_no").cast("string"), 6, "0")))
+    return numbered.withColumn("raw_id", F.concat("raw_kind", F.lit("-"), v.padded(F.col("raw_no"), 6)))
 
 
 def drawing_origin(axes: DataFrame, keys: Keys = DRAWING) -> DataFrame:

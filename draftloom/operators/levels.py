@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from draftloom.functions import values as v
 from draftloom.functions import text as t
 from draftloom.operators.ordered import first_wins, mode
 from draftloom.operators.spatial import Keys
@@ -43,7 +44,7 @@ def level_table(found: DataFrame, keys: Keys, floor_height: Column | float) -> D
     line = group.orderBy(place, F.coalesce("number", F.lit(0)), "key")
     return (
         best.withColumn("_n", F.row_number().over(line))
-        .withColumn("level_id", F.concat(F.lit("LEVEL-"), F.lpad(F.col("_n").cast("string"), 3, "0")))
+        .withColumn("level_id", F.concat(F.lit("LEVEL-"), v.padded(F.col("_n"), 3)))
         .withColumn("elevation_mm", F.round((F.col("number") - 1) * floor_height, 3))
         .withColumn("needs_review", F.col("confidence") < 0.80)
         .drop("_n", "ord")

@@ -230,7 +230,6 @@ def match_views(plans: DataFrame, elevations: DataFrame, keys: Keys = ("project_
     lists = checkpoint(prefs(strong(p, True), 0).where(F.col("score") > WEAK_SCORE))
     ids = [*keys, "p_id"]
     widened, held = None, None
-    rounds = 0
     while True:
         held, lists = match_serial(lists, keys, "p_id", "e_id", "rank", "p_ord", held)
         free = p.join(held.select(*ids), ids, "left_anti")
@@ -246,9 +245,6 @@ def match_views(plans: DataFrame, elevations: DataFrame, keys: Keys = ("project_
         other = prefs(strong(free, False).where(~same), 2).where(F.col("score") >= 0.68)
         lists = checkpoint(lists.unionByName(rest).unionByName(other))
         widened = free.select(*ids) if widened is None else checkpoint(widened.unionByName(free.select(*ids)))
-        rounds += 1
-        if rounds > 50:
-            raise RuntimeError("view matching is not settled after 50 rounds")
     found = held.select(*keys, "p_id", "e_id", "score", F.when(F.col("score") >= 0.68, "matched").otherwise("needs_review").alias("match_status"))
     return plans.select(*keys, F.col("id").alias("p_id"), "kind", "facade").join(found, ids, "left").select(
         *keys, F.col("kind").alias("opening_kind"), F.col("p_id").alias("plan_id"), F.col("e_id").alias("elevation_id"), "facade",

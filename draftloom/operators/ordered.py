@@ -1,7 +1,8 @@
 """Set-based forms of order-dependent work: first wins, modes, greedy matching, groups.
 
 Every loop here works on all drawings at once, cuts lineage each round with a reliable
-checkpoint and stops when nothing is undecided.
+checkpoint and stops when nothing is undecided. Each round settles at least the first open row of
+every open group, so loops end by themselves.
 """
 
 from __future__ import annotations
@@ -14,12 +15,6 @@ from pyspark.sql import functions as F
 from draftloom.session import checkpoint
 
 Keys = Sequence[str]
-MAX_ROUNDS = 200
-
-
-def _over(rounds: int, what: str) -> None:
-    if rounds > MAX_ROUNDS:
-        raise RuntimeError(f"{what} is not settled after {MAX_ROUNDS} rounds")
 
 
 def first_wins(df: DataFrame, keys: Keys, order: Sequence[Column]) -> DataFrame:
@@ -88,7 +83,7 @@ def suppress(nodes: DataFrame, edges: DataFrame, keys: Keys, node: str = "id", o
     """
     early = nodes.select(*keys, F.col(node).alias("early"), F.col(order).alias("_eo"))
     links = checkpoint(edges.select(*keys, "early", "late").dropDuplicates([*keys, "early", "late"]).join(early, [*keys, "early"]))
-    open_links, fallen, rounds = links, None, 0
+    open_links, fallen = links, None
     while not open_links.isEmpty():
         waiting = open_links.select(*keys, F.col("late").alias("early")).distinct().withColumn("_waits", F.lit(True))
         seen = open_links.join(waiting, [*keys, "early"], "left")
@@ -100,8 +95,6 @@ def suppress(nodes: DataFrame, edges: DataFrame, keys: Keys, node: str = "id", o
         hit = state.where("_waits is null").select(*keys, "late").distinct()
         fallen = hit if fallen is None else fallen.unionByName(hit)
         open_links = state.where("_late_lost is null and _early_lost is null").select(*links.columns)
-        rounds += 1
-        _over(rounds, "suppression")
     result = nodes.withColumn("_id", F.col(node))
     if fallen is None:
         return result.drop("_id").withColumn("kept", F.lit(True)).withColumn("duplicate_of", F.lit(None).cast(nodes.schema[node].dataType))
@@ -127,7 +120,6 @@ def match_greedy(pairs: DataFrame, keys: Keys, left: str, right: str, order: Seq
     rank = F.struct(*order)
     open_pairs = checkpoint(pairs)
     taken: DataFrame | None = None
-    rounds = 0
     while True:
         best_left = open_pairs.groupBy(*keys, left).agg(F.min(rank).alias("_bl"))
         best_right = open_pairs.groupBy(*keys, right).agg(F.min(rank).alias("_br"))
@@ -144,8 +136,6 @@ def match_greedy(pairs: DataFrame, keys: Keys, left: str, right: str, order: Seq
                 both.select(*keys, right), [*keys, right], "left_anti"
             )
         )
-        rounds += 1
-        _over(rounds, "matching")
     return taken if taken is not None else open_pairs
 
 
@@ -163,7 +153,6 @@ def match_serial(
     """
     open_prefs = prefs
     row = F.struct(*prefs.columns).alias("row")
-    rounds = 0
     while True:
         asks = open_prefs if held is None else open_prefs.join(held.select(*keys, left), [*keys, left], "left_anti")
         best = asks.groupBy(*keys, left).agg(F.min(F.struct(F.col(rank).alias("_o"), row)).alias("_b"))
@@ -179,8 +168,6 @@ def match_serial(
         held = now_held
         if same or held.isEmpty():
             return held, open_prefs
-        rounds += 1
-        _over(rounds, "serial choice")
 
 
 def components(nodes: DataFrame, edges: DataFrame, keys: Keys, node: str = "id") -> DataFrame:
@@ -195,7 +182,6 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Keys, node: str = "id")
     current = checkpoint(
         edges.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     )
-    rounds = 0
     while True:
         both = current.unionByName(current.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -212,8 +198,6 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Keys, node: str = "id")
         if after.join(current, pair, "left_anti").isEmpty() and current.join(after, pair, "left_anti").isEmpty():
             break
         current = after
-        rounds += 1
-        _over(rounds, "grouping")
     roots = current.select(*keys, F.col("u").alias(node), F.col("v").alias("component"))
     return nodes.join(roots, [*keys, node], "left").withColumn("component", F.coalesce("component", F.col(node)))
 
@@ -231,7 +215,6 @@ def seeds(nodes: DataFrame, edges: DataFrame, keys: Keys, node: str = "id", orde
     )
     open_links = checkpoint(links)
     taken: DataFrame | None = None
-    rounds = 0
     while True:
         # The earliest seed that could still claim each row.
         claim = open_links.groupBy(*keys, "late").agg(F.min("eo").alias("_first"))
@@ -251,8 +234,6 @@ def seeds(nodes: DataFrame, edges: DataFrame, keys: Keys, node: str = "id", orde
                 used.withColumnRenamed("_u", "late"), [*keys, "late"], "left_anti"
             )
         )
-        rounds += 1
-        _over(rounds, "seed pairing")
     if taken is None:
         return links.select(*keys, F.col("early").alias("seed"), F.col("late").alias("partner"), "cost").where(F.lit(False))
     return taken

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from draftloom.functions import values as v
 from draftloom.functions import geometry as g
 from draftloom.operators.ordered import first_wins, number_rows
 from draftloom.operators.spatial import Keys, box_join, islands, nearest, prefixed, with_cells
@@ -160,7 +161,7 @@ def recognize_walls(segments: DataFrame, keys: Keys = DRAWING) -> DataFrame:
     walls = distinct_blocks(walls, keys)
     bucket = F.struct(F.col("ord.late"), F.floor(F.col("a_ord") / 4096))
     walls = number_rows(walls, keys, [F.col("ord")], bucket, "ord_no")
-    return walls.withColumn("id", F.concat(F.lit("W"), F.lpad(F.col("ord_no").cast("string"), 4, "0"))).withColumn(
+    return walls.withColumn("id", F.concat(F.lit("W"), v.padded(F.col("ord_no"), 4))).withColumn(
         "ord", F.col("ord_no")
     ).drop("ord_no", "a_id", "b_id", "a_ord", "b_ord")
 
@@ -285,13 +286,14 @@ def nearest_walls(points: DataFrame, walls: DataFrame, keys: Keys, point_id: str
     )
 
 
-def host_walls(points: DataFrame, walls: DataFrame, keys: Keys, point_id: str = "id", rings=(1000.0, 8000.0, 64000.0, 1e7)) -> DataFrame:
+def host_walls(points: DataFrame, walls: DataFrame, keys: Keys, point_id: str = "id", rings=(1000.0, 8000.0, 64000.0, 1e7), leaf: bool = False) -> DataFrame:
     """Host of each point: walls taken in order, a clearly nearer one (50 mm) or, in the tie band, a longer one wins.
 
     The outcome over the walls within some radius is the outcome over all walls if the
     running choice never comes within 50 mm of that radius: walls outside can then neither
     replace it nor hold out against it. Each ring looks for such a radius and settles the
-    point; the others go on to the next ring. The last ring covers the drawing.
+    point; the others go on to the next ring. The last ring covers the drawing. With ``leaf``, a point with a direction
+    ``leaf_x``, ``leaf_y`` only takes walls across it.
     Returns points with ``host_wall_id``, ``host_distance``.
     """
     line = ("_w_x1", "_w_y1", "_w_x2", "_w_y2")
@@ -316,7 +318,11 @@ def host_walls(points: DataFrame, walls: DataFrame, keys: Keys, point_id: str =
         last = i == len(rings) - 1
         target = prefixed(with_cells(boxed, BOX, radius, radius), "_w_", (*keys, "_gx", "_gy"))
         probe = pending.withColumn("_gx", F.floor(F.col("x") / radius).cast("bigint")).withColumn("_gy", F.floor(F.col("y") / radius).cast("bigint"))
-        hits = probe.join(target, [*keys, "_gx", "_gy"]).withColumn("_d", F.round(g.point_segment_distance("x", "y", *line), 6)).where(F.col("_d") <= radius)
+        hits = probe.join(target, [*keys, "_gx", "_gy"])
+        if leaf:
+            turned = F.abs(F.col("leaf_x") * (F.col("_w_x2") - F.col("_w_x1")) + F.col("leaf_y") * (F.col("_w_y2") - F.col("_w_y1")))
+            hits = hits.where(F.col("leaf_x").isNull() | (turned <= 0.28 * g.length("_w_x1", "_w_y1", "_w_x2", "_w_y2")))
+        hits = hits.withColumn("_d", F.round(g.point_segment_distance("x", "y", *line), 6)).where(F.col("_d") <= radius)
         found = hits.groupBy(*keys, point_id).agg(
             F.array_sort(F.collect_list(F.struct("_w_ord", "_d", "_w_id", "_w_len"))).alias("_c"), F.min("_d").alias("_near")
         )

@@ -330,8 +330,8 @@ def design_requirements(spark, sf_dir):
 
 
 @query("requirement_conflicts", "R18", f"""with {REQS}, v as (select project_id, ord, 'door_width' "rule", width_mm act from {COMP} where component_group='doors' union all select project_id, ord, 'wall_thickness', thickness_mm from {COMP} where component_group='walls'),
- h as (select q.project_id, q."rule", q."value", unit, v.ord, act, coalesce(act,0)<=0 mi, row_number() over (partition by q.project_id, q."rule", q."value", unit order by v.ord) n from rq q join v on v.project_id=q.project_id and v."rule"=q."rule" where coalesce(act,0)<=0 or abs(act-q."value")>tolerance),
- e as (select project_id, "rule", "value", unit, min(n) m from h where not mi and n>=25 group by all) select h.project_id, h."rule", round(h."value",3) "value", ord id, case when mi then 'missing_required_evidence' else 'multi_source_conflict' end evidence_type from h left join e on e.project_id=h.project_id and e."rule"=h."rule" and e."value"=h."value" and e.unit=h.unit where m is null or n<=m""")
+ h as (select q.project_id, q."rule", q."value", unit, v.ord, act, coalesce(act,0)<=0 mi from rq q join v on v.project_id=q.project_id and v."rule"=q."rule" where coalesce(act,0)<=0 or abs(act-q."value")>tolerance)
+ select h.project_id, h."rule", round(h."value",3) "value", ord id, case when mi then 'missing_required_evidence' else 'multi_source_conflict' end evidence_type from h""")
 def requirement_conflicts(spark, sf_dir):
     rows = components(spark, sf_dir)
     door = rows.where("component_group = 'doors'").select("project_id", F.col("ord").alias("id"), "ord", F.lit("door_width").alias("rule"), F.col("width_mm").alias("actual"))

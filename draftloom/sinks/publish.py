@@ -22,9 +22,7 @@ def global_ids(rows: DataFrame, prefix: str, project: Keys = ("project_id",), ce
     """
     bucket = F.struct(F.col("drawing_no"), F.floor(F.col("x") / cell).alias("strip"))
     numbered = number_rows(rows, project, [F.col("drawing_no"), F.col("x"), F.col("y"), F.col("ord")], bucket, "_no")
-    number = F.col("_no").cast("string")
-    padded = F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)
-    return numbered.withColumn("global_id", F.concat(F.lit(f"{prefix}-"), padded)).drop("_no")
+    return numbered.withColumn("global_id", F.concat(F.lit(f"{prefix}-"), v.padded(F.col("_no"), 3))).drop("_no")
 
 
 def translate_ids(rows: DataFrame, field: str, target: DataFrame, keys: Keys, name: str) -> DataFrame:

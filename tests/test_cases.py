@@ -145,7 +145,7 @@ def test_swing_door(spark):
     arcs = spark.createDataFrame([(1, 1, 1, 1, "A-DOOR", 1000.0, 100.0, 900.0, 0.0, 90.0)], "project_id int, drawing_id int, id int, ord int, layer string, cx double, cy double, radius double, a0 double, a1 double")
     leaf = lines(spark, [(1000, 100, 1000, 1000), (1020, 100, 1020, 1000)], "A-DOOR")
     walls = spark.createDataFrame([(1, 1, "W1", 1, 0.0, 100.0, 5000.0, 100.0, 5000.0, 200.0), (1, 1, "W2", 2, 900.0, 0.0, 900.0, 3000.0, 3000.0, 200.0)], "project_id int, drawing_id int, id string, ord int, x1 double, y1 double, x2 double, y2 double, len double, normalized_width double")
-    found = rows(op.swing_doors(arcs, leaf, walls))
+    found = rows(op.swing_doors(op.arcs_with_leaves(arcs, leaf), walls))
     assert len(found) == 1 and (found[0]["x"], found[0]["y"]) == (1450, 100) and found[0]["category"] == "single_swing_door"
     assert found[0]["open_direction"] == "north" and found[0]["panel_thickness"] == 20
 
