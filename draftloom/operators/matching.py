@@ -161,7 +161,7 @@ def hosts_of_free_marks(free: DataFrame, taken: DataFrame, walls: DataFrame, key
         open_rows = ready.join(lists, [*keys, "id"], "left")
         allowed = ~F.coalesce(F.array_contains("_hosts", F.col("w_id")), F.lit(False)) & ~F.coalesce(F.array_contains("_lines", F.col("w_line")), F.lit(False))
         ends = ("w_x1", "w_y1", "w_x2", "w_y2")
-        near = nearest(open_rows, walls, keys, ["id"], ("x", "y"), BOX, F.round(g.point_segment_distance("x", "y", *ends), 6), (1000.0, 8000.0, 1e7),
+        near = nearest(open_rows, walls, keys, ["id"], ("x", "y"), BOX, F.round(g.point_segment_distance("x", "y", *ends), 6), (1000.0, 8000.0, float("inf")),
                        order=[F.col("w_ord")], condition=allowed, right_prefix="w_")
         foot = g.project_point("x", "y", *ends)
         answer = ready.join(near.select(*keys, "id", F.col("w_id").alias("host"), foot.alias("foot")), [*keys, "id"], "left")

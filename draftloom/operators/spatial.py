@@ -10,6 +10,7 @@ density, not the size of a drawing; the session lets AQE split cells that stay h
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -66,6 +67,18 @@ def box_join(
     return pairs
 
 
+def wider_rings(radius: float, left: DataFrame, left_point: Sequence[str], right: DataFrame, right_box: Sequence[str]) -> list[float]:
+    """Rings beyond ``radius``, each eight times the one before, up to one that spans both sides."""
+    far = 0.0
+    for df, names in ((left, left_point), (right, right_box)):
+        row = df.agg(*[F.max(F.abs(F.col(c).cast("double"))).alias(f"_{i}") for i, c in enumerate(names)]).first()
+        far = max([far, *[v for v in row if v is not None and math.isfinite(v)]])
+    rings = [radius * 8]
+    while rings[-1] < 3 * far + 1:
+        rings.append(rings[-1] * 8)
+    return rings
+
+
 def nearest(
     left: DataFrame,
     right: DataFrame,
@@ -87,7 +100,8 @@ def nearest(
     not fall below the distance from the point to the right box. A ring answers a left
     row once it holds ``k`` right rows within its radius: anything outside is farther.
     Only rows without an answer go on to the next ring, so dense places are settled with
-    small cells and wide cells are visited by few rows. The last ring is the search limit.
+    small cells and wide cells are visited by few rows. The last ring is the search limit; if it is
+    infinite, rings grow until they cover all coordinates.
     Left rows without a match are dropped. Adds ``_rank``, ``_distance``.
     """
     done: DataFrame | None = None
@@ -95,13 +109,15 @@ def nearest(
     px, py = (F.col(c) for c in left_point)
     ids = [*keys, *[c for c in left_id if c not in keys]]
     payload = [right_prefix + c for c in right.columns if c not in keys]
-    for position, radius in enumerate(rings):
+    radii, unlimited, position = [r for r in rings if math.isfinite(r)], math.isinf(rings[-1]), 0
+    while position < len(radii):
+        radius = radii[position]
         probe = pending.withColumn("_gx", F.floor(px / radius).cast("bigint")).withColumn(
             "_gy", F.floor(py / radius).cast("bigint")
         )
         target = prefixed(with_cells(right, right_box, radius, radius), right_prefix, (*keys, "_gx", "_gy"))
         hits = probe.join(target, [*keys, "_gx", "_gy"]).withColumn("_distance", distance)
-        last = position == len(rings) - 1
+        last = position == len(radii) - 1 and not unlimited
         hits = hits.where(F.col("_distance") <= radius if inclusive or not last else F.col("_distance") < radius)
         if condition is not None:
             hits = hits.where(condition)
@@ -129,6 +145,10 @@ def nearest(
             pending = tried.where(~full).drop("_found")
             if pending.isEmpty():
                 break
+        position += 1
+        if position == len(radii) and unlimited:
+            radii += wider_rings(radius, pending, left_point, right, right_box)
+            unlimited = False
     out = done.select("*", F.posexplode("_found").alias("_rank", "_hit")).drop("_found")
     return out.select(
         *left.columns, (F.col("_rank") + 1).alias("_rank"), F.col("_hit._distance").alias("_distance"),

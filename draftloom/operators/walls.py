@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from draftloom.functions import values as v
 from draftloom.functions import geometry as g
 from draftloom.operators.ordered import first_wins, number_rows
-from draftloom.operators.spatial import Keys, box_join, islands, nearest, prefixed, with_cells
+from draftloom.operators.spatial import Keys, box_join, islands, nearest, prefixed, wider_rings, with_cells
 from draftloom.session import checkpoint
 
 DRAWING = ("project_id", "drawing_id")
@@ -286,7 +288,7 @@ def nearest_walls(points: DataFrame, walls: DataFrame, keys: Keys, point_id: str
     )
 
 
-def host_walls(points: DataFrame, walls: DataFrame, keys: Keys, point_id: str = "id", rings=(1000.0, 8000.0, 64000.0, 1e7), leaf: bool = False) -> DataFrame:
+def host_walls(points: DataFrame, walls: DataFrame, keys: Keys, point_id: str = "id", rings=(1000.0, 8000.0, 64000.0, float("inf")), leaf: bool = False) -> DataFrame:
     """Host of each point: walls taken in order, a clearly nearer one (50 mm) or, in the tie band, a longer one wins.
 
     The outcome over the walls within some radius is the outcome over all walls if the
@@ -314,8 +316,10 @@ def host_walls(points: DataFrame, walls: DataFrame, keys: Keys, point_id: str =
         return F.aggregate(F.filter(F.col("_c"), lambda c: c["_d"] <= limit), start, better)
 
     pending, done = points, None
-    for i, radius in enumerate(rings):
-        last = i == len(rings) - 1
+    radii, unlimited, i = [r for r in rings if math.isfinite(r)], math.isinf(rings[-1]), 0
+    while i < len(radii):
+        radius = radii[i]
+        last = i == len(radii) - 1 and not unlimited
         target = prefixed(with_cells(boxed, BOX, radius, radius), "_w_", (*keys, "_gx", "_gy"))
         probe = pending.withColumn("_gx", F.floor(F.col("x") / radius).cast("bigint")).withColumn("_gy", F.floor(F.col("y") / radius).cast("bigint"))
         hits = probe.join(target, [*keys, "_gx", "_gy"])
@@ -343,4 +347,8 @@ def host_walls(points: DataFrame, walls: DataFrame, keys: Keys, point_id: str =
         pending = tried.where(F.col("_b").isNull()).drop("_b")
         if last or pending.isEmpty():
             break
+        i += 1
+        if i == len(radii) and unlimited:
+            radii += wider_rings(radius, pending, ("x", "y"), boxed, BOX)
+            unlimited = False
     return done.select(*points.columns, F.col("_b.id").alias("host_wall_id"), F.col("_b.d").alias("host_distance"))

@@ -193,7 +193,7 @@ _D = "round(sqrt(pow(greatest(least(x1,x2)-x,0,x-greatest(x1,x2)),2)+pow(greates
  k as (select *, row_number() over (partition by drawing_id, opening_id order by d, id) rn from d)
  select drawing_id, opening_id, id wall_id, cast(round(d*d) as bigint) dist2 from k where rn=1""")
 def nearest_wall(spark, sf_dir):
-    found = w.nearest_walls(derived(spark, sf_dir, "openings"), placed_walls(spark, sf_dir), KEYS, "opening_id", (500.0, 4000.0, 1e7))
+    found = w.nearest_walls(derived(spark, sf_dir, "openings"), placed_walls(spark, sf_dir), KEYS, "opening_id", (500.0, 4000.0, float("inf")))
     return found.select("drawing_id", "opening_id", F.col("w_id").alias("wall_id"), F.round(F.pow("_distance", F.lit(2))).cast("bigint").alias("dist2"))
 
 
@@ -214,7 +214,7 @@ def perpendicular_hosts(spark, sf_dir):
     flat = F.col("opening_id") % 3 == 0
     leaves = derived(spark, sf_dir, "openings").withColumn("ux", F.when(flat, 1.0).otherwise(0.0)).withColumn("uy", F.when(flat, 0.0).otherwise(1.0))
     walls = g.with_measures(placed_walls(spark, sf_dir))
-    found = w.nearest_walls(leaves, walls, KEYS, "opening_id", (500.0, 4000.0, 1e7), perpendicular=True)
+    found = w.nearest_walls(leaves, walls, KEYS, "opening_id", (500.0, 4000.0, float("inf")), perpendicular=True)
     return found.select("drawing_id", "opening_id", F.col("w_id").alias("wall_id"), F.round("_distance", 3).alias("distance"))
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,17 +29,23 @@ def clean_table(df: DataFrame) -> DataFrame:
 
 
 def read_element_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """CSV tables below a folder, per group. One read per group takes the files of all projects at once."""
+    """CSV tables below a folder, per group; groups without a file are left out, unreadable files are errors.
+
+    Files are read together if they have the same header line: a reader that takes them all at once would
+    assign columns by the header of the first file. Values then meet under their column names.
+    """
     tables = {}
     for group, names in GROUP_ALIASES.items():
         shapes = "{" + ",".join(sorted({n for name in names for n in (name, name.capitalize(), name.title())})) + "}"
-        try:
-            raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"{shapes}.csv").csv(folder, header=True)
-        except AnalysisException:
-            continue
-        table = clean_table(raw).withColumn("source_file", F.input_file_name()) if raw.columns else None
-        if table is not None:
-            tables[group] = table
+        files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"{shapes}.csv").text(folder)
+        # The first line of a file is the first row of its first block.
+        lines = files.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")).where("start = 0")
+        headers: dict[str, list[str]] = {}
+        for row in lines.groupBy("path").agg(F.first("value").alias("header")).orderBy("path").collect():
+            headers.setdefault(row.header, []).append(unquote(row.path))
+        for paths in headers.values():
+            part = clean_table(spark.read.csv(paths, header=True)).withColumn("source_file", F.input_file_name())
+            tables[group] = part if group not in tables else tables[group].unionByName(part, allowMissingColumns=True)
     return tables
 
 

@@ -222,3 +222,24 @@ def test_elevation_openings(spark):
     got = {r["kind"]: r for r in rows(found)}
     assert (got["window"]["sill_mm"], got["window"]["height_mm"], got["window"]["category"]) == (900, 1500, "casement_window")
     assert (got["door"]["width"], got["door"]["sill_mm"]) == (900, 0)
+
+
+def test_ids_keep_all_digits(spark):
+    df = spark.range(1).selectExpr("12345 as a", "7 as b")
+    assert rows(df.select(v.padded(F.col("a"), 4).alias("a"), v.padded(F.col("b"), 4).alias("b"))) == [{"a": "12345", "b": "0007"}]
+
+
+def test_hosts_have_no_distance_limit(spark):
+    walls = spark.createDataFrame([(1, 1, "W1", 1, 0.0, 0.0, 5000.0, 0.0, 5000.0, 200.0)], "project_id int, drawing_id int, id string, ord int, x1 double, y1 double, x2 double, y2 double, len double, normalized_width double")
+    points = spark.createDataFrame([(1, 1, 1, 0.0, 100.0), (1, 1, 2, 0.0, 3e10)], "project_id int, drawing_id int, id int, x double, y double")
+    found = {r["id"]: r for r in rows(w.host_walls(points, walls, K))}
+    assert found[1]["host_distance"] == 100 and found[2]["host_wall_id"] == "W1" and found[2]["host_distance"] == 3e10
+
+
+def test_all_conflicts_unless_a_report_asks_for_fewer(spark):
+    from draftloom.operators import audit as a
+
+    need = spark.createDataFrame([(1, "door_width", "doors", 900.0, "mm", 5.0)], "project_id int, rule string, component_group string, value double, unit string, tolerance double")
+    values = spark.createDataFrame([(1, i, i, "door_width", 800.0) for i in range(30)], "project_id int, id int, ord int, rule string, actual double")
+    assert a.requirement_conflicts(need, values, ["project_id"]).count() == 30
+    assert a.requirement_conflicts(need, values, ["project_id"], stop=25).count() == 25

@@ -58,6 +58,14 @@ def test_element_tables(spark, tmp_path):
     assert (wall["x1"], wall["x2"], wall["y2"]) == (0, 10, 5)
 
 
+def test_tables_with_other_column_orders(spark, tmp_path):
+    for name, head, row in (("p1", "id,width,height", "D1,900,2100"), ("p 2", "id,height,width", "D2,2000,800"), ("p3", "id,width,height", "D3,700,1900")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "doors.csv").write_text(f"{head}\n{row}\n", encoding="utf-8")
+    doors = tb.read_element_tables(spark, str(tmp_path))["doors"]
+    assert {(r["id"], r["width"], r["height"]) for r in rows(doors)} == {("D1", "900", "2100"), ("D2", "800", "2000"), ("D3", "700", "1900")}
+
+
 def test_model_and_library(spark, tmp_path):
     model = {"components": {"columns": [{"id": "C1", "center": {"x": 5, "y": "6"}, "base_z_mm": 0, "top_z_mm": 3000, "confidence": "high"}], "slabs": [{"id": "S1", "boundary": [{"x": 0, "y": 0, "z": 0}, {"x": 1, "y": 0, "z": 0}, {"x": 1, "y": 1, "z": 0}]}, {"id": "S2", "boundary": "[[0,0],[2,0],[2,2]]"}]}}
     (tmp_path / "m.json").write_text(json.dumps({"source_model": model, "human_approval": {"execution_allowed": True}}), encoding="utf-8")
