@@ -46,8 +46,10 @@ def fragmented_rectangles(spark, sf_dir):
 def elevation_openings(spark, sf_dir):
     lines = sheet_lines(spark, sf_dir)
     o = derived(spark, sf_dir, "openings")
-    blocks = o.where("opening_id % 5 = 0").select(F.floor(F.col("drawing_id") / 40).cast("bigint").alias("drawing_id"), F.col("opening_id").alias("ord"), F.lit("A-BLOCK").alias("layer"), "kind", F.lit(None).cast("string").alias("category"),
-                                                 F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("width_mm")).alias("x1"), (F.col("y") + F.col("height_mm")).alias("y1"))
+    # Blocks without bounds have no rectangle.
+    bounded = F.col("opening_id") % 5 == 0
+    blocks = o.select(F.floor(F.col("drawing_id") / 40).cast("bigint").alias("drawing_id"), F.col("opening_id").alias("ord"), F.lit("A-BLOCK").alias("layer"), "kind", F.lit(None).cast("string").alias("category"),
+                                                 *[F.when(bounded, e).alias(n) for n, e in (("x0", F.col("x")), ("y0", F.col("y")), ("x1", F.col("x") + F.col("width_mm")), ("y1", F.col("y") + F.col("height_mm")))])
     found = rc.elevation_openings(lines, blocks, lines.where("layer = 'A-WALL'"), KEYS)
     return rc.window_categories(found, lines, KEYS).select("drawing_id", "id", "kind", "x", "y", "width", "height_mm", "sill_mm", "category", "source")
 
@@ -153,7 +155,7 @@ def _square(o):
 def distinct_slabs(spark, sf_dir):
     o = derived(spark, sf_dir, "sheet_openings")
     s = o.select("drawing_id", F.col("opening_id").alias("id"), _square(o).alias("boundary"), F.when(F.col("opening_id") % 2 == 0, "L1").otherwise("L2").alias("level"), F.lit("regular").alias("role"), (F.col("opening_id") % 10 / 10.0).alias("confidence"))
-    voids = s.where("id % 7 = 0").select("drawing_id", F.col("id").alias("host_floor_id"))
+    voids = s.select("drawing_id", F.when(F.col("id") % 7 == 0, F.col("id")).alias("host_floor_id"))
     return dd.distinct_slabs(s, voids, KEYS).select("id", "duplicate_of")
 
 

@@ -67,7 +67,7 @@ def _contexts(spark, sf_dir):
     labels = derived(spark, sf_dir, "texts").select("drawing_id", "text_id", "x", "y", t.face_label("text").alias("face")).where("face is not null")
     doors = derived(spark, sf_dir, "sheet_openings")
     none = F.lit(None).cast("string")
-    titles = doors.select("drawing_id").distinct().where("drawing_id % 3 = 0").select("drawing_id", F.concat(F.lit("Sheet "), "drawing_id").alias("title"), none.alias("title_face"), none.alias("frame_id"))
+    titles = doors.select("drawing_id").distinct().select("drawing_id", F.when(F.col("drawing_id") % 3 == 0, F.concat(F.lit("Sheet "), "drawing_id")).alias("title"), none.alias("title_face"), none.alias("frame_id"))
     return m.opening_contexts(doors, labels, titles, KEYS)
 
 

@@ -20,12 +20,14 @@ def components(spark, sf_dir):
     return derived(spark, sf_dir, "components")
 
 
-_APPROVE = "(select cast(o_custkey%50 as bigint) project_id, concat('c-',cast(o_orderkey as string)) id, case o_orderkey%9 when 0 then 'skipped' when 1 then 'rejected' else 'approved' end decision from orders where o_orderpriority='1-URGENT' or o_custkey%2=0)"
+_APPROVE = "(select cast(o_custkey%50 as bigint) project_id, concat('c-',cast(o_orderkey as string)) id, case when not (o_orderpriority='1-URGENT' or o_custkey%2=0) then null when o_orderkey%9=0 then 'skipped' when o_orderkey%9=1 then 'rejected' else 'approved' end decision from orders)"
 
 
 def _approvals(spark, sf_dir):
-    return read(spark, sf_dir, "orders").where("o_orderpriority='1-URGENT' or o_custkey%2=0").selectExpr(
-        "cast(o_custkey%50 as bigint) project_id", "concat('c-',cast(o_orderkey as string)) id", "case o_orderkey%9 when 0 then 'skipped' when 1 then 'rejected' else 'approved' end decision")
+    # Components without a decision are listed too.
+    return read(spark, sf_dir, "orders").selectExpr(
+        "cast(o_custkey%50 as bigint) project_id", "concat('c-',cast(o_orderkey as string)) id",
+        "case when not (o_orderpriority='1-URGENT' or o_custkey%2=0) then null when o_orderkey%9=0 then 'skipped' when o_orderkey%9=1 then 'rejected' else 'approved' end decision")
 
 
 @query("execution_gate", "F4", f"""with f as (select project_id, lower(id) k, bool_or(decision='approved') ap, bool_or(decision='skipped') sk, bool_or(decision='rejected') rj from {_APPROVE} group by all), l as (select project_id, bool_or(decision='approved') listed from {_APPROVE} group by project_id),
