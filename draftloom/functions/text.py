@@ -26,6 +26,15 @@ LAYER_PATTERNS = {
     "railing": "railing|handrail|栏杆|扶手|护栏|欄杆",
 }
 
+# Patterns of drawing titles.
+SIDE_TITLE = r"(?i)((?:东|西|南|北|正|背|左|右)\s*(?:立面图|立面|面图|面))"
+AXIS_TITLE = r"(?i)([A-Za-z0-9]+[-~]?[A-Za-z0-9]*\s*(?:立面图|立面|面图|面))"
+COMPASS_TITLE = r"(?i)((?:north|south|east|west)[^\n;]{0,24}(?:elevation|facade))"
+NAMED_TITLE = r"(?i)(?:图名|图纸名称|drawing\s*(?:title|name))\s*[:：]\s*(.+)"
+FLOOR_PLAN_TITLE = (
+    r"(?i)\b(?:(?:lower\s+ground|ground|basement|mezzanine|roof|typical|first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|\d+(?:st|nd|rd|th)?)\s+)?floor\s+plan\b"
+)
+
 # Opening mark prefixes.
 DOOR_PREFIXES = ["D", "M", "TLM", "SD", "DD", "DOOR"]
 WINDOW_PREFIXES = ["C", "W", "TLC", "PKC", "SW", "CW", "WIN", "WINDOW"]
@@ -162,21 +171,15 @@ def first_clause(text) -> Column:
 def directional_title(text) -> Column:
     """Title of an elevation named by a side, such as a compass word or an axis range."""
     clause = first_clause(text)
-    tail = r"\s*(?:立面图|立面|面图|面)"
-    chinese = F.coalesce(_found(clause, f"(?i)((?:东|西|南|北|正|背|左|右){tail})"), _found(clause, f"(?i)([A-Za-z0-9]+[-~]?[A-Za-z0-9]*{tail})"))
-    english = _found(clause, r"(?i)((?:north|south|east|west)[^\n;]{0,24}(?:elevation|facade))")
+    chinese = F.coalesce(_found(clause, SIDE_TITLE), _found(clause, AXIS_TITLE))
+    english = _found(clause, COMPASS_TITLE)
     return F.substring(F.coalesce(F.regexp_replace(strip(chinese), r"\s+", ""), F.regexp_replace(strip(english), r"\s+", " ")), 1, 80)
 
 
 def title_text(text) -> Column:
     """The part of a text that reads as the title of a drawing."""
     text = strip(col(text))
-    explicit = _found(text, r"(?i)(?:图名|图纸名称|drawing\s*(?:title|name))\s*[:：]\s*(.+)")
-    words = "first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth"
-    plan = _found(
-        first_clause(text),
-        rf"(?i)\b(?:(?:lower\s+ground|ground|basement|mezzanine|roof|typical|{words}|\d+(?:st|nd|rd|th)?)\s+)?floor\s+plan\b", 0,
-    )
+    explicit, plan = _found(text, NAMED_TITLE), _found(first_clause(text), FLOOR_PLAN_TITLE, 0)
     low = F.lower(text)
     known = F.coalesce(*[F.when(F.contains(low, F.lit(t)), t) for t in KNOWN_TITLES])
     return F.coalesce(
