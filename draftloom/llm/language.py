@@ -38,7 +38,7 @@ ROUNDS = 3
 #: Pieces longer than this are not used; words are cut into stretches of at most so many bytes.
 LONGEST_PIECE, LONGEST_WORD = 16, 32
 #: Count that every piece has in every language from the outset, and words a worker remembers.
-PRIOR, REMEMBERED = 0.01, 1_000_000
+PRIOR, REMEMBERED = 0.01, 250_000
 #: No piece is less likely than this.
 FLOOR = 1e-9
 UNKNOWN = "und"
