@@ -303,7 +303,9 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
             yield pd.DataFrame({"lang_pred": [scorer.model.languages[b] if fine else UNKNOWN for b, fine in zip(best, letters)],
                                 "score": np.where(letters, posterior, 0.0)})
 
-    return docs.select(*keep, run(F.col(text)).alias(result)).select(*keep, f"{result}.lang_pred", f"{result}.score")
+    # Not deterministic for the planner only: else a filter on the result would have it computed once more.
+    scored = run.asNondeterministic()(F.col(text))
+    return docs.select(*keep, scored.alias(result)).select(*keep, f"{result}.lang_pred", f"{result}.score")
 
 
 def held_out(key: Column) -> Column:
