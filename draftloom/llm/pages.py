@@ -12,7 +12,9 @@ varies are slots for content.
 
 The content region is the slot that holds an article or main element, else the element whose direct blocks hold most varying
 text outside links. Menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments inside it are left out by
-element and by the words of class, id and role; so are nodes that are constant over at least ``ENOUGH`` different pages.
+element and by the words of class and role or a whole id (headings' ids are anchors and say nothing). Each page is aligned with the
+wrapper, and the own text of nodes whose slot is constant over at least ``ENOUGH`` different pages is left out too, where it is that
+constant text. Pages are different if their texts outside menus and the like are; copies count once.
 
 Defined cases: null or empty html gives an empty text; a null url or one without a host has the empty host; unclosed and stray
 tags are read as browsers do in the common cases; repeated rows are pages of their own; an empty table gives no rows.
@@ -21,6 +23,7 @@ Columns that the operator does not know stay as they are, except that ``text`` a
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -58,6 +61,7 @@ MARKS = frozenset(
     "notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments "
     "disqus respond reply replies widget toolbar pagination pager search form hidden skip legal copyright complementary contentinfo alert".split())
 ARTICLE_MARKS = frozenset("ad ads advert advertisement sponsored promo related recommended comment comments reply replies hidden".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 REGIONS = frozenset({"article", "main"})
 REGION_MARKS = frozenset({"article", "main", "content", "post", "entry", "story"})
 
@@ -94,15 +98,20 @@ def left_out(name: str, marks: Iterable[str]) -> bool:
     return any(m in (ARTICLE_MARKS if name == "article" else MARKS) for m in marks)
 
 
-def _marks(attributes: str) -> tuple[str, ...]:
+def _marks(name: str, attributes: str) -> tuple[str, ...]:
     if "=" not in attributes and "hidden" not in attributes:
         return ()
     words: set[str] = set()
-    for name, double, single, bare in _ATTRIBUTE.findall(attributes):
-        value = (double or single or bare).lower()
-        if name.lower() == "hidden" or name.lower() == "aria-hidden" and value == "true":
+    for key, double, single, bare in _ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), (double or single or bare).lower()
+        if key == "hidden" or key == "aria-hidden" and value == "true":
             words.add("hidden")
-        elif name.lower() != "aria-hidden":
+        elif key == "id":
+            found = _NAME.findall(value)
+            # An id marks an element only as a whole: "cookie-notice" does, "legal-history" does not.
+            if name not in HEADINGS:
+                words.update(found if MARKS.issuperset(found) else [w for w in found if w not in MARKS])
+        elif key != "aria-hidden":
             words.update(_NAME.findall(value))
     return tuple(sorted(words))
 
@@ -132,7 +141,7 @@ def parse(source: str) -> Node:
                     break
             continue
         _close_implied(stack, name)
-        node = Node(name, _marks(found[3]) if found[3] else ())
+        node = Node(name, _marks(name, found[3]) if found[3] else ())
         stack[-1].items.append(node)
         if name in VOID or found[4] and name not in BLOCKS:
             continue
@@ -165,26 +174,59 @@ def _close_implied(stack: list[Node], name: str) -> None:
 
 
 class Slot:
-    """A node of a wrapper. ``same`` is the hash of its own text while all pages agree, None once it varies."""
+    """A node of a wrapper. ``same`` is the hash of its own text while all pages agree, None once it varies.
 
-    __slots__ = ("label", "seen", "same", "chars", "linked", "children")
+    ``seen`` holds hashes of up to ``ENOUGH`` different pages that have the node (in a finished wrapper, how many), ``nodes`` the
+    elements of a page that became this node, where they are tracked.
+    """
 
-    def __init__(self, label: str, seen: int, same: int | None, chars: int, linked: int, children: list[Slot]) -> None:
-        self.label, self.seen, self.same, self.chars, self.linked, self.children = label, seen, same, chars, linked, children
+    __slots__ = ("label", "seen", "same", "chars", "linked", "children", "nodes")
+
+    def __init__(self, label: str, seen: frozenset[int] | int, same: int | None, chars: int, linked: int, children: list[Slot], nodes: list[Node] | None = None) -> None:
+        self.label, self.seen, self.same, self.chars, self.linked, self.children, self.nodes = label, seen, same, chars, linked, children, nodes
+
+    @property
+    def different(self) -> int:
+        """Different pages that have the node, up to ``ENOUGH``."""
+        return self.seen if isinstance(self.seen, int) else len(self.seen)
 
     def shape(self) -> tuple:
         return (self.label, *[c.shape() for c in self.children])
 
-    def pack(self) -> list:
-        return [self.label, self.seen, self.same, self.chars, self.linked, [c.pack() for c in self.children]]
+    def pack(self, finished: bool = False) -> list:
+        seen = self.different if finished or isinstance(self.seen, int) else sorted(self.seen)
+        return [self.label, seen, self.same, self.chars, self.linked, [c.pack(finished) for c in self.children]]
 
     @staticmethod
     def unpack(x: list) -> Slot:
-        return Slot(*x[:5], [Slot.unpack(c) for c in x[5]])
+        seen = x[1] if isinstance(x[1], int) else frozenset(x[1])
+        return Slot(x[0], seen, *x[2:5], [Slot.unpack(c) for c in x[5]])
+
+
+def page_hash(root: Node) -> int:
+    """Hash of a page's text outside menus, notices and the like: copies under other menus are the same page."""
+    texts: list[str] = []
+    todo: list[Node | str] = [root]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            texts.append(x)
+        elif not x.outside:
+            texts.append(" ")
+            todo += reversed(x.items)
+    return int.from_bytes(hashlib.blake2b(" ".join("".join(texts).split()).encode("utf-8", "surrogatepass"), digest_size=7).digest(), "little")
+
+
+def _fewest(a: frozenset[int], b: frozenset[int]) -> frozenset[int]:
+    """The smallest ``ENOUGH`` hashes of both sets."""
+    if a is b or b <= a:
+        return a
+    both = a | b
+    return both if len(both) <= ENOUGH else frozenset(sorted(both)[:ENOUGH])
 
 
-def skeleton(node: Node, in_link: bool = False) -> Slot:
-    """A page's tree with runs of like siblings merged into one slot."""
+def skeleton(node: Node, in_link: bool = False, seen: frozenset[int] = frozenset({0}), track: bool = False) -> Slot:
+    """A page's tree with runs of like siblings merged into one slot; ``seen`` holds the page's hash."""
     texts, children = [], []
     in_link = in_link or node.name == "a"
     for item in node.items:
@@ -193,17 +235,21 @@ def skeleton(node: Node, in_link: bool = False) -> Slot:
             continue
         if item.name in ("script", "style") or item.name == "br":
             continue
-        child = skeleton(item, in_link)
+        child = skeleton(item, in_link, seen, track)
         if children and children[-1].label == child.label:
             children[-1] = merge(children[-1], child, repeated=True)
         else:
             children.append(child)
     text = " ".join("".join(texts).split())
-    return Slot(node.label, 1, zlib.crc32(text.encode("utf-8", "surrogatepass")), len(text), len(text) if in_link else 0, children)
+    return Slot(node.label, seen, zlib.crc32(text.encode("utf-8", "surrogatepass")), len(text), len(text) if in_link else 0, children, [node] if track else None)
+
+
+def _agree(a: int | None, b: int | None) -> int:
+    return 2 if a == b else int(a is None or b is None)
 
 
 def tree_match(a: list[Slot], b: list[Slot]) -> list[tuple[int, int]]:
-    """Simple tree matching of two lists of children: the aligned pairs, in order, that match most nodes."""
+    """Simple tree matching of two lists of children: the aligned pairs, in order, that match most nodes; of equal ones, those whose texts agree."""
     if [x.label for x in a] == [x.label for x in b]:
         return [(i, i) for i in range(len(a))]
     score = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
@@ -211,7 +257,7 @@ def tree_match(a: list[Slot], b: list[Slot]) -> list[tuple[int, int]]:
     for i, x in enumerate(a):
         for j, y in enumerate(b):
             if x.label == y.label:
-                pair[i][j] = 1 + matched(x.children, y.children)
+                pair[i][j] = 1000 * (1 + matched(x.children, y.children)) + _agree(x.same, y.same)
             score[i + 1][j + 1] = max(score[i][j + 1], score[i + 1][j], score[i][j] + pair[i][j])
     i, j, out = len(a), len(b), []
     while i and j:
@@ -246,7 +292,9 @@ def merge(a: Slot, b: Slot, repeated: bool = False) -> Slot:
             named[c.label] = merge(named[c.label], c, repeated) if c.label in named else c
         children = list(named.values())
     same = a.same if a.same == b.same else None
-    return Slot(a.label, max(a.seen, b.seen) if repeated else a.seen + b.seen, same, a.chars + b.chars, a.linked + b.linked, children)
+    if a.nodes is not None and b.nodes is not None:
+        a.nodes.extend(b.nodes)
+    return Slot(a.label, _fewest(a.seen, b.seen), same, a.chars + b.chars, a.linked + b.linked, children, a.nodes)
 
 
 class Wrapper:
@@ -255,12 +303,19 @@ class Wrapper:
     def __init__(self, tree: Slot, pages: set[int]) -> None:
         self.tree, self.pages = tree, pages
 
+    @staticmethod
+    def of(source: str) -> Wrapper:
+        root = parse(source)
+        page = page_hash(root)
+        return Wrapper(skeleton(root, seen=frozenset({page})), {page})
+
     def merge(self, other: Wrapper) -> Wrapper:
         pages = self.pages | other.pages
         return Wrapper(merge(self.tree, other.tree), set(sorted(pages)[:ENOUGH]))
 
-    def dump(self) -> str:
-        return json.dumps([self.tree.pack(), sorted(self.pages)])
+    def dump(self, finished: bool = False) -> str:
+        """``finished``: pages are counted, not listed; such a wrapper is read with and no longer merged."""
+        return json.dumps([self.tree.pack(finished), sorted(self.pages)])
 
     @staticmethod
     def load(text: str) -> Wrapper:
@@ -285,7 +340,7 @@ def induce(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
 
         for batch in batches:
             for host, source in zip(batch["host"], batch["html"]):
-                page = Wrapper(skeleton(parse(source or "")), {zlib.crc32((source or "").encode("utf-8", "surrogatepass"))})
+                page = Wrapper.of(source or "")
                 held[host] = held[host].merge(page) if host in held else page
             if len(held) > HELD:
                 yield out()
@@ -303,16 +358,20 @@ def induce(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     def salted(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [meet(frame["wrapper"]).dump()]})
 
+    def finish(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [meet(frame["wrapper"]).dump(finished=True)]})
+
     parts = pages.select(_host(url).alias("host"), F.col(html).alias("html")).mapInPandas(collect, "host string, salt int, wrapper string")
     first = parts.groupBy("host", "salt").applyInPandas(salted, "host string, wrapper string")
-    return checkpoint(first.groupBy("host").applyInPandas(salted, "host string, wrapper string"))
+    return checkpoint(first.groupBy("host").applyInPandas(finish, "host string, wrapper string"))
 
 
 class Reader:
-    """Reads the article of a host's pages: which labels hold the content, and which constant nodes are template."""
+    """Reads the article of a host's pages: which labels hold the content, and which slots are constant and so template."""
 
     def __init__(self, wrapper: Wrapper) -> None:
-        self.template: set[tuple[str, ...]] = set()
+        self.tree = wrapper.tree
+        self.template: set[int] = set()
         self.region: tuple[str, ...] = ()
         constant = len(wrapper.pages) >= ENOUGH
         best = (-1.0, ())
@@ -322,8 +381,8 @@ class Reader:
             words = slot.label.split(" ")
             if left_out(words[0], words[1:]):
                 continue
-            if constant and slot.chars and slot.same is not None and slot.seen >= ENOUGH:
-                self.template.add(path)
+            if constant and slot.chars and slot.same is not None and slot.different >= ENOUGH:
+                self.template.add(id(slot))
             weight = self._direct(slot)
             if words[0] in REGIONS or any(w in REGION_MARKS for w in words[1:]):
                 weight = weight * 4 + 1
@@ -338,23 +397,35 @@ class Reader:
         total = 0.0
         for part in (slot, *[c for c in slot.children if not left_out(c.label.split(" ")[0], c.label.split(" ")[1:])]):
             deep = [part] if part is slot else _inline(part)
-            total += sum(x.chars - x.linked for x in deep if x.same is None or x.seen < 2)
+            total += sum(x.chars - x.linked for x in deep if x.same is None or x.different < 2)
         return total
 
     def text(self, root: Node) -> str:
         """The blocks of the article, joined by blank lines."""
         blocks: list[str] = []
+        silent = self._constant(root) if self.template else set()
         roots = self._semantic(root)
         if not roots:
             roots = [(n, p) for n, p in self._at(root, (root.label,), self.region)]
         if not roots:
             roots = [(root, (root.label,))]
-        for node, path in roots:
+        for node, _ in roots:
             piece: list[str] = []
-            self._blocks(node, path, piece, blocks)
+            self._blocks(node, silent, piece, blocks)
             _flush(piece, blocks)
         return "\n\n".join(blocks)
 
+    def _constant(self, root: Node) -> set[int]:
+        """Ids of the page's nodes whose own text is the constant text of the slot that they are aligned with."""
+        out: set[int] = set()
+        todo = [(self.tree, skeleton(root, track=True))]
+        while todo:
+            slot, mine = todo.pop()
+            if id(slot) in self.template and mine.same == slot.same:
+                out.update(map(id, mine.nodes))
+            todo += [(slot.children[i], mine.children[j]) for i, j in tree_match(slot.children, mine.children)]
+        return out
+
     @staticmethod
     def _semantic(root: Node) -> list[tuple[Node, tuple[str, ...]]]:
         """Outermost article elements, or else main elements, outside whatever is no article text."""
@@ -381,27 +452,28 @@ class Reader:
             elif wanted[:len(path)] == path:
                 todo += [(c, (*path, c.label)) for c in reversed(node.items) if not isinstance(c, str)]
 
-    def _blocks(self, node: Node, path: tuple[str, ...], piece: list[str], blocks: list[str]) -> None:
+    @staticmethod
+    def _blocks(node: Node, silent: set[int], piece: list[str], blocks: list[str]) -> None:
         # An explicit stack: pages can be nested deeper than Python recurses.
-        todo: list[tuple] = [("open", node, path)]
+        todo: list[tuple] = [("open", node)]
         while todo:
-            step, x, path = todo.pop()
+            step, x = todo.pop()
             if step == "text":
                 piece.append(x)
             elif step == "end":
                 _flush(piece, blocks)
             else:
-                if x is not node and (x.outside or path in self.template):
+                if x is not node and x.outside:
                     continue
                 if x.name == "br":
                     piece.append(" ")
                     continue
-                block = x.name in BLOCKS
-                if block:
+                if x.name in BLOCKS:
                     _flush(piece, blocks)
-                    todo.append(("end", None, path))
+                    todo.append(("end", None))
+                quiet = id(x) in silent
                 for item in reversed(x.items):
-                    todo.append(("text", item, path) if isinstance(item, str) else ("open", item, (*path, item.label)))
+                    todo.append(("text", " " if quiet else item) if isinstance(item, str) else ("open", item))
 
 
 def _inline(slot: Slot) -> list[Slot]:

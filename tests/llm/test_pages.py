@@ -84,6 +84,24 @@ def test_wrapper_keeps_no_text_and_merges_in_any_order():
     assert P.Wrapper.load(one.dump()).dump() == one.dump()
 
 
+def test_constant_slot_takes_no_text_of_its_siblings(spark):
+    rows = [(i, "http://h.example/x", f"<body><article><p>Text {i}</p><ul><li>item {i}</ul><p>Thanks for reading</p></article></body>") for i in range(30)]
+    assert texts(spark, rows) == {i: f"Text {i}\n\nitem {i}" for i in range(30)}
+
+
+def test_copies_of_a_page_make_no_template(spark):
+    rows = [(i, "http://h.example/x", f"<body><nav>{i}</nav><article><p>Text {i}</p></article></body>") for i in range(30)]
+    rows += [(100 + i, "http://h.example/x", f"<body><nav>{i}</nav><article><p>Copied</p><blockquote>Only here</blockquote></article></body>") for i in range(40)]
+    got = texts(spark, rows)
+    assert all(got[i] == (f"Text {i}" if i < 100 else "Copied\n\nOnly here") for i in got)
+
+
+def test_constant_text_goes_without_its_varying_descendants_and_ids_mark_as_a_whole(spark):
+    rows = [(i, "http://h.example/x", f"<body><article><h2 id=search>Search {i}</h2><section>Standing words<p>Text {i}</p></section><div id=legal-history>Law {i}</div><div id=comments>c {i}</div></article></body>")
+            for i in range(30)]
+    assert texts(spark, rows) == {i: f"Search {i}\n\nText {i}\n\nLaw {i}" for i in range(30)}
+
+
 @pytest.mark.parametrize("scale", ["sf0.01"])
 def test_all_given_pages(spark, scale):
     df = spark.read.parquet(f"/root/testdata/{scale}/pages.parquet")
