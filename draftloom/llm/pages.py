@@ -10,11 +10,12 @@ varies are slots for content.
    texts, so its size follows the template and not the number of pages; a host with a third of all pages is no hot group.
 3. Pages are read a second time, joined with the wrapper of their host, and what stands in its content region is their text.
 
-The content region is the slot that holds an article or main element, else the element whose direct blocks hold most varying
-text outside links. Menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments inside it are left out by
+The content region is the element whose direct blocks hold most varying text outside links, for each occurrence; the outermost article
+around it (else main), if there is one, widens it. A page without the region of its host gives its own articles, or else all of its text. Menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments inside it are left out by
 element and by the words of class and role or a whole id (headings' ids are anchors and say nothing). Each page is aligned with the
-wrapper, and the own text of nodes whose slot is constant over at least ``ENOUGH`` different pages is left out too, where it is that
-constant text. Pages are different if their texts outside menus and the like are; copies count once.
+wrapper, and the own text of nodes whose slot is constant is left out too, where it is that constant text. A slot is constant if at least
+``ENOUGH`` different pages agree in it; on a host with fewer, if the share ``SHARE`` of them does, two at least, and most text in the region varies (near copies of
+one page agree in their content). Pages are different if their texts outside menus and the like are; copies count once.
 
 Defined cases: null or empty html gives an empty text; a null url or one without a host has the empty host; unclosed and stray
 tags are read as browsers do in the common cases; repeated rows are pages of their own; an empty table gives no rows.
@@ -26,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import json
+import math
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -38,8 +40,10 @@ from pyspark.sql import functions as F
 from draftloom.llm.common import own, small_batches
 from draftloom.session import checkpoint
 
-#: Different pages that must agree before a constant node inside the region counts as template.
-ENOUGH = 20
+#: Different pages that must agree before a constant node inside the region counts as template; on a host with fewer pages this share of them.
+ENOUGH, SHARE = 20, 0.8
+#: What text in an article or main element, or marked as content, weighs more when the region is chosen.
+FAVOUR = 1.5
 #: Wrappers a task holds at once, and distinct children that a merged node lists one by one.
 HELD, WIDEST, SALTS = 2000, 64, 16
 #: Nesting beyond this depth is read flat, as browsers do; no text is lost.
@@ -81,7 +85,9 @@ class Node:
 
     @property
     def label(self) -> str:
-        return self.name if not self.marks else f"{self.name} {' '.join(self.marks)}"
+        # Classes of whole pages and articles often name the single page; they would keep like pages apart.
+        marks = () if self.name in ("html", "body", "main") else ARTICLE_MARKS.intersection(self.marks) if self.name == "article" else self.marks
+        return " ".join((self.name, *sorted(marks)))
 
     @property
     def outside(self) -> bool:
@@ -177,13 +183,13 @@ class Slot:
     """A node of a wrapper. ``same`` is the hash of its own text while all pages agree, None once it varies.
 
     ``seen`` holds hashes of up to ``ENOUGH`` different pages that have the node (in a finished wrapper, how many), ``nodes`` the
-    elements of a page that became this node, where they are tracked.
+    elements of a page that became this node, where they are tracked; ``times`` counts the elements and ``rows`` the pages, copies included.
     """
 
-    __slots__ = ("label", "seen", "same", "chars", "linked", "children", "nodes")
+    __slots__ = ("label", "seen", "same", "chars", "linked", "children", "nodes", "rows", "times")
 
-    def __init__(self, label: str, seen: frozenset[int] | int, same: int | None, chars: int, linked: int, children: list[Slot], nodes: list[Node] | None = None) -> None:
-        self.label, self.seen, self.same, self.chars, self.linked, self.children, self.nodes = label, seen, same, chars, linked, children, nodes
+    def __init__(self, label: str, seen: frozenset[int] | int, same: int | None, chars: int, linked: int, children: list[Slot], nodes: list[Node] | None = None, rows: int = 1, times: int = 1) -> None:
+        self.label, self.seen, self.same, self.chars, self.linked, self.children, self.nodes, self.rows, self.times = label, seen, same, chars, linked, children, nodes, rows, times
 
     @property
     def different(self) -> int:
@@ -195,12 +201,12 @@ class Slot:
 
     def pack(self, finished: bool = False) -> list:
         seen = self.different if finished or isinstance(self.seen, int) else sorted(self.seen)
-        return [self.label, seen, self.same, self.chars, self.linked, [c.pack(finished) for c in self.children]]
+        return [self.label, seen, self.same, self.chars, self.linked, [c.pack(finished) for c in self.children], self.rows, self.times]
 
     @staticmethod
     def unpack(x: list) -> Slot:
         seen = x[1] if isinstance(x[1], int) else frozenset(x[1])
-        return Slot(x[0], seen, *x[2:5], [Slot.unpack(c) for c in x[5]])
+        return Slot(x[0], seen, *x[2:5], [Slot.unpack(c) for c in x[5]], None, *x[6:])
 
 
 def page_hash(root: Node) -> int:
@@ -294,7 +300,7 @@ def merge(a: Slot, b: Slot, repeated: bool = False) -> Slot:
     same = a.same if a.same == b.same else None
     if a.nodes is not None and b.nodes is not None:
         a.nodes.extend(b.nodes)
-    return Slot(a.label, _fewest(a.seen, b.seen), same, a.chars + b.chars, a.linked + b.linked, children, a.nodes)
+    return Slot(a.label, _fewest(a.seen, b.seen), same, a.chars + b.chars, a.linked + b.linked, children, a.nodes, max(a.rows, b.rows) if repeated else a.rows + b.rows, a.times + b.times)
 
 
 class Wrapper:
@@ -340,7 +346,9 @@ def induce(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
 
         for batch in batches:
             for host, source in zip(batch["host"], batch["html"]):
-                page = Wrapper.of(source or "")
+                if not source:
+                    continue
+                page = Wrapper.of(source)
                 held[host] = held[host].merge(page) if host in held else page
             if len(held) > HELD:
                 yield out()
@@ -373,46 +381,67 @@ class Reader:
         self.tree = wrapper.tree
         self.template: set[int] = set()
         self.region: tuple[str, ...] = ()
-        constant = len(wrapper.pages) >= ENOUGH
-        best = (-1.0, ())
-        todo = [(wrapper.tree, (wrapper.tree.label,))]
+        few = wrapper.tree.different < ENOUGH
+        need = max(2, math.ceil(SHARE * wrapper.tree.different)) if few else ENOUGH
+        best, region = 0.0, None
+        # Each slot with its path and the outermost article and main around it.
+        todo: list[tuple[Slot, tuple[str, ...], dict[str, tuple]]] = [(wrapper.tree, (wrapper.tree.label,), {})]
         while todo:
-            slot, path = todo.pop()
+            slot, path, around = todo.pop()
             words = slot.label.split(" ")
             if left_out(words[0], words[1:]):
                 continue
-            if constant and slot.chars and slot.same is not None and slot.different >= ENOUGH:
+            if words[0] in REGIONS and words[0] not in around:
+                around = {**around, words[0]: (slot, path)}
+            if slot.chars and slot.same is not None and slot.different >= need:
                 self.template.add(id(slot))
             weight = self._direct(slot)
             if words[0] in REGIONS or any(w in REGION_MARKS for w in words[1:]):
-                weight = weight * 4 + 1
-            if weight > best[0]:
-                best = (weight, path)
-            todo += [(c, (*path, c.label)) for c in slot.children]
-        self.region = best[1]
+                weight *= FAVOUR
+            if weight > best:
+                best, self.region, region = weight, path, slot
+                if "article" in around:
+                    region, self.region = around["article"]
+                elif "main" in around and not _holds(around["main"][0], "article"):
+                    region, self.region = around["main"]
+            todo += [(c, (*path, c.label), around) for c in reversed(slot.children)]
+        if few and region is not None and not self._varies(region):
+            self.template.clear()
+
+    @staticmethod
+    def _varies(region: Slot) -> bool:
+        """Most of the region's text varies: the pages are not near copies of one."""
+        chars, varying, todo = 0, 0, [region]
+        while todo:
+            x = todo.pop()
+            words = x.label.split(" ")
+            if x is not region and left_out(words[0], words[1:]):
+                continue
+            chars += x.chars
+            varying += x.chars if x.same is None else 0
+            todo += x.children
+        return 2 * varying > chars
 
     @staticmethod
     def _direct(slot: Slot) -> float:
-        """Varying text outside links in the node and the blocks right below it."""
+        """Varying text outside links in the node and the blocks right below it; of several such nodes on a page (teasers), of one."""
         total = 0.0
         for part in (slot, *[c for c in slot.children if not left_out(c.label.split(" ")[0], c.label.split(" ")[1:])]):
             deep = [part] if part is slot else _inline(part)
             total += sum(x.chars - x.linked for x in deep if x.same is None or x.different < 2)
-        return total
+        return total * slot.rows / slot.times
 
     def text(self, root: Node) -> str:
         """The blocks of the article, joined by blank lines."""
         blocks: list[str] = []
         silent = self._constant(root) if self.template else set()
-        roots = self._semantic(root)
-        if not roots:
-            roots = [(n, p) for n, p in self._at(root, (root.label,), self.region)]
-        if not roots:
-            roots = [(root, (root.label,))]
-        for node, _ in roots:
-            piece: list[str] = []
-            self._blocks(node, silent, piece, blocks)
-            _flush(piece, blocks)
+        for find in (self._at, self._semantic, lambda x: [x]):
+            for node in find(root):
+                piece: list[str] = []
+                self._blocks(node, silent, piece, blocks)
+                _flush(piece, blocks)
+            if blocks:
+                break
         return "\n\n".join(blocks)
 
     def _constant(self, root: Node) -> set[int]:
@@ -427,29 +456,30 @@ class Reader:
         return out
 
     @staticmethod
-    def _semantic(root: Node) -> list[tuple[Node, tuple[str, ...]]]:
+    def _semantic(root: Node) -> list[Node]:
         """Outermost article elements, or else main elements, outside whatever is no article text."""
         for name in ("article", "main"):
-            out, todo = [], [(root, (root.label,))]
+            out, todo = [], [root]
             while todo:
-                node, path = todo.pop()
+                node = todo.pop()
                 if node.outside:
                     continue
                 if node.name == name:
-                    out.append((node, path))
+                    out.append(node)
                     continue
-                todo += [(c, (*path, c.label)) for c in reversed(node.items) if not isinstance(c, str)]
+                todo += [c for c in reversed(node.items) if not isinstance(c, str)]
             if out:
                 return out
         return []
 
-    def _at(self, node: Node, path: tuple[str, ...], wanted: tuple[str, ...]) -> Iterator[tuple[Node, tuple[str, ...]]]:
-        todo = [(node, path)]
+    def _at(self, root: Node) -> Iterator[Node]:
+        """The page's elements on the path of the region."""
+        todo = [(root, (root.label,))]
         while todo:
             node, path = todo.pop()
-            if path == wanted:
-                yield node, path
-            elif wanted[:len(path)] == path:
+            if path == self.region:
+                yield node
+            elif self.region[:len(path)] == path:
                 todo += [(c, (*path, c.label)) for c in reversed(node.items) if not isinstance(c, str)]
 
     @staticmethod
@@ -476,6 +506,10 @@ class Reader:
                     todo.append(("text", " " if quiet else item) if isinstance(item, str) else ("open", item))
 
 
+def _holds(slot: Slot, name: str) -> bool:
+    return any(c.label.split(" ")[0] == name or _holds(c, name) for c in slot.children)
+
+
 def _inline(slot: Slot) -> list[Slot]:
     out, todo = [], [slot]
     while todo:

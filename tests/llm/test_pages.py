@@ -102,6 +102,19 @@ def test_constant_text_goes_without_its_varying_descendants_and_ids_mark_as_a_wh
     assert texts(spark, rows) == {i: f"Search {i}\n\nText {i}\n\nLaw {i}" for i in range(30)}
 
 
+def test_wrapper_chooses_the_region_though_teasers_are_articles(spark):
+    rows = [(i, "http://h.example/x", f"<body class=page-{i}><div class=text><p>Text {i} {'long words ' * 30}</p><p>More {i} {'and more ' * 20}</p></div><div class=cards>"
+                                      + "".join(f"<article><p>Teaser {i} {j} {'short ' * 5}</p></article>" for j in range(6)) + "</div></body>") for i in range(5)]
+    assert all(t.startswith(f"Text {i} ") and f"More {i} " in t and "Teaser" not in t for i, t in texts(spark, rows).items())
+
+
+def test_template_of_hosts_with_few_pages(spark):
+    few = [(i, "http://few.example/x", f"<body><article><p>Text {i} {'abc' * (20 + i)}</p><div>Thanks for reading</div></article></body>") for i in range(3)]
+    near = [(10 + i, "http://near.example/x", f"<body><article><h1>Copy</h1><p>Only number {i}</p><ul><li>{'same content ' * 20}</ul></article></body>") for i in range(2)]
+    got = texts(spark, few + near)
+    assert all(got[i].startswith(f"Text {i}") and "Thanks" not in got[i] for i in range(3)) and all("Copy" in got[10 + i] and "same content" in got[10 + i] for i in range(2))
+
+
 @pytest.mark.parametrize("scale", ["sf0.01"])
 def test_all_given_pages(spark, scale):
     df = spark.read.parquet(f"/root/testdata/{scale}/pages.parquet")
