@@ -1,7 +1,8 @@
 """Secret scans: a random forest removes false positives from candidate findings. DataFrame functions only.
 
-1. :func:`candidates`: words of a text that could be credentials (runs of at least eight characters with a digit, or whatever a
-   credential word is assigned), with the words around them.
+1. :func:`candidates`: parts of a text that could be credentials (runs of at least eight characters with a digit, or whatever a
+   credential word is assigned or a URL gives as password), with the words around them. A word without white space inside, such as minified
+   JSON or a query string, has as many as it has values, each with its own key.
 2. :func:`features`: length, shares of character classes and changes between them, how usual the pairs of adjacent letters are,
    how much of the candidate is made of dictionary words, marks of paths, addresses and numbers, and the words around it. Dictionary and
    letter pairs are counted over all texts.
@@ -38,31 +39,36 @@ MADE_UP = "example|examples|sample|dummy|test|tests|fake|placeholder|changeme|yo
 ISSUED = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^AIza[0-9A-Za-z_-]{35}$|^sk_(live|test)_[0-9a-zA-Z]{16,}$|^eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"
 NO_SECRET = (r"^[\w.+%-]+@[\w-]+(\.[\w-]+)+$|^\d{1,3}(\.\d{1,3}){3}$|^\d{12,19}$|^[\d().+ -]{7,}$|^v?\d+(\.\d+)+$|^\d{4}-\d{2}-\d{2}"
              r"|^[a-z]+(\.[a-z0-9-]+)*\.(com|org|net|edu|gov|io)(/.*)?$|^[\w.-]+/[\w./-]+\.[a-z]{1,4}$")
+# A key ends with its assignment and what opens the value.
+ASSIGNED = r"[=:]>?[\\\"'`(\[<{]*$"
 _SPLIT = r"[\x20\x09-\x0D]+"
-_KEY = r"^[\"'`(\[<{]*[A-Za-z][A-Za-z_.-]{0,40}[=:]{1,2}"
-_CORE = r"[A-Za-z0-9](?:[A-Za-z0-9+/_~.@%$!-]{2,}[A-Za-z0-9]|[A-Za-z0-9]{3,})={0,2}"
+_KEY = r"[0-9]{0,8}[A-Za-z_][A-Za-z0-9_.@$!+~%/-]{0,200}\\*[\"'`]?(?::=|=>|[=:]{1,2})[\\\"'`(\[<{]*"
+_CORE = r"[A-Za-z0-9](?:[A-Za-z0-9+/_~.@%$!-]{2,}[A-Za-z0-9]|[A-Za-z0-9]{3,})(?:={1,2}(?![A-Za-z0-9\"'`]))?"
+# A password in a URL: where it begins gets a mark, and the @ behind it ends the word.
+_URL, _URL_MARKED = r"(://[^\s/:@\"'`]{0,100}:)([^\s/\"'`]{3,200})@", "$1\x01$2 "
+_FOUND = rf"(://[^\s/:@\"'`]{{0,100}}:\x01|{_KEY}|)({_CORE})"
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 COLUMNS = ["candidate", "own_key", "before_2", "before", "after", "path"]
 FEATURES = ["length", "digits", "upper", "lower", "other", "changes", "pairs", "covered", "longest_run", "slashes", "dots", "ats", "dashes", "hex", "assigned", "credential", "made_up", "path_made_up"]
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
-    """(key, place, candidate, own_key, before_2, before, after, path): candidates by place of their word in the text."""
-    hint = F.col(text).rlike("[0-9=]|(?i)(" + CREDENTIAL + ")[^a-z]{0,3}:")
+    """(key, place, candidate, own_key, before_2, before, after, path): candidates by place of their word in the text; a word can hold several."""
+    hint = F.col(text).rlike("[0-9=]|://[^/]*:|(?i)(" + CREDENTIAL + ")[^a-z]{0,3}:")
     words = docs.where(hint).select(F.col(key).alias("key"), (F.lit("") if path is None else F.coalesce(F.col(path).cast("string"), F.lit(""))).alias("path"),
                                     F.split(text, _SPLIT).alias("w"))
     # A word with a digit, a word with an assignment in it, or what follows an assignment.
-    places = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).rlike("[0-9]|[A-Za-z][=:][\"'`]?[A-Za-z]") | F.coalesce(F.get("w", i - 1).rlike("(?i)(" + CREDENTIAL + ")?[\"']?[=:]+$"), F.lit(False)))
+    places = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).rlike("[0-9]|[A-Za-z]\\\\*[\"'`]?[=:]{1,2}>?[\\\\\"'`(\\[<{]*[A-Za-z]|://[^/]*:") | F.coalesce(F.get("w", i - 1).rlike("(?i)(" + CREDENTIAL + ")?[\"']?[=:]+$"), F.lit(False)))
 
     def near(i: Column, by: int) -> Column:
         return F.coalesce(F.when(i + by >= 0, F.get("w", i + by)), F.lit(""))
 
     found = words.select("key", "path", F.explode(F.transform(places, lambda i: F.struct(
         i.alias("place"), F.get("w", i).alias("word"), near(i, -2).alias("before_2"), near(i, -1).alias("before"), near(i, 1).alias("after")))).alias("c")).select("key", "path", "c.*")
-    own_key = F.regexp_extract("word", _KEY, 0)
-    rest = F.expr("substring(word, length(own_key) + 1)")
-    found = found.withColumn("own_key", own_key).withColumn("candidate", F.regexp_extract(rest, _CORE, 0))
-    announced = F.col("own_key").rlike(f"(?i)({CREDENTIAL})") | (F.col("before").rlike("[=:]$") & F.concat("before_2", "before").rlike(f"(?i)({CREDENTIAL})"))
+    found = found.withColumn("word", F.regexp_replace("word", _URL, _URL_MARKED))
+    both = F.arrays_zip(F.regexp_extract_all("word", F.lit(_FOUND), 1).alias("own_key"), F.regexp_extract_all("word", F.lit(_FOUND), 2).alias("candidate"))
+    found = found.withColumn("m", F.explode(both)).select("key", "path", "place", "before_2", "before", "after", F.translate("m.own_key", "\x01", "").alias("own_key"), "m.candidate")
+    announced = F.col("own_key").rlike(f"(?i)({CREDENTIAL})|://") | (F.col("before").rlike("[=:]$") & F.concat("before_2", "before").rlike(f"(?i)({CREDENTIAL})"))
     fine = F.when(announced, F.length("candidate") >= 4).otherwise((F.length("candidate") >= 8) & F.col("candidate").rlike("[0-9]"))
     return found.where(fine).select("key", "place", *COLUMNS)
 
@@ -105,8 +111,8 @@ def features(found: DataFrame, lexicon: DataFrame) -> DataFrame:
     described = described.withColumn("covered", F.coalesce(F.col("known") / F.col("length"), F.lit(0.0))).withColumn("pairs", F.coalesce("pairs", F.lit(0.0))).drop("known")
     around = F.lower(F.concat_ws(" ", "own_key", "before_2", "before"))
     placed = found.withColumns({
-        "assigned": (F.col("own_key").rlike("[=:]$") | F.col("before").rlike("[=:]$")).cast("double"),
-        "credential": around.rlike(f"(^|[^a-z])({CREDENTIAL})([^a-z]|$)").cast("double"),
+        "assigned": (F.col("own_key").rlike(ASSIGNED) | F.col("before").rlike("[=:]$")).cast("double"),
+        "credential": (around.rlike(f"(^|[^a-z])({CREDENTIAL})([^a-z]|$)") | F.col("own_key").rlike("://")).cast("double"),
         "made_up": F.lower(F.concat_ws(" ", "own_key", "before_2", "before", "candidate", "after")).rlike(f"(^|[^a-z])({MADE_UP})([^a-z]|$)").cast("double"),
         "path_made_up": F.lower("path").rlike(f"(^|[^a-z])({MADE_UP})([^a-z]|$)").cast("double")})
     return placed.join(described, "candidate")
@@ -124,7 +130,7 @@ def labelled_findings(docs: DataFrame, found: DataFrame, key: str = "doc_id", te
     def drawn(column: str) -> Column:
         return F.pmod(F.xxhash64(F.lit("fit"), F.col(column).cast("string")), F.lit(1_000_003)) < F.lit(int(rate * 1_000_003))
 
-    assigned = F.concat_ws(" ", "own_key", "before_2", "before").rlike(f"(?i)({CREDENTIAL})") & F.concat("own_key", "before").rlike("[=:]$")
+    assigned = F.concat_ws(" ", "own_key", "before_2", "before").rlike(f"(?i)({CREDENTIAL})|://") & (F.col("own_key").rlike(ASSIGNED) | F.col("before").rlike("[=:]$"))
     rule = F.when(F.col("candidate").rlike(ISSUED), 1.0).when(F.col("candidate").rlike(NO_SECRET), 0.0).when(
         assigned & F.col("candidate").rlike("^[0-9a-fA-F]{16,}$|^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/=_-]{16,}$"), 1.0)
     seen = found.where(drawn("key")).withColumn("is_secret", rule).where("is_secret is not null").select(*COLUMNS, "is_secret")

@@ -15,6 +15,19 @@ def test_candidates_and_neighbours(make):
     assert {c for k, c in got if k == 2} == {"hunter22", "swordfish"} and {c for k, c in got if k == 3} == {"555-3733", "42.144.35.254"}
 
 
+def test_every_value_of_a_word_with_its_key(spark, make):
+    aws, hub, digest = "AKIA" + "Q7ZX2M4K" * 2, "ghp_" + "a8Kd03Lw" * 5, "9f86d081884c7d659a2feaa0c55ad015"
+    texts = {f'{{"api_key":"{aws}","token":"{hub}"}}': {("api_key", aws), ("token", hub)}, "S3_SECRET_KEY=wJalrXUtnFEMIK7MDENG": {("S3_SECRET_KEY", "wJalrXUtnFEMIK7MDENG")},
+             f"OAUTH2_TOKEN={digest}": {("OAUTH2_TOKEN", digest)}, "postgres://admin:Pa55w0rd@db.example/x": {("://admin", "Pa55w0rd")}, f"a=1&token={digest}": {("token", digest)},
+             f"https://h.example/cb?token={digest}&u=2": {("token", digest)}, '{"password":"swordfish"}': {("password", "swordfish")}, "at 2024-01-05T10:30:00.123456Z": {("", "2024-01-05T10"), ("", "00.123456Z")},
+             "x" * 5000 + f",token={digest};" + "y" * 5000: {("token", digest)}, f"a/b/secret={digest}==": {("a/b/secret", digest + "==")}}
+    rows = S.candidates(make([(i, t, "en", "s") for i, t in enumerate(texts)])).collect()
+    for i, (text, want) in enumerate(texts.items()):
+        assert {(r.own_key.rstrip("\"':="), r.candidate) for r in rows if r.key == i} == want, text
+    clean = S.redact(make([(i, f'{{"id":{i},"api_key":"{aws}","token":"{hub}"}} u=1&token={digest}', "en", "s") for i in range(30)]))
+    assert not any(x in r.text for r in clean.collect() for x in (aws, hub, digest))
+
+
 def test_features(spark, make):
     docs = make([(i, "alpha beta gamma alphabet", "en", "s") for i in range(3)])
     found = spark.createDataFrame([("alphaBeta12", "key=", "x", "y", "z", "p"), ("9f86d081884c7d65", "", "", "", "", "test/p")], ", ".join(f"{c} string" for c in S.COLUMNS))
