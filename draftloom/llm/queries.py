@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftloom.llm import bins, chat, language, mixing, packing, pages, perplexity, secrets, simhash, vectors
+from draftloom.llm import bins, chat, collocations, language, mixing, packing, pages, perplexity, secrets, simhash, vectors
 from draftloom.llm.common import table, words
 from draftloom.session import checkpoint
 
@@ -112,3 +112,29 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and perplexity verdict of every document."""
     docs = table(spark, sf_dir, "documents")
     return perplexity.judge(docs, carry=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity")
+
+
+@query("op11_collocations", """
+with pieces as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+split as (select lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') as w from pieces),
+starts as (select lang, w, unnest(range(1, len(w) + 1)) as i from split),
+runs as (select lang, w, i, unnest([1, 2, 3, 4]) as m from starts),
+grams as (select lang, m, array_to_string(w[i:i + m - 1], ' ') as phrase from runs where i + m - 1 <= len(w)),
+totals as (select lang, count(*) as n from grams where m = 1 group by lang),
+counted as (select lang, m, phrase, count(*) as f from grams group by lang, m, phrase having count(*) >= 30),
+candidates as (select lang, m, phrase, f as a, string_split(phrase, ' ') as w from counted where m >= 2),
+cuts as (select *, unnest(range(1, m)) as k from candidates),
+scored as (select c.lang, c.phrase, c.a, c.k, x.f as l, y.f as r, (2000000::hugeint * c.a) // (x.f + y.f) as score
+    from cuts c join counted x on x.lang = c.lang and x.m = c.k and x.phrase = array_to_string(c.w[1:c.k], ' ')
+    join counted y on y.lang = c.lang and y.m = c.m - c.k and y.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+worst as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+lengths as (select lang, a, w, m, unnest(range(2, m)) as len from candidates),
+inside as (select lang, a, w, len, unnest(range(1, m - len + 2)) as i from lengths),
+longer as (select lang, array_to_string(w[i:i + len - 1], ' ') as phrase, max(a) as most from inside group by all),
+free as (select t.* from worst t left join longer x on x.lang = t.lang and x.phrase = t.phrase where x.most is null or 100 * x.most < 80 * t.a)
+select f.lang, cast(row_number() over (partition by f.lang order by score desc, a desc, phrase) as integer) as rank, phrase, a, l, r, n, cast(score as bigint) as score
+from free f join totals t on t.lang = f.lang qualify rank <= 2000
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
