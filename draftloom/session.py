@@ -65,3 +65,24 @@ def checkpoint(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(spark)}/draftloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for a table that an operator writes itself."""
+    return f"{checkpoint_folder(spark)}/draftloom-{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that :func:`checkpoint` or an operator wrote, once nothing reads it any more."""
+    if not path.rsplit("/", 1)[-1].startswith("draftloom-"):
+        raise ValueError(f"not an intermediate table: {path}")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def checkpoint_path(df: DataFrame) -> tuple[DataFrame, str]:
+    """:func:`checkpoint`, with the path for :func:`discard`."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
