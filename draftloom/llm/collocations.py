@@ -50,8 +50,8 @@ HASH_BITS = 48
 ROW_COUNTERS = 8192
 SLICE = 1 << 20
 #: Words a task remembers, and counted phrases it holds before it writes them.
-WORDS_HELD = 1 << 20
-PHRASES_HELD = 1 << 20
+WORDS_HELD = 1 << 19
+PHRASES_HELD = 1 << 19
 
 BREAK = b"."
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + BREAK * 10)
@@ -260,6 +260,21 @@ def _survivors(summaries: DataFrame, part_bits: int, bits: int, threshold: int,
     return dealt.mapInArrow(run, "part int, bitmap binary")
 
 
+def sum_equal(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, rows, counts) with equal rows summed. Rows of one hash are taken as equal unless their numbers differ, which is looked at."""
+    hashes, rows, counts = (np.concatenate(x) for x in zip(*held))
+    if not len(hashes):
+        return hashes, rows, counts
+    order = np.argsort(hashes, kind="stable")
+    hashes, rows, counts = hashes[order], rows[order], counts[order]
+    new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+    heads = np.flatnonzero(new)
+    if (rows != rows[heads[np.cumsum(new) - 1]]).any():
+        rows, first, place = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+        return hashes[first], rows, np.bincount(place.ravel(), weights=counts, minlength=len(rows)).astype(np.int64)
+    return hashes[heads], rows[heads], np.add.reduceat(counts, heads)
+
+
 def _counted(docs: DataFrame, bitmap, bits: int, longest: int, size: int) -> DataFrame:
     """(lang, phrase, f) per task and buffer for phrases whose bit is set; a null phrase counts all words of the language."""
     def emitted(languages: list[str], words: _Words, rows: Iterator[tuple[int, bytes | None, int]]) -> Iterator[pa.RecordBatch]:
@@ -278,20 +293,6 @@ def _counted(docs: DataFrame, bitmap, bits: int, longest: int, size: int) -> Dat
         if names:
             yield out()
 
-    def fold(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sum equal phrases. Rows of one hash are one phrase unless their words differ, which is looked at."""
-        hashes, rows, counts = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(hashes, kind="stable")
-        hashes, rows, counts = hashes[order], rows[order], counts[order]
-        new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
-        heads = np.flatnonzero(new)
-        if (rows != rows[heads[np.cumsum(new) - 1]]).any():
-            rows, place = np.unique(rows, axis=0, return_inverse=True)
-            first = np.zeros(len(rows), np.int64)
-            first[place.ravel()] = np.arange(len(place))
-            return hashes[first], rows, np.bincount(place.ravel(), weights=counts, minlength=len(rows)).astype(np.int64)
-        return hashes[heads], rows[heads], np.add.reduceat(counts, heads)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).view(bool) if bits <= 24 else None
         packed = np.frombuffer(bitmap.value, np.uint8)
@@ -313,9 +314,10 @@ def _counted(docs: DataFrame, bitmap, bits: int, longest: int, size: int) -> Dat
                 number = number[survives(_mix(known[number] ^ np.uint64(_seed(languages[language]))))]
                 yield from ((language, words.names[i], int(counts[i])) for i in number)
             if held:
-                _, ids, counts = fold(held)
-                for row, count in zip(ids.tolist(), counts.tolist()):
-                    yield row[0], b" ".join([words.names[i] for i in row[1:] if i]), count
+                _, ids, counts = sum_equal(held)
+                for at in range(0, len(ids), 1 << 14):
+                    for row, count in zip(ids[at:at + (1 << 14)].tolist(), counts[at:at + (1 << 14)].tolist()):
+                        yield row[0], b" ".join([words.names[i] for i in row[1:] if i]), count
 
         for batch in batches:
             for language, data in _streams(batch):
@@ -342,7 +344,7 @@ def _counted(docs: DataFrame, bitmap, bits: int, longest: int, size: int) -> Dat
                         held.append((h, row, np.ones(len(h), np.int64)))
                         n_held += len(h)
                     if n_held >= PHRASES_HELD:
-                        held = [fold(held)]
+                        held = [sum_equal(held)]
                         n_held = len(held[0][0])
                         if n_held >= PHRASES_HELD // 2:
                             yield from emitted(languages, words, rows())
@@ -365,7 +367,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", th
     bitmap = bytearray(1 << bits - 3)
     width = 1 << bits - 3 - part_bits
     # Bits of a partition are a range of the bitmap: in all, what comes to the driver is the bitmap once.
-    for part in _survivors(summaries, part_bits, bits, threshold, spare, tasks).toLocalIterator():
+    for part in _survivors(summaries, part_bits, bits, threshold, spare, tasks).collect():
         bitmap[part["part"] * width:(part["part"] + 1) * width] = part["bitmap"]
     counted = _counted(rows, spark.sparkContext.broadcast(bytes(bitmap)), bits, longest, size)
     summed = counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
