@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftloom.llm import bins, chat, collocations, language, mixing, packing, pages, perplexity, secrets, simhash, vectors
+from draftloom.llm import bins, chat, codes, collocations, language, mixing, packing, pages, perplexity, secrets, simhash, toxicity, vectors
 from draftloom.llm.common import table, words
 from draftloom.session import checkpoint
 
@@ -138,3 +138,37 @@ from free f join totals t on t.lang = f.lang qualify rank <= 2000
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2,000 collocations of every language."""
     return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """Lloyd's method over whole numbers with its rounds written out."""
+    steps = ["""kept as materialized (select row_number() over () as id, vec_id, label, list_transform(embedding, lambda x: cast(floor(4096 * x::double) as bigint)) as v from embeddings
+    where len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+parts as materialized (select id, p, len(v) // 8 as w, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] as c from kept, range(8) as t(p)),
+first as (select id, row_number() over (order by vec_id nulls last, v) - 1 as e from kept qualify e < 16),
+book0 as materialized (select p, e, c from parts join first using (id))"""]
+    for t in range(rounds + 1):
+        steps.append(f"""near{t} as materialized (select x.id, x.p, b.e, x.c, list_sum(list_transform(range(1, x.w + 1), lambda i: (x.c[i] - b.c[i]) * (x.c[i] - b.c[i]))) as d
+    from parts x join book{t} b on b.p = x.p qualify row_number() over (partition by x.id, x.p order by d, b.e) = 1)""")
+        if t < rounds:
+            steps.append(f"""sums{t} as (select p, e, i, sum(x)::hugeint as s, count(*) as n from (select p, e, unnest(c) as x, generate_subscripts(c, 1) as i from near{t}) group by all),
+means{t} as (select p, e, list(cast(s // n - case when s % n < 0 then 1 else 0 end as bigint) order by i) as c from sums{t} group by p, e),
+book{t + 1} as materialized (select b.p, b.e, coalesce(m.c, b.c) as c from book{t} b left join means{t} m on m.p = b.p and m.e = b.e)""")
+    return "with " + ",\n".join(steps) + f""",
+sha as (select sha256(string_agg(x::varchar, ',' order by p, e, i)) as codebooks_sha256 from (select p, e, unnest(c) as x, generate_subscripts(c, 1) as i from book{rounds})),
+coded as (select id, string_agg(printf('%02x', e::integer), '' order by p) as code, cast(sum(d) as bigint) as error from near{rounds} group by id)
+select k.vec_id, c.code, c.error, cast(sum(c.error) over (partition by k.label) as bigint) as label_error, s.codebooks_sha256 from coded c join kept k using (id), sha s"""
+
+
+@query("op12_vector_codes", _lloyd_sql(6))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector after six rounds."""
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_toxicity")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from three quarters of the labels."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    scored = toxicity.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), fit=~held_out, passages=False)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
