@@ -38,16 +38,16 @@ KEEP = 2000
 COVERED = 80
 UNKNOWN = "und"
 #: Hashes that a task holds before it writes their summaries.
-BUFFER = 1 << 22
+BUFFER = 1 << 21
 #: Bytes of text for which there is one hash partition at least.
-PART_BYTES = 1 << 25
+PART_BYTES = 1 << 24
 #: Counters of a partition, as a multiple of mass / threshold; the loss stays below threshold / SPARE.
 SPARE = 4
 #: Size of the bitmap of survivors, as a power of two.
 BITS = 28
 HASH_BITS = 48
 #: Counters in one row of a summary, so that batches of rows stay small.
-ROW_COUNTERS = 8192
+ROW_COUNTERS = 4096
 SLICE = 1 << 20
 #: Words a task remembers, and counted phrases it holds before it writes them.
 WORDS_HELD = 1 << 19
@@ -177,19 +177,21 @@ _SUMMARY = "part int, kind int, mass long, n int, gaps binary, counts binary"
 def _summaries(docs: DataFrame, part_bits: int, longest: int, buffer: int, size: int) -> DataFrame:
     """Summaries of each buffer of each task: a row with the mass (kind 0) and one with the counters (kind 1) per hash partition."""
     def flushed(held: list[np.ndarray]) -> pa.RecordBatch:
-        hashes = np.sort(np.concatenate(held))
+        hashes = np.concatenate(held)
+        held.clear()
+        hashes.sort()
         heads = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-        counts = np.diff(np.append(heads, len(hashes)))
+        counts = np.diff(heads, append=len(hashes)).astype(np.uint32)
         hashes = hashes[heads]
-        part = (hashes >> np.uint64(HASH_BITS - part_bits)).astype(np.int64)
-        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        bounds = np.searchsorted(hashes, np.arange((1 << part_bits) + 1, dtype=np.uint64) << np.uint64(HASH_BITS - part_bits))
         rows = []
-        for start, end in zip(starts, np.append(starts[1:], len(part))):
-            rows.append((int(part[start]), 0, int(counts[start:end].sum()), 0, None, None))
+        for part in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
+            start, end = int(bounds[part]), int(bounds[part + 1])
+            rows.append((part, 0, int(counts[start:end].sum()), 0, None, None))
             for a in range(start, end, ROW_COUNTERS):
                 b = min(end, a + ROW_COUNTERS)
-                gaps = np.diff(hashes[a:b], prepend=np.uint64(int(part[a]) << (HASH_BITS - part_bits)))
-                rows.append((int(part[a]), 1, 0, int(b - a), _packed(gaps), _packed(counts[a:b])))
+                gaps = np.diff(hashes[a:b], prepend=np.uint64(part << (HASH_BITS - part_bits)))
+                rows.append((part, 1, 0, b - a, _packed(gaps), _packed(counts[a:b])))
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["part", "kind", "mass", "n", "gaps", "counts"])
 
@@ -205,7 +207,7 @@ def _summaries(docs: DataFrame, part_bits: int, longest: int, buffer: int, size:
                         n_held += len(h)
                     if n_held >= buffer:
                         yield flushed(held)
-                        held, n_held = [], 0
+                        n_held = 0
         if n_held:
             yield flushed(held)
 
@@ -251,7 +253,7 @@ def _survivors(summaries: DataFrame, part_bits: int, bits: int, threshold: int,
                 hashes = np.cumsum(gaps, dtype=np.uint64) + np.uint64(part << (HASH_BITS - part_bits))
                 waiting.append((hashes, _unpacked(row["counts"], row["n"]).astype(np.int64)))
                 n_waiting += row["n"]
-                if n_waiting >= max(len(state[0]), 1 << 18):
+                if n_waiting >= max(len(state[0]) // 2, 1 << 17):
                     settle()
         if part is not None:
             yield result()
