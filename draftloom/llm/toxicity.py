@@ -93,7 +93,8 @@ class _Scores(dict):
             rate = self.share
             for toxic, clean in entries:
                 toxic, clean = max(0, toxic - (self.label == 1)), max(0, clean - (self.label == 0))
-                rate = (toxic + PRIOR * rate) / (toxic + clean + PRIOR)
+                # Kept off 0 and 1, which a chain of large counts comes to in floating point.
+                rate = min(1 - 1e-9, max(1e-9, (toxic + PRIOR * rate) / (toxic + clean + PRIOR)))
             score = min(HIGHEST, max(0.0, math.log(rate / (1 - rate)) - math.log(self.share / (1 - self.share)))) - DRIFT
         self[token] = score
         return score

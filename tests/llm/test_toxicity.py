@@ -41,6 +41,8 @@ def test_scores_follow_the_chain_of_priors():
     assert s["zorkuvian"] < 0 and abs(s["idle"] + T.DRIFT) < 0.1
     rate = (50 + 5 * 0.1) / (95 + 5)
     assert abs(s["zorkold"] - (np.log(rate / (1 - rate)) - np.log(1 / 9) - T.DRIFT)) < 1e-12
+    sure = T._Scores(T.Model(toxic=1e6, clean=9e6, words={"zorkuv": (10**6, 0)}, starts={"zorkuv"[:n]: (10**6, 0) for n in T.STARTS}))
+    assert sure["zorkuv"] == T.HIGHEST - T.DRIFT
     assert T._Scores(model, 1)["zorkold"] < s["zorkold"] < T._Scores(model, 0)["zorkold"]
 
 
