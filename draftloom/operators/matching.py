@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftloom.functions import geometry as g
-from draftloom.operators.ordered import first_wins, match_greedy, match_serial
+from draftloom.operators.ordered import first_wins, match_greedy, match_serial, number_rows
 from draftloom.operators.spatial import Keys, box_join, nearest, prefixed
 from draftloom.operators.walls import BOX, DRAWING, _boxed
 from draftloom.session import checkpoint
@@ -188,65 +188,101 @@ def match_score(plan: str = "p_", elevation: str = "e_") -> Column:
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.22 + mark + width + height + place)), 6)
 
 
-# Highest score without an equal mark or a position within 900.
-WEAK_SCORE = 0.58
+# Score from which an opening of another facade is taken.
+OTHER_FACADE = 0.68
+#: Openings of a list that a plan opening looks at first; each later look takes twice as many.
+LOOK = 8
 
 
-def match_views(plans: DataFrame, elevations: DataFrame, keys: Keys = ("project_id",)) -> DataFrame:
+def _view_class(df: DataFrame) -> DataFrame:
+    """``class``: all that the score of a far pair depends on (mark, width, height, whether the position is known)."""
+    known = F.col("position").isNotNull()
+    mark = F.upper(F.trim(F.coalesce("mark", F.lit(""))))
+    text = F.concat_ws("|", mark, F.coalesce(F.col("width").cast("string"), F.lit("?")), F.coalesce(F.col("height").cast("string"), F.lit("?")), known.cast("string"))
+    return df.withColumn("class", text)
+
+
+def _far_lists(p: DataFrame, e: DataFrame, keys: Keys) -> tuple[DataFrame, DataFrame]:
+    """Elevation openings in the order in which plan openings of a class would take them, positions set aside.
+
+    Returns the lists (keys, ``p_kind``, ``p_facade``, ``list``, ``place``, ``e_id``, ``score``, ``rank``) and the list of every class. Scores are
+    worked out for pairs of classes; classes with the same scores share a list. Own facade first, then others from 0.68.
+    """
+    far = [F.when(F.col("position").isNotNull(), F.lit(x)).alias("position") for x in (0.0, 1e6)]
+    facts = ("kind", "facade", "class", "mark", "width", "height")
+    pc = prefixed(p.select(*keys, *facts, far[0]).dropDuplicates([*keys, "kind", "facade", "class"]), "p_", keys)
+    ec = prefixed(e.select(*keys, *facts, far[1]).dropDuplicates([*keys, "kind", "facade", "class"]), "e_", keys)
+    both = pc.join(ec.withColumn("p_kind", F.col("e_kind")), [*keys, "p_kind"]).withColumn("score", match_score())
+    own = F.col("p_facade") == F.col("e_facade")
+    both = both.where((own & (F.col("score") > 0)) | (~own & (F.col("score") >= OTHER_FACADE))).withColumn("tier", F.when(own, 0).otherwise(1))
+    both = checkpoint(both.select(*keys, "p_kind", "p_facade", "p_class", "e_facade", "e_class", "tier", "score"))
+    by = [*keys, "p_kind", "p_facade"]
+    signs = [F.sum(F.xxhash64("e_facade", "e_class", "tier", "score", F.lit(i)).cast("decimal(20,0)")).cast("string") for i in (1, 2)]
+    classes = both.groupBy(*by, "p_class").agg(F.concat_ws(":", *signs, F.count(F.lit(1)).cast("string")).alias("list"))
+    steps = both.join(classes, [*by, "p_class"]).select(*by, "list", "e_facade", "e_class", "tier", "score").distinct()
+    items = e.select(*keys, F.col("kind").alias("p_kind"), F.col("facade").alias("e_facade"), F.col("class").alias("e_class"), F.col("id").alias("e_id"), F.col("ord").alias("e_ord"))
+    rows = steps.join(items, [*keys, "p_kind", "e_facade", "e_class"]).withColumn("_step", F.col("tier") * 10 - F.col("score"))
+    rows = number_rows(rows, [*by, "list"], [F.col("_step"), F.col("e_ord"), F.col("e_id")], F.col("_step"), "place")
+    rank = F.struct("tier", (-F.col("score")).alias("neg"), "e_ord").alias("rank")
+    return rows.select(*by, "list", "place", "e_id", "score", rank), classes
+
+
+def _near_pairs(p: DataFrame, e: DataFrame, keys: Keys) -> DataFrame:
+    """Pairs of one kind with positions within 900, each with its own score."""
+    a, b = prefixed(p.where("position is not null"), "p_", keys), prefixed(e.where("position is not null"), "e_", keys)
+    cell = F.floor(F.col("p_position") / 900)
+    pairs = a.withColumn("_k", F.col("p_kind")).withColumn("_c", F.explode(F.array(cell - 1, cell, cell + 1))).join(
+        b.withColumn("_k", F.col("e_kind")).withColumn("_c", F.floor(F.col("e_position") / 900)), [*keys, "_k", "_c"]
+    ).where(F.abs(F.col("p_position") - F.col("e_position")) <= 900).withColumn("score", match_score())
+    own = F.col("p_facade") == F.col("e_facade")
+    pairs = pairs.where((own & (F.col("score") > 0)) | (~own & (F.col("score") >= OTHER_FACADE)))
+    rank = F.struct(F.when(own, 0).otherwise(1).alias("tier"), (-F.col("score")).alias("neg"), "e_ord").alias("rank")
+    return pairs.select(*keys, "p_id", "p_ord", "e_id", "score", rank)
+
+
+def match_views(plans: DataFrame, elevations: DataFrame, keys: Keys = ("project_id",), look: int = LOOK) -> DataFrame:
     """Each plan opening, in order, takes the best free elevation opening of its facade.
 
     Both sides: keys, ``id``, ``ord``, ``kind``, ``facade``, ``mark``, ``width``, ``height``, ``position``. A plan opening whose
     facade has nothing left may take an opening of another facade with a score of at least 0.68.
 
-    Preferences are made in steps so that no facade is paired row by row. A score above 0.58 needs an
-    equal mark or a position within 900, so the first lists come from these two joins alone.
-    Only plan openings that run out of them get the rest of their facade, and openings of other
-    facades (0.68 again needs one of the two). The match over the lists made so far is final
-    once no plan opening without a partner has a step left.
+    No facade is paired row by row. Positions within 900 are joined by cells; all other pairs of two classes (mark, width,
+    height) score alike, so a plan opening finds them in the list of its class, a stretch at a time. Of the openings of one list that
+    have no near pair, the n-th starts at place n: those before it have taken all places before it, whatever the others
+    do. A near pair is looked at once the list has come to its rank, so what an opening has seen is always complete.
     """
-    p, e = prefixed(plans, "p_", keys), prefixed(elevations, "e_", keys)
-    same = F.col("p_facade") == F.col("e_facade")
-
-    def prefs(pairs, tier):
-        score = match_score()
-        return pairs.select(
-            *keys, "p_id", "p_ord", "e_id", score.alias("score"),
-            F.struct(F.lit(tier).alias("tier"), (-score).alias("neg"), F.col("e_ord").alias("e_ord")).alias("rank"),
-        )
-
-    def strong(left, facade):
-        on = [*keys, "kind"] + (["facade"] if facade else [])
-        a = left.select(*keys, *[F.col(f"p_{c}").alias(c) for c in on if c not in keys], *[c for c in left.columns if c.startswith("p_")])
-        b = e.select(*keys, *[F.col(f"e_{c}").alias(c) for c in on if c not in keys], *[c for c in e.columns if c.startswith("e_")])
-        by_mark = a.withColumn("_m", F.upper(F.trim("p_mark"))).join(b.withColumn("_m", F.upper(F.trim("e_mark"))), [*on, "_m"]).where("_m <> ''").drop("_m")
-        cell = F.floor(F.col("p_position") / 900)
-        near = a.withColumn("_c", F.explode(F.array(cell - 1, cell, cell + 1))).join(
-            b.withColumn("_c", F.floor(F.col("e_position") / 900)), [*on, "_c"]
-        ).where(F.abs(F.col("p_position") - F.col("e_position")) <= 900).drop("_c")
-        equal = F.coalesce((F.upper(F.trim("p_mark")) == F.upper(F.trim("e_mark"))) & (F.trim("p_mark") != ""), F.lit(False))
-        both = by_mark.unionByName(near.where(~equal))
-        return both.drop(*[c for c in on if c not in keys])
-
-    lists = checkpoint(prefs(strong(p, True), 0).where(F.col("score") > WEAK_SCORE))
+    p, e = _view_class(plans), _view_class(elevations)
+    lists, classes = _far_lists(p, e, keys)
+    by = [*keys, "p_kind", "p_facade"]
+    lists, near = checkpoint(lists), checkpoint(_near_pairs(p, e, keys))
+    sizes = lists.groupBy(*by, "list").agg(F.max("place").alias("size"))
     ids = [*keys, "p_id"]
-    widened, held = None, None
+    seen = prefixed(p.select(*keys, "id", "ord", "kind", "facade", "class"), "p_", keys).join(classes, [*by, "p_class"], "left").join(sizes, [*by, "list"], "left")
+    seen = seen.join(near.select(*ids).distinct().withColumn("_near", F.lit(1)), ids, "left")
+    before = Window.partitionBy(*by, "list").orderBy("p_ord", "p_id").rowsBetween(Window.unboundedPreceding, -1)
+    skipped = F.coalesce(F.sum(F.when(F.col("_near").isNull(), 1).otherwise(0)).over(before), F.lit(0)).cast("long")
+    size = F.coalesce("size", F.lit(0)).cast("long")
+    seen = checkpoint(seen.select(*ids, "p_ord", "p_kind", "p_facade", "list", size.alias("size"), F.least(skipped, size).alias("lo"), F.lit(look).cast("long").alias("step")))
+
+    looking, parked, held, prefs = seen.withColumn("low", F.lit(None).cast(near.schema["rank"].dataType)), None, None, None
     while True:
-        held, lists = match_serial(lists, keys, "p_id", "e_id", "rank", "p_ord", held)
-        free = p.join(held.select(*ids), ids, "left_anti")
-        if widened is not None:
-            free = free.join(widened, ids, "left_anti")
-        free = checkpoint(free)
-        if free.isEmpty():
+        stretch = looking.where("lo < size").withColumn("place", F.explode(F.sequence(F.col("lo") + 1, F.least(F.col("lo") + F.col("step"), F.col("size")))))
+        found = stretch.join(lists, [*by, "list", "place"]).select(*ids, "p_ord", "e_id", "score", "rank")
+        ends = looking.join(found.groupBy(*ids).agg(F.max("rank").alias("high")), ids, "left").withColumn("last", F.col("lo") + F.col("step") >= F.col("size"))
+        due = near.join(ends.select(*ids, "low", "high", "last"), ids).where((F.col("low").isNull() | (F.col("rank") > F.col("low"))) & (F.col("last") | (F.col("rank") <= F.col("high"))))
+        found = checkpoint(found.unionByName(due.select(*ids, "p_ord", "e_id", "score", "rank")))
+        ends = checkpoint(ends)
+        held, prefs = match_serial(found if prefs is None else prefs.unionByName(found), keys, "p_id", "e_id", "rank", "p_ord", held)
+        # Openings that hold something or saw their whole list wait; the others look further.
+        moved = ends.select(*seen.columns, "low", "high").withColumns({
+            "lo": F.least(F.col("lo") + F.col("step"), F.col("size")), "step": F.col("step") * 2, "low": F.coalesce("high", "low")}).drop("high")
+        moved = checkpoint(moved if parked is None else moved.unionByName(parked))
+        looking = checkpoint(moved.where("lo < size").join(held.select(*ids), ids, "left_anti"))
+        if looking.isEmpty():
             break
-        rest = free.withColumn("_k", F.col("p_kind")).withColumn("_f", F.col("p_facade")).join(
-            e.withColumn("_k", F.col("e_kind")).withColumn("_f", F.col("e_facade")), [*keys, "_k", "_f"]
-        ).drop("_k", "_f")
-        rest = prefs(rest, 1).where((F.col("score") > 0) & (F.col("score") <= WEAK_SCORE))
-        other = prefs(strong(free, False).where(~same), 2).where(F.col("score") >= 0.68)
-        lists = checkpoint(lists.unionByName(rest).unionByName(other))
-        widened = free.select(*ids) if widened is None else checkpoint(widened.unionByName(free.select(*ids)))
-    found = held.select(*keys, "p_id", "e_id", "score", F.when(F.col("score") >= 0.68, "matched").otherwise("needs_review").alias("match_status"))
-    return plans.select(*keys, F.col("id").alias("p_id"), "kind", "facade").join(found, ids, "left").select(
+        parked = moved.join(looking.select(*ids), ids, "left_anti")
+    result = held.select(*keys, "p_id", "e_id", "score", F.when(F.col("score") >= OTHER_FACADE, "matched").otherwise("needs_review").alias("match_status"))
+    return plans.select(*keys, F.col("id").alias("p_id"), "kind", "facade").join(result, ids, "left").select(
         *keys, F.col("kind").alias("opening_kind"), F.col("p_id").alias("plan_id"), F.col("e_id").alias("elevation_id"), "facade",
         F.round(F.coalesce("score", F.lit(0.0)), 3).alias("score"), F.coalesce("match_status", F.lit("unmatched")).alias("match_status"),
     )

@@ -151,7 +151,12 @@ def match_serial(
     result of the serial loop. Returns the held pairs and the remaining list, with which
     the work can go on after more pairs are added.
     """
-    open_prefs = prefs
+    def strike(lists: DataFrame, holders: DataFrame) -> DataFrame:
+        taken = holders.select(*keys, right, F.col(turn).alias("_turn"))
+        return lists.join(taken, [*keys, right], "left").where(F.col("_turn").isNull() | (F.col(turn) <= F.col("_turn"))).drop("_turn")
+
+    # Pairs added since the last call may name right rows that are long held.
+    open_prefs = prefs if held is None else checkpoint(strike(prefs, held))
     row = F.struct(*prefs.columns).alias("row")
     while True:
         asks = open_prefs if held is None else open_prefs.join(held.select(*keys, left), [*keys, left], "left_anti")
@@ -160,10 +165,7 @@ def match_serial(
         rivals = asked if held is None else asked.unionByName(held)
         win = rivals.groupBy(*keys, right).agg(F.min(F.struct(F.col(turn).alias("_o"), row)).alias("_w"))
         now_held = checkpoint(win.select("_w.row.*"))
-        taken = now_held.select(*keys, right, F.col(turn).alias("_turn"))
-        open_prefs = checkpoint(
-            open_prefs.join(taken, [*keys, right], "left").where(F.col("_turn").isNull() | (F.col(turn) <= F.col("_turn"))).drop("_turn")
-        )
+        open_prefs = checkpoint(strike(open_prefs, now_held))
         same = held is not None and now_held.join(held.select(*keys, left, right), [*keys, left, right], "left_anti").isEmpty()
         held = now_held
         if same or held.isEmpty():

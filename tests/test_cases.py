@@ -1,5 +1,8 @@
 """Small drawings and models with known results."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from draftloom.functions import geometry as g
@@ -97,24 +100,18 @@ def views(spark, data):
     return spark.createDataFrame(data, "project_id int, id int, ord int, kind string, facade string, mark string, width double, height double, position double")
 
 
-def test_view_matching_against_serial(spark):
-    import random
-
-    rng = random.Random(3)
-    plans, elevations = [], []
-    for k in range(4):
-        for side, out in (("p", plans), ("e", elevations)):
-            for i in range(14):
-                out.append((k, i, i, rng.choice(["door", "window"]), rng.choice(["south", "north"]), rng.choice(["M1", "M2", "C1", ""]), rng.choice([900.0, 1000.0, 1500.0]), rng.choice([2100.0, 1500.0]), rng.uniform(0, 6000)))
-
+def serial_views(plans, elevations):
+    """Elevation opening of every plan opening, by the plain loop."""
     def score(p, e):
         s = 0.22
         if p[5] and e[5]:
             s += 0.42 if p[5] == e[5] else 0.08 if p[5][0] == e[5][0] else 0
-        dw, dh, dp = abs(p[6] - e[6]), abs(p[7] - e[7]), abs(p[8] - e[8])
-        s += 0.2 if dw <= 80 else 0.1 if dw <= 200 else 0
-        s += 0.08 if dh <= 120 else 0.04 if dh <= 300 else 0
-        s += 0.2 if dp <= 300 else 0.1 if dp <= 900 else -0.08
+        if p[6] is not None and e[6] is not None:
+            s += 0.2 if abs(p[6] - e[6]) <= 80 else 0.1 if abs(p[6] - e[6]) <= 200 else 0
+        if p[7] is not None and e[7] is not None:
+            s += 0.08 if abs(p[7] - e[7]) <= 120 else 0.04 if abs(p[7] - e[7]) <= 300 else 0
+        if p[8] is not None and e[8] is not None:
+            s += 0.2 if abs(p[8] - e[8]) <= 300 else 0.1 if abs(p[8] - e[8]) <= 900 else -0.08
         return round(max(0.0, min(1.0, s)), 6)
 
     want, used = {}, set()
@@ -126,8 +123,37 @@ def test_view_matching_against_serial(spark):
         if best:
             used.add((best[0], best[1]))
         want[(p[0], p[1])] = best[1] if best else None
-    found = m.match_views(views(spark, plans), views(spark, elevations))
-    assert {(r["project_id"], r["plan_id"]): r["elevation_id"] for r in rows(found)} == want
+    return want
+
+
+def random_views(seed, groups, n, far, marks, widths, kinds=("door", "window"), sides=("south", "north")):
+    rng = random.Random(seed)
+    return tuple([(k, i, i, rng.choice(kinds), rng.choice(sides), rng.choice(marks), rng.choice(widths), rng.choice([2100.0, 1500.0, None]), rng.choice([None, *[rng.uniform(0, far)] * 6]))
+                  for k in range(groups) for i in range(n + extra)] for extra in (0, 3))
+
+
+@pytest.mark.parametrize("seed, far, look", [(4, 6000, 1), (5, 200_000, 3)])
+def test_view_matching_against_serial(spark, seed, far, look):
+    plans, elevations = random_views(seed, 4, 22, far, ["M1", "M2", "C1", ""], [900.0, 1000.0, 1500.0, None])
+    a, b = (plans, elevations) if seed % 2 else (elevations, plans)
+    found = m.match_views(views(spark, a), views(spark, b), look=look)
+    assert {(r["project_id"], r["plan_id"]): r["elevation_id"] for r in rows(found)} == serial_views(a, b)
+
+
+def test_a_large_facade_without_marks_lists_few_pairs(spark, monkeypatch):
+    n = 700
+    rng = random.Random(8)
+    plans, elevations = ([(1, i, i, "window", "south", "", rng.choice([900.0, 1500.0, 2400.0]), 1500.0, None) for i in range(n)] for _ in range(2))
+    listed = []
+
+    def counted(prefs, *how):
+        listed.append(prefs.count())
+        return match_serial(prefs, *how)
+
+    match_serial = m.match_serial
+    monkeypatch.setattr(m, "match_serial", counted)
+    found = {(r["project_id"], r["plan_id"]): r["elevation_id"] for r in rows(m.match_views(views(spark, plans), views(spark, elevations)))}
+    assert found == serial_views(plans, elevations) and max(listed) < 40 * n
 
 
 def test_back_fill(spark):
