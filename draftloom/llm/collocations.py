@@ -44,14 +44,14 @@ PART_BYTES = 1 << 24
 #: Counters of a partition, as a multiple of mass / threshold; the loss stays below threshold / SPARE.
 SPARE = 4
 #: Size of the bitmap of survivors, as a power of two.
-BITS = 28
+BITS = 27
 HASH_BITS = 48
 #: Counters in one row of a summary, so that batches of rows stay small.
 ROW_COUNTERS = 4096
 SLICE = 1 << 20
 #: Words a task remembers, and counted phrases it holds before it writes them.
-WORDS_HELD = 1 << 19
-PHRASES_HELD = 1 << 19
+WORDS_HELD = 3 << 17
+PHRASES_HELD = 3 << 18
 
 BREAK = b"."
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + BREAK * 10)
@@ -279,7 +279,7 @@ def sum_equal(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np
 
 def _counted(docs: DataFrame, bitmap, bits: int, longest: int, size: int) -> DataFrame:
     """(lang, phrase, f) per task and buffer for phrases whose bit is set; a null phrase counts all words of the language."""
-    def emitted(languages: list[str], words: _Words, rows: Iterator[tuple[int, bytes | None, int]]) -> Iterator[pa.RecordBatch]:
+    def emitted(languages: list[str], rows: Iterator[tuple[int, bytes | None, int]]) -> Iterator[pa.RecordBatch]:
         names, phrases, counts = [], [], []
 
         def out() -> pa.RecordBatch:
@@ -308,13 +308,15 @@ def _counted(docs: DataFrame, bitmap, bits: int, longest: int, size: int) -> Dat
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         n_held = 0
 
-        def rows() -> Iterator[tuple[int, bytes | None, int]]:
+        def single_rows() -> Iterator[tuple[int, bytes | None, int]]:
             known = words.hashes()
             for language, counts in singles.items():
                 yield language, None, int(counts[1:].sum())
                 number = np.flatnonzero(counts[1:]) + 1
                 number = number[survives(_mix(known[number] ^ np.uint64(_seed(languages[language]))))]
                 yield from ((language, words.names[i], int(counts[i])) for i in number)
+
+        def phrase_rows() -> Iterator[tuple[int, bytes | None, int]]:
             if held:
                 _, ids, counts = sum_equal(held)
                 for at in range(0, len(ids), 1 << 14):
@@ -324,7 +326,8 @@ def _counted(docs: DataFrame, bitmap, bits: int, longest: int, size: int) -> Dat
         for batch in batches:
             for language, data in _streams(batch):
                 if len(words) > WORDS_HELD:
-                    yield from emitted(languages, words, rows())
+                    yield from emitted(languages, single_rows())
+                    yield from emitted(languages, phrase_rows())
                     words, singles, held, n_held = _Words(), {}, [], 0
                 number = seen.setdefault(language, len(seen))
                 if number == len(languages):
@@ -348,10 +351,11 @@ def _counted(docs: DataFrame, bitmap, bits: int, longest: int, size: int) -> Dat
                     if n_held >= PHRASES_HELD:
                         held = [sum_equal(held)]
                         n_held = len(held[0][0])
-                        if n_held >= PHRASES_HELD // 2:
-                            yield from emitted(languages, words, rows())
-                            singles, held, n_held = {}, [], 0
-        yield from emitted(languages, words, rows())
+                        if n_held >= PHRASES_HELD * 2 // 3:
+                            yield from emitted(languages, phrase_rows())
+                            held, n_held = [], 0
+        yield from emitted(languages, single_rows())
+        yield from emitted(languages, phrase_rows())
 
     return docs.mapInArrow(run, "lang string, phrase string, f long")
 
