@@ -9,8 +9,9 @@ from draftloom.functions import values as v
 from draftloom.functions import geometry as g
 from draftloom.operators.matching import point_box
 from draftloom.operators.ordered import first_wins, suppress
-from draftloom.operators.spatial import Keys, box_join
+from draftloom.operators.spatial import Keys, box_join, parallel_join
 from draftloom.operators.walls import BOX, DRAWING, _boxed
+from draftloom.session import checkpoint
 
 
 def _edges(pairs: DataFrame, keys: Keys) -> DataFrame:
@@ -168,14 +169,19 @@ def recheck_walls(walls: DataFrame, keys: Keys = ("project_id",), cell: float =
     described = (F.coalesce("thickness_mm", F.lit(0)) != 0).cast("int") + (F.coalesce("material", F.lit("")) != "").cast("int") + (F.coalesce("height_mm", F.lit(0)) != 0).cast("int")
     view = F.when(F.col("drawing_type") == "floor_plan", 3).when(F.coalesce("drawing_type", F.lit("")) == "", 2).otherwise(1)
     ready = F.coalesce(F.col("review_status").isin("ready", "confirmed"), F.lit(False)).cast("int")
-    w = _boxed(g.with_measures(walls)).withColumn("lv", F.lower(F.trim(F.coalesce("level", F.lit("")))))
+    w = g.with_measures(walls).withColumn("lv", F.lower(F.trim(F.coalesce("level", F.lit("")))))
     w = w.withColumn("ord", F.struct((-F.round("len", 6)).alias("l"), (-described).alias("p"), (-view).alias("v"), (-ready).alias("r"), (-F.coalesce("confidence", F.lit(0.0))).alias("c"), F.col("id").alias("i")))
-    shape = [*keys, "id", "ord", "lv", "drawing_id", "floor_number", "floor_status", "x1", "y1", "x2", "y2", "len", "ux", "uy", "thickness_mm", "material", *BOX]
-    place = [*dict.fromkeys(shape)]
-    # A wall is paired with itself once and dropped by the order test.
-    pairs = box_join(w.select(*place), w.select(*place), keys, BOX, BOX, cell, margin=25.0, condition=_earlier() & share_position())
+    nodes = w.select(*keys, "id", "ord")
+    place = [*keys, "id", "ord", "lv", "drawing_id", "floor_number", "floor_status", "x1", "y1", "x2", "y2", "len", "ux", "uy", "thickness_mm", "material"]
+    w = w.select(*place).where("len > 1")
+    # Walls of one level meet under its name. A wall without a level meets all others, under one of two names of its own.
+    level, open_level = F.concat(F.lit("="), F.col("lv")), F.col("lv") == ""
+    a = w.withColumn("_meet", F.explode(F.when(open_level, F.array(F.lit("a"))).otherwise(F.array(level, F.lit("b")))))
+    b = w.withColumn("_meet", F.explode(F.when(open_level, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(level, F.lit("a")))))
+    # Written once: three tables are made from it.
+    pairs = checkpoint(parallel_join(a, b, [*keys, "_meet"], along=cell, across=200.0, margin=25.0, tolerance=1.1, condition=_earlier() & share_position(), sector=2.0))
     merged = pairs.where(same_floor())
-    result = suppress(w.select(*keys, "id", "ord"), _edges(merged, keys), keys)
+    result = suppress(nodes, _edges(merged, keys), keys)
     differ = F.concat_ws(
         ", ", F.when(F.abs(F.col("a_thickness_mm") - F.col("b_thickness_mm")) > 5, "thickness"),
         F.when((F.lower(F.trim("a_material")) != F.lower(F.trim("b_material"))) & (F.trim("a_material") != "") & (F.trim("b_material") != ""), "material"),

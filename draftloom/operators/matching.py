@@ -56,7 +56,7 @@ def associate_texts(texts: DataFrame, elements: DataFrame, keys: Keys = DRAWING,
     line = ("e_x1", "e_y1", "e_x2", "e_y2")
     found = nearest(
         texts, _boxed(elements), keys, ["text_id"], ("x", "y"), BOX, F.round(g.point_segment_distance("x", "y", *line), 6), rings,
-        order=[order, F.col("e_ord")], right_prefix="e_",
+        order=[order, F.col("e_ord")], right_prefix="e_", right_line=("x1", "y1", "x2", "y2"),
     )
     return found.select(
         *keys, "text_id", F.col("e_element_id").alias("element_id"), F.col("e_element_type").alias("element_type"),

@@ -25,18 +25,65 @@ def prefixed(df: DataFrame, prefix: str, keep: Keys = ()) -> DataFrame:
     return df.select(*[F.col(c).alias(c if c in keep else prefix + c) for c in df.columns])
 
 
+#: Coordinates beyond this, and entities of a larger extent, are faults of a drawing (millimetres).
+FARTHEST, WIDEST = 1e12, 1e8
+
+
+def sane(*names: str) -> Column:
+    """Coordinates are finite and not absurd; nulls count as sane, as no join finds them anyway."""
+    return F.coalesce(F.greatest(*[F.abs(F.col(c).cast("double")) for c in names], F.lit(0.0)) <= FARTHEST, F.lit(True))
+
+
+def _sane_box(box: Sequence[str]) -> Column:
+    x0, y0, x1, y1 = (F.col(c).cast("double") for c in box)
+    return sane(*box) & F.coalesce(F.greatest(F.abs(x1 - x0), F.abs(y1 - y0)) <= WIDEST, F.lit(True))
+
+
+def coordinate_issues(df: DataFrame, coordinates: Sequence[str]) -> DataFrame:
+    """Rows that spatial joins leave out: a coordinate is not finite or absurd, or the extent (of x1, y1, x2, y2 in pairs) is. Adds ``issue``."""
+    far = ~sane(*coordinates)
+    wide = F.lit(False)
+    for a, b in zip(coordinates, coordinates[2:]):
+        wide = wide | F.coalesce(F.abs(F.col(b).cast("double") - F.col(a).cast("double")) > WIDEST, F.lit(False))
+    return df.withColumn("issue", F.when(far, "coordinate_out_of_range").when(wide, "extent_out_of_range")).where("issue is not null")
+
+
 def _cells(low: Column, high: Column, cell: float) -> Column:
     return F.sequence(F.floor(low / cell).cast("bigint"), F.floor(high / cell).cast("bigint"))
 
 
-def with_cells(df: DataFrame, box: Sequence[str], cell: float, margin: float = 0.0) -> DataFrame:
-    """One row per grid cell that the box (grown by ``margin``) touches: ``_gx``, ``_gy``."""
+def with_cells(df: DataFrame, box: Sequence[str], cell: float, margin: float = 0.0, across: float | None = None) -> DataFrame:
+    """One row per grid cell that the box (grown by ``margin``) touches: ``_gx``, ``_gy``. Cells are ``cell`` wide and ``across`` (or as much) high.
+
+    Rows with absurd coordinates (see :func:`coordinate_issues`) touch none.
+    """
     x0, y0, x1, y1 = (F.col(c) for c in box)
-    return df.withColumn("_gx", F.explode(_cells(x0 - margin, x1 + margin, cell))).withColumn(
-        "_gy", F.explode(_cells(y0 - margin, y1 + margin, cell))
+    return df.where(_sane_box(box)).withColumn("_gx", F.explode(_cells(x0 - margin, x1 + margin, cell))).withColumn(
+        "_gy", F.explode(_cells(y0 - margin, y1 + margin, across or cell))
     )
 
 
+def with_line_cells(df: DataFrame, line: Sequence[str], cell: float, margin: float) -> DataFrame:
+    """One row per grid cell that holds a point within ``margin`` of the line: ``_gx``, ``_gy``.
+
+    Goes along the columns of the grid and lists the cells beside the stretch of the line in reach of each, so a
+    slanted line touches as many cells as a level one, not all of its box.
+    """
+    x1, y1, x2, y2 = (F.col(c).cast("double") for c in line)
+    low, high = F.least(x1, x2), F.greatest(x1, x2)
+    cut = df.where(_sane_box(line)).withColumn("_gx", F.explode(_cells(low - margin, high + margin, cell)))
+    left, right = F.col("_gx") * cell - margin, (F.col("_gx") + 1) * cell + margin
+    steep = F.abs(x2 - x1) < 1e-9
+
+    def at(x):
+        return F.when(steep, None).otherwise(y1 + (F.least(F.greatest(x, low), high) - x1) / (x2 - x1) * (y2 - y1))
+
+    ends = [F.coalesce(at(left), y1), F.coalesce(at(right), y2)]
+    # A hair more than the margin: the place on the line is rounded.
+    slack = margin + 1e-6 * cell
+    return cut.withColumn("_gy", F.explode(_cells(F.least(*ends) - slack, F.greatest(*ends) + slack, cell)))
+
+
 def box_join(
     left: DataFrame,
     right: DataFrame,
@@ -48,18 +95,19 @@ def box_join(
     condition: Callable[[], Column] | Column | None = None,
     left_prefix: str = "a_",
     right_prefix: str = "b_",
+    across: float | None = None,
 ) -> DataFrame:
     """All pairs with equal keys whose boxes, the left one grown by ``margin``, share a point.
 
-    Columns come out prefixed, the keys once. ``condition`` may use the prefixed names.
+    Columns come out prefixed, the keys once. ``condition`` may use the prefixed names. Cells are ``cell`` wide and ``across`` (or as much) high.
     """
-    a = prefixed(with_cells(left, left_box, cell, margin), left_prefix, (*keys, "_gx", "_gy"))
-    b = prefixed(with_cells(right, right_box, cell), right_prefix, (*keys, "_gx", "_gy"))
+    a = prefixed(with_cells(left, left_box, cell, margin, across), left_prefix, (*keys, "_gx", "_gy"))
+    b = prefixed(with_cells(right, right_box, cell, across=across), right_prefix, (*keys, "_gx", "_gy"))
     ax0, ay0, ax1, ay1 = (F.col(left_prefix + c) for c in left_box)
     bx0, by0, bx1, by1 = (F.col(right_prefix + c) for c in right_box)
     meet = (ax0 - margin <= bx1) & (bx0 <= ax1 + margin) & (ay0 - margin <= by1) & (by0 <= ay1 + margin)
     home = (F.floor(F.greatest(ax0 - margin, bx0) / cell) == F.col("_gx")) & (
-        F.floor(F.greatest(ay0 - margin, by0) / cell) == F.col("_gy")
+        F.floor(F.greatest(ay0 - margin, by0) / (across or cell)) == F.col("_gy")
     )
     pairs = a.join(b, [*keys, "_gx", "_gy"]).where(meet & home).drop("_gx", "_gy")
     if condition is not None:
@@ -67,11 +115,51 @@ def box_join(
     return pairs
 
 
+def parallel_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Keys,
+    along: float,
+    across: float,
+    margin: float,
+    tolerance: float,
+    condition: Column,
+    sector: float = 6.0,
+) -> DataFrame:
+    """Pairs of lines (x1, y1, x2, y2) within ``tolerance`` degrees of each other and within ``margin``, for which ``condition`` holds.
+
+    The heading is a join key in sectors of ``sector`` degrees, and the cells lie along the sector: long and narrow ones, which a line of any
+    heading follows. Lines side by side share cells, lines at a distance or across each other do not.
+    Columns come out prefixed with ``a_`` and ``b_``.
+    """
+    if tolerance > sector:
+        raise ValueError("sectors must be as wide as the tolerance")
+    heading = F.pmod(F.degrees(F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))), F.lit(180.0))
+    sectors = round(180 / sector)
+
+    def of(turn: Column) -> Column:
+        return F.floor(F.pmod(turn, F.lit(180.0)) / sector).cast("int") % sectors
+
+    def turned(df: DataFrame, headings: list[Column]) -> DataFrame:
+        # Sectors, then directions, come out of an explode: so they are worked out once and not in every use.
+        rows = df.withColumn("_sector", F.explode(F.array_distinct(F.array(*map(of, headings)))))
+        middle = F.radians((F.col("_sector") + 0.5) * sector)
+        rows = rows.withColumn("_u", F.explode(F.array(F.struct(F.cos(middle).alias("c"), F.sin(middle).alias("s")))))
+        t = [F.col(f"x{i}") * F.col("_u.c") + F.col(f"y{i}") * F.col("_u.s") for i in (1, 2)]
+        n = [F.col(f"y{i}") * F.col("_u.c") - F.col(f"x{i}") * F.col("_u.s") for i in (1, 2)]
+        return rows.withColumns({"_t0": F.least(*t), "_n0": F.least(*n), "_t1": F.greatest(*t), "_n1": F.greatest(*n)}).drop("_u")
+
+    a, b = turned(left, [heading - tolerance, heading, heading + tolerance]), turned(right, [heading])
+    box = ("_t0", "_n0", "_t1", "_n1")
+    pairs = box_join(a, b, [*keys, "_sector"], box, box, along, margin, condition, across=across)
+    return pairs.drop("_sector", *[f"{p}{c}" for p in ("a_", "b_") for c in box])
+
+
 def wider_rings(radius: float, left: DataFrame, left_point: Sequence[str], right: DataFrame, right_box: Sequence[str]) -> list[float]:
     """Rings beyond ``radius``, each eight times the one before, up to one that spans both sides."""
     far = 0.0
     for df, names in ((left, left_point), (right, right_box)):
-        row = df.agg(*[F.max(F.abs(F.col(c).cast("double"))).alias(f"_{i}") for i, c in enumerate(names)]).first()
+        row = df.where(sane(*names)).agg(*[F.max(F.abs(F.col(c).cast("double"))).alias(f"_{i}") for i, c in enumerate(names)]).first()
         far = max([far, *[v for v in row if v is not None and math.isfinite(v)]])
     rings = [radius * 8]
     while rings[-1] < 3 * far + 1:
@@ -93,6 +181,7 @@ def nearest(
     condition: Column | None = None,
     inclusive: bool = True,
     right_prefix: str = "r_",
+    right_line: Sequence[str] | None = None,
 ) -> DataFrame:
     """The ``k`` nearest right rows of each left row, by rings of growing radius.
 
@@ -101,7 +190,9 @@ def nearest(
     row once it holds ``k`` right rows within its radius: anything outside is farther.
     Only rows without an answer go on to the next ring, so dense places are settled with
     small cells and wide cells are visited by few rows. The last ring is the search limit; if it is
-    infinite, rings grow until they cover all coordinates.
+    infinite, rings grow until they cover all coordinates. ``right_line`` names the ends of right rows that are lines and
+    ``distance`` the distance to them: cells then follow the line, in place of its box.
+    Rows that go on are written, so that the planner knows how few they are and right rows need not be shuffled for them.
     Left rows without a match are dropped. Adds ``_rank``, ``_distance``.
     """
     done: DataFrame | None = None
@@ -112,10 +203,12 @@ def nearest(
     radii, unlimited, position = [r for r in rings if math.isfinite(r)], math.isinf(rings[-1]), 0
     while position < len(radii):
         radius = radii[position]
-        probe = pending.withColumn("_gx", F.floor(px / radius).cast("bigint")).withColumn(
-            "_gy", F.floor(py / radius).cast("bigint")
+        cell = radius if right_line is None else 1.5 * radius
+        probe = pending.withColumn("_gx", F.floor(px / cell).cast("bigint")).withColumn(
+            "_gy", F.floor(py / cell).cast("bigint")
         )
-        target = prefixed(with_cells(right, right_box, radius, radius), right_prefix, (*keys, "_gx", "_gy"))
+        cells = with_cells(right, right_box, cell, radius) if right_line is None else with_line_cells(right, right_line, cell, radius)
+        target = prefixed(cells, right_prefix, (*keys, "_gx", "_gy"))
         hits = probe.join(target, [*keys, "_gx", "_gy"]).withColumn("_distance", distance)
         last = position == len(radii) - 1 and not unlimited
         hits = hits.where(F.col("_distance") <= radius if inclusive or not last else F.col("_distance") < radius)
@@ -142,7 +235,7 @@ def nearest(
         answer = tried.where(F.col("_found").isNotNull() if last else full)
         done = answer if done is None else done.unionByName(answer)
         if not last:
-            pending = tried.where(~full).drop("_found")
+            pending = checkpoint(tried.where(~full).drop("_found"))
             if pending.isEmpty():
                 break
         position += 1

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from draftloom.functions import values as v
 from draftloom.functions import geometry as g
 from draftloom.operators.ordered import first_wins, number_rows
-from draftloom.operators.spatial import Keys, box_join, islands, nearest, prefixed, wider_rings, with_cells
+from draftloom.operators.spatial import Keys, box_join, islands, nearest, parallel_join, prefixed, wider_rings, with_line_cells
 from draftloom.session import checkpoint
 
 DRAWING = ("project_id", "drawing_id")
@@ -39,11 +39,6 @@ def _boxed(df: DataFrame) -> DataFrame:
 BOX = ("bx0", "by0", "bx1", "by1")
 
 
-def _heading(degrees: Column) -> Column:
-    """Four sectors of 45 degrees, centred on the two axes and the two diagonals."""
-    return (F.floor((F.pmod(degrees, F.lit(180.0)) + 22.5) / 45.0).cast("int")) % 4
-
-
 def pair_lines(segments: DataFrame, keys: Keys = DRAWING, cell: float = 4000.0) -> DataFrame:
     """Every pair of parallel lines a wall thickness apart that run side by side.
 
@@ -53,16 +48,12 @@ def pair_lines(segments: DataFrame, keys: Keys = DRAWING, cell: float = 4000.0)
     lines = segments
     for name in ("x1", "y1", "x2", "y2"):
         lines = lines.withColumn(name, F.col(name).cast("double"))
-    lines = _boxed(g.with_measures(lines)).where(F.col("len") >= PIER_OVERLAP)
-    turn = g.angle_degrees("x1", "y1", "x2", "y2")
-    wanted = ["id", "ord", "layer", "x1", "y1", "x2", "y2", "len", "ux", "uy", *BOX]
-    left = lines.withColumn("_dir", F.explode(F.array_distinct(F.array(_heading(turn - 2.1), _heading(turn + 2.1)))))
-    right = lines.withColumn("_dir", _heading(turn))
+    lines = g.with_measures(lines).where(F.col("len") >= PIER_OVERLAP)
+    wanted = ["id", "ord", "layer", "x1", "y1", "x2", "y2", "len", "ux", "uy"]
     width = F.abs(g.signed_offset("a_", "b_"))
     span = g.span_along("a_", "b_")
-    pairs = box_join(
-        left.select(*keys, "_dir", *wanted), right.select(*keys, "_dir", *wanted), [*keys, "_dir"], BOX, BOX, cell,
-        margin=MAX_WIDTH * 1.1,
+    pairs = parallel_join(
+        lines.select(*keys, *wanted), lines.select(*keys, *wanted), keys, along=cell, across=1200.0, margin=MAX_WIDTH * 1.1, tolerance=2.1,
         condition=(F.col("a_ord") < F.col("b_ord")) & g.is_parallel("a_", "b_")
         & width.between(MIN_WIDTH, MAX_WIDTH) & (span["hi"] - span["lo"] >= PIER_OVERLAP),
     )
@@ -284,7 +275,7 @@ def nearest_walls(points: DataFrame, walls: DataFrame, keys: Keys, point_id: str
     across = F.abs(g.dot("ux", "uy", f"{prefix}ux", f"{prefix}uy")) <= 0.28 if perpendicular else None
     return nearest(
         points, _boxed(walls), keys, [point_id], ("x", "y"), BOX, F.round(g.point_segment_distance("x", "y", *line), 6), rings,
-        order=[F.col(f"{prefix}ord")], condition=across, right_prefix=prefix,
+        order=[F.col(f"{prefix}ord")], condition=across, right_prefix=prefix, right_line=("x1", "y1", "x2", "y2"),
     )
 
 
@@ -320,8 +311,9 @@ def host_walls(points: DataFrame, walls: DataFrame, keys: Keys, point_id: str =
     while i < len(radii):
         radius = radii[i]
         last = i == len(radii) - 1 and not unlimited
-        target = prefixed(with_cells(boxed, BOX, radius, radius), "_w_", (*keys, "_gx", "_gy"))
-        probe = pending.withColumn("_gx", F.floor(F.col("x") / radius).cast("bigint")).withColumn("_gy", F.floor(F.col("y") / radius).cast("bigint"))
+        cell = 1.5 * radius
+        target = prefixed(with_line_cells(boxed, ("x1", "y1", "x2", "y2"), cell, radius), "_w_", (*keys, "_gx", "_gy"))
+        probe = pending.withColumn("_gx", F.floor(F.col("x") / cell).cast("bigint")).withColumn("_gy", F.floor(F.col("y") / cell).cast("bigint"))
         hits = probe.join(target, [*keys, "_gx", "_gy"])
         if leaf:
             turned = F.abs(F.col("leaf_x") * (F.col("_w_x2") - F.col("_w_x1")) + F.col("leaf_y") * (F.col("_w_y2") - F.col("_w_y1")))
