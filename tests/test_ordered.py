@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from draftloom.operators import ordered
 from draftloom.operators.ordered import components, first_wins, match_greedy, match_serial, mode, number_rows, seeds, suppress
 from draftloom.operators.spatial import box_join, islands, nearest
 from draftloom.operators.walls import host_walls
@@ -40,6 +41,50 @@ def test_suppress(spark):
     assert all(r["kept"] == (r["duplicate_of"] is None) for r in rows(got))
 
 
+def serial_suppress(order, links):
+    """The first kept earlier rival of every row, by the plain loop over (node -> order, earlier rivals)."""
+    kept, want = set(), {}
+    for i in sorted(order, key=order.get):
+        rivals = sorted((j for j in links.get(i, ()) if j in kept), key=order.get)
+        want[i] = rivals[0] if rivals else None
+        if not rivals:
+            kept.add(i)
+    return want
+
+
+@pytest.mark.parametrize("shape", ["dense", "chains", "trees", "twins"])
+def test_suppress_equals_the_serial_scan(spark, shape):
+    rng = random.Random(shape)
+    size = 400
+    order = {i: n for n, i in enumerate(rng.sample(range(size), size))}
+    ranked = sorted(order, key=order.get)
+    links = {}
+    for n, i in enumerate(ranked[1:], 1):
+        back = {"dense": [rng.randrange(n) for _ in range(rng.randrange(0, 5))], "chains": [n - 1] if rng.random() < 0.98 else [], "trees": [rng.randrange(n)],
+                "twins": [n - 1, n - 2][:n] if rng.random() < 0.6 else [n - 1]}[shape]
+        links[i] = {ranked[j] for j in back}
+    nodes = spark.createDataFrame([(1, i, o) for i, o in order.items()], "k int, id int, ord int")
+    edges = spark.createDataFrame([(1, j, i) for i, js in links.items() for j in js], "k int, early int, late int")
+    assert {r["id"]: r["duplicate_of"] for r in rows(suppress(nodes, edges, KEYS))} == serial_suppress(order, links)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    n = 100_000
+    written = []
+
+    def counted(df):
+        written.append(1)
+        return checkpoint_path(df)
+
+    checkpoint_path = ordered.checkpoint_path
+    monkeypatch.setattr(ordered, "checkpoint_path", counted)
+    nodes = spark.range(n).select(F.lit(1).alias("k"), "id", F.col("id").alias("ord"))
+    edges = spark.range(n - 1).select(F.lit(1).alias("k"), F.col("id").alias("early"), (F.col("id") + 1).alias("late"))
+    found = suppress(nodes, edges, KEYS)
+    assert found.where((F.col("kept") != (F.col("id") % 2 == 0)) | (~F.col("kept") & (F.col("duplicate_of") != F.col("id") - 1))).count() == 0
+    assert len(written) // 3 < 25 and found.count() == n
+
+
 def test_match_greedy(spark):
     pairs, want = [], set()
     for k, rng in instances(2, 20):
