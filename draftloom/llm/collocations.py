@@ -277,23 +277,31 @@ def sum_equal(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np
     return hashes[heads], rows[heads], np.add.reduceat(counts, heads)
 
 
-def _counted(docs: DataFrame, bitmap, bits: int, longest: int, size: int) -> DataFrame:
-    """(lang, phrase, f) per task and buffer for phrases whose bit is set; a null phrase counts all words of the language."""
-    def emitted(languages: list[str], rows: Iterator[tuple[int, bytes | None, int]]) -> Iterator[pa.RecordBatch]:
-        names, phrases, counts = [], [], []
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "phrase", "f"])
-
-        for language, phrase, count in rows:
-            names.append(languages[language])
-            phrases.append(phrase)
-            counts.append(count)
-            if len(names) >= 1 << 16:
-                yield out()
-                names, phrases, counts = [], [], []
-        if names:
-            yield out()
+_BLOCK = "part int, lang string, phrases binary, counts binary, total long"
+
+
+def _counted(docs: DataFrame, bitmap, bits: int, part_bits: int, longest: int, size: int) -> DataFrame:
+    """Counts of each task for phrases whose bit is set, in blocks of one hash partition and language; ``total`` counts all words of the language."""
+    def blocks(languages: list[str], words: _Words, hashes: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        part = (hashes >> np.uint64(64 - part_bits)).astype(np.int64)
+        order = np.lexsort((rows[:, 0], part))
+        owner = part[order] * len(languages) + rows[order, 0]
+        cuts = np.flatnonzero(np.diff(owner, prepend=-1))
+        out = []
+        for start, end in zip(cuts, np.append(cuts[1:], len(order))):
+            for a in range(start, end, ROW_COUNTERS):
+                here = order[a:min(end, a + ROW_COUNTERS)]
+                phrases = b"\n".join([b" ".join([words.names[i] for i in row if i]) for row in rows[here, 1:].tolist()])
+                out.append((int(part[here[0]]), languages[rows[here[0], 0]], phrases, _packed(counts[here]), 0))
+            if len(out) >= 256:
+                yield batch_of(out)
+                out = []
+        if out:
+            yield batch_of(out)
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["part", "lang", "phrases", "counts", "total"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).view(bool) if bits <= 24 else None
@@ -308,26 +316,25 @@ def _counted(docs: DataFrame, bitmap, bits: int, longest: int, size: int) -> Dat
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         n_held = 0
 
-        def single_rows() -> Iterator[tuple[int, bytes | None, int]]:
+        def single_blocks() -> Iterator[pa.RecordBatch]:
             known = words.hashes()
             for language, counts in singles.items():
-                yield language, None, int(counts[1:].sum())
+                yield batch_of([(0, languages[language], b"", b"", int(counts[1:].sum()))])
                 number = np.flatnonzero(counts[1:]) + 1
-                number = number[survives(_mix(known[number] ^ np.uint64(_seed(languages[language]))))]
-                yield from ((language, words.names[i], int(counts[i])) for i in number)
+                h = _mix(known[number] ^ np.uint64(_seed(languages[language])))
+                left = survives(h)
+                number, h = number[left], h[left]
+                yield from blocks(languages, words, h, np.stack([np.full(len(number), language), number], axis=1), counts[number])
 
-        def phrase_rows() -> Iterator[tuple[int, bytes | None, int]]:
+        def phrase_blocks() -> Iterator[pa.RecordBatch]:
             if held:
-                _, ids, counts = sum_equal(held)
-                for at in range(0, len(ids), 1 << 14):
-                    for row, count in zip(ids[at:at + (1 << 14)].tolist(), counts[at:at + (1 << 14)].tolist()):
-                        yield row[0], b" ".join([words.names[i] for i in row[1:] if i]), count
+                yield from blocks(languages, words, *sum_equal(held))
 
         for batch in batches:
             for language, data in _streams(batch):
                 if len(words) > WORDS_HELD:
-                    yield from emitted(languages, single_rows())
-                    yield from emitted(languages, phrase_rows())
+                    yield from single_blocks()
+                    yield from phrase_blocks()
                     words, singles, held, n_held = _Words(), {}, [], 0
                 number = seen.setdefault(language, len(seen))
                 if number == len(languages):
@@ -352,12 +359,42 @@ def _counted(docs: DataFrame, bitmap, bits: int, longest: int, size: int) -> Dat
                         held = [sum_equal(held)]
                         n_held = len(held[0][0])
                         if n_held >= PHRASES_HELD * 2 // 3:
-                            yield from emitted(languages, phrase_rows())
+                            yield from phrase_blocks()
                             held, n_held = [], 0
-        yield from emitted(languages, single_rows())
-        yield from emitted(languages, phrase_rows())
+        yield from single_blocks()
+        yield from phrase_blocks()
+
+    return docs.mapInArrow(run, _BLOCK)
+
+
+def _added(blocks: DataFrame, threshold: int, tasks: int) -> DataFrame:
+    """(lang, phrase, f) summed over blocks, by the phrases themselves; memory holds one hash partition of one language."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, sums, total = None, {}, 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            found = [(phrase, n) for phrase, n in sums.items() if n >= threshold]
+            for at in range(0, len(found), 1 << 14):
+                phrases, counts = zip(*found[at:at + (1 << 14)])
+                yield pa.RecordBatch.from_arrays([pa.array([owner[1]] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "phrase", "f"])
+            if total:
+                yield pa.RecordBatch.from_arrays([pa.array([owner[1]]), pa.array([None], pa.string()), pa.array([total], pa.int64())], names=["lang", "phrase", "f"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (row["part"], row["lang"]) != owner:
+                    if owner is not None:
+                        yield from out()
+                    owner, sums, total = (row["part"], row["lang"]), {}, 0
+                total += row["total"]
+                if row["phrases"]:
+                    phrases = row["phrases"].split(b"\n")
+                    for phrase, n in zip(phrases, _unpacked(row["counts"], len(phrases)).tolist()):
+                        sums[phrase] = sums.get(phrase, 0) + n
+        if owner is not None:
+            yield from out()
 
-    return docs.mapInArrow(run, "lang string, phrase string, f long")
+    return blocks.repartition(tasks, "part").sortWithinPartitions("part", "lang").mapInArrow(run, "lang string, phrase string, f long")
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", threshold: int = THRESHOLD, longest: int = LONGEST, buffer: int = BUFFER,
@@ -375,9 +412,8 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", th
     # Bits of a partition are a range of the bitmap: in all, what comes to the driver is the bitmap once.
     for part in _survivors(summaries, part_bits, bits, threshold, spare, tasks).collect():
         bitmap[part["part"] * width:(part["part"] + 1) * width] = part["bitmap"]
-    counted = _counted(rows, spark.sparkContext.broadcast(bytes(bitmap)), bits, longest, size)
-    summed = counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    return summed.where((F.col("f") >= threshold) | F.col("phrase").isNull())
+    counted = _counted(rows, spark.sparkContext.broadcast(bytes(bitmap)), bits, part_bits, longest, size)
+    return _added(counted, threshold, tasks)
 
 
 def rank_phrases(phrases: DataFrame, keep: int = KEEP, covered: int = COVERED, salts: int = 256) -> DataFrame:
