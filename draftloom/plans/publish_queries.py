@@ -184,14 +184,14 @@ def block_definitions(spark, sf_dir):
 
 @query("placed_blocks", "S4", f"""select drawing_id::string file, x source_x, x-150 bx0, x+150 bx1, y-150 by0, y+900 by1, 2::bigint block_geometry_count from {OPEN} where opening_id%4=2""")
 def placed_blocks(spark, sf_dir):
-    tags = checkpoint(dw.tags_of(_files(spark, sf_dir)))
+    tags = dw.number_tags(dw.tags_of(_files(spark, sf_dir)))
     placed, _ = dw.place_blocks(dw.read_entities(tags), *dw.read_blocks(tags))
     return placed.select("file", F.round("source_x").cast("bigint").alias("source_x"), *[F.round(c).cast("bigint").alias(c) for c in ("bx0", "bx1", "by0", "by1")], "block_geometry_count")
 
 
 @query("offset_blocks", "S5", f"""select drawing_id::string file, (x+175)::bigint cx, y::bigint cy from {OPEN} where opening_id%4=2 and sqrt(x*x+y*y)<=20000""")
 def offset_blocks(spark, sf_dir):
-    tags = checkpoint(dw.tags_of(_files(spark, sf_dir)))
+    tags = dw.number_tags(dw.tags_of(_files(spark, sf_dir)))
     found = dw.place_blocks_by_offset(dw.read_entities(tags), dw.read_blocks(tags)[0])
     return found.select("file", F.round("cx").cast("bigint").alias("cx"), F.round("cy").cast("bigint").alias("cy"))
 

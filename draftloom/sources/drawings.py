@@ -13,37 +13,65 @@ SIMPLE_TYPES = ["LINE", "ARC", "CIRCLE", "LWPOLYLINE", "TEXT", "MTEXT", "DIMENSI
 NUMBER_CODES = ["10", "20", "11", "21", "13", "23", "14", "24", "40", "41", "42", "50", "51", "70"]
 
 
-def read_tags(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``file``, ``n``, ``code``, ``val``: lines of each file taken in pairs; an odd last line is dropped.
+#: Pairs of a chunk where a file is given as one text.
+CHUNK_TAGS = 65536
 
-    Pairs are cut from the file's own line array, so reading needs no shuffle.
-    """
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return tags_of(files)
 
+def read_tags(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``file``, ``chunk``, ``n``, ``code``, ``val``: lines of each file taken in pairs; an odd last line is dropped.
 
-def tags_of(files: DataFrame) -> DataFrame:
+    A file of any size is read by many tasks: Spark hands out byte ranges, which are the chunks. Lines are written once with their order
+    within the range; a prefix sum over the counts of the ranges (one row each) then tells every line its number in the file, hence whether it
+    is a code or a value. Where a range ends between the two, the value is the first line of the next range.
+    """
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("chunk"), F.monotonically_increasing_id().alias("i"), g.strip("value").alias("value"))
+    lines = checkpoint(lines)
+    ranges = lines.groupBy("file", "chunk").agg(F.min("i").alias("_i0"), F.count(F.lit(1)).alias("_n"), F.min_by("value", "i").alias("_first"))
+    order = Window.partitionBy("file").orderBy("chunk")
+    before = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = checkpoint(ranges.select("file", "chunk", "_i0", before.alias("_base"), F.lead("_first").over(order).alias("_next")))
+    inside = Window.partitionBy("file", "chunk").orderBy("i")
+    numbered = lines.withColumn("_val", F.lead("value").over(inside)).join(ranges, ["file", "chunk"])
+    line = F.col("i") - F.col("_i0") + F.col("_base")
+    pairs = numbered.where(line % 2 == 0).select("file", "chunk", F.floor(line / 2).cast("bigint").alias("n"), F.col("value").alias("code"), F.coalesce("_val", "_next").alias("val"))
+    return pairs.where("val is not null")
+
+
+def tags_of(files: DataFrame, chunk_tags: int = CHUNK_TAGS) -> DataFrame:
+    """:func:`read_tags` for files given as rows (``file``, ``value``), each cut into chunks of ``chunk_tags`` pairs."""
     lines = F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")
     pairs = F.transform(
         F.sequence(F.lit(0), F.floor((F.size("_l") / 2)).cast("int") - 1),
-        lambda i: F.struct(i.cast("bigint").alias("n"), g.strip(F.get("_l", i * 2)).alias("code"), g.strip(F.get("_l", i * 2 + 1)).alias("val")),
+        lambda i: F.struct(F.floor(i / chunk_tags).cast("bigint").alias("chunk"), i.cast("bigint").alias("n"), g.strip(F.get("_l", i * 2)).alias("code"), g.strip(F.get("_l", i * 2 + 1)).alias("val")),
     )
     return files.withColumn("_l", lines).where(F.size("_l") >= 2).select("file", F.explode(pairs).alias("_t")).select("file", "_t.*")
 
 
-def _numbered(tags: DataFrame) -> DataFrame:
-    """Adds ``section``, ``entity`` (number of the entity in its file) and ``block`` (number of the block)."""
-    line = Window.partitionBy("file").orderBy("n")
-    so_far = line.rowsBetween(Window.unboundedPreceding, 0)
-    before = F.lag(F.struct("code", "val")).over(line)
-    named = (F.col("code") == "2") & (before["code"] == "0") & (before["val"] == "SECTION")
+def carried(df: DataFrame, order: str, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None) -> DataFrame:
+    """Running sums and last known values along the rows of a file, from its chunks: first inside each chunk, then what the chunks before it bring.
+
+    Only one small row per chunk is put in order for a whole file.
+    """
+    sums, lasts = sums or {}, lasts or {}
+    inside = Window.partitionBy("file", "chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = df.select("*", *[F.sum(c).over(inside).alias(f"_{n}") for n, c in sums.items()], *[F.last(c, ignorenulls=True).over(inside).alias(f"_{n}") for n, c in lasts.items()])
+    ends = df.groupBy("file", "chunk").agg(*[F.sum(c).alias(n) for n, c in sums.items()], *[F.max_by(c, F.when(c.isNotNull(), F.col(order))).alias(n) for n, c in lasts.items()])
+    before = Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    brought = ends.select("file", "chunk", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}_before") for n in sums], *[F.last(n, ignorenulls=True).over(before).alias(f"_{n}_before") for n in lasts])
+    out = local.join(brought, ["file", "chunk"])
+    return out.select(*df.columns, *[(F.col(f"_{n}") + F.col(f"_{n}_before")).alias(n) for n in sums], *[F.coalesce(f"_{n}", f"_{n}_before").alias(n) for n in lasts])
+
+
+def number_tags(tags: DataFrame) -> DataFrame:
+    """Adds ``section``, ``entity`` (number of the entity in its file) and ``block`` (number of the block); written, as entities and blocks both read it."""
+    if "section" in tags.columns:
+        return tags
+    tags = carried(tags, "n", lasts={"_zero": F.when(F.col("code") == "0", F.struct("n", "val"))})
+    # A section is named by the pair after its start.
+    named = (F.col("code") == "2") & (F.col("_zero.n") == F.col("n") - 1) & (F.col("_zero.val") == "SECTION")
     mark = F.when(named, F.col("val")).when((F.col("code") == "0") & F.col("val").isin("SECTION", "ENDSEC"), F.lit(""))
     zero = F.col("code") == "0"
-    return (
-        tags.withColumn("section", F.last(mark, ignorenulls=True).over(so_far))
-        .withColumn("entity", F.sum(F.when(zero, 1).otherwise(0)).over(so_far))
-        .withColumn("block", F.sum(F.when(zero & (F.upper("val") == "BLOCK"), 1).otherwise(0)).over(so_far))
-    )
+    return checkpoint(carried(tags.withColumn("_mark", mark).drop("_zero"), "n", {"entity": F.when(zero, 1).otherwise(0), "block": F.when(zero & (F.upper("val") == "BLOCK"), 1).otherwise(0)}, {"section": F.col("_mark")}).drop("_mark"))
 
 
 def _value(code: str, default: str | None = None) -> Column:
@@ -60,7 +88,7 @@ def _gathered(numbered: DataFrame) -> DataFrame:
     corners = F.array_sort(F.collect_list(F.when(F.col("code").isin("10", "20"), F.struct("n", "code", F.coalesce(F.col("val").try_cast("double"), F.lit(0.0)).alias("v")))))
     parts = F.array_sort(F.collect_list(F.when(F.col("code").isin("1", "3"), F.struct("n", "val"))))
     rows = numbered.groupBy("file", "section", "block", "entity").agg(
-        F.min("n").alias("ord"), F.upper(F.max_by(F.when(F.col("code") == "0", F.col("val")), F.when(F.col("code") == "0", F.col("n")))).alias("etype"), _value("8", "0").alias("layer"), _value("2", "").alias("name"),
+        F.min("n").alias("ord"), F.min("chunk").alias("chunk"), F.upper(F.max_by(F.when(F.col("code") == "0", F.col("val")), F.when(F.col("code") == "0", F.col("n")))).alias("etype"), _value("8", "0").alias("layer"), _value("2", "").alias("name"),
         *[number(c) for c in NUMBER_CODES], F.max(F.when(F.col("code") == "42", 1)).isNotNull().alias("_has42"), corners.alias("_c"), parts.alias("_p"),
     )
     fold = F.aggregate(
@@ -78,7 +106,7 @@ def _shaped(rows: DataFrame) -> DataFrame:
     text, round_, poly = kind.isin("TEXT", "MTEXT"), kind.isin("ARC", "CIRCLE"), kind.isin("LWPOLYLINE", "POLYLINE")
     usable = ~(round_ & (F.col("c40") <= 0)) & ~(poly & (F.coalesce(F.size("points"), F.lit(0)) < 2))
     return rows.where(usable).select(
-        "file", "section", "block", "ord", "etype", "layer",
+        "file", "section", "block", "chunk", "ord", "etype", "layer",
         F.when(line, F.col("c10")).when(dim, F.col("c13")).alias("x1"), F.when(line, F.col("c20")).when(dim, F.col("c23")).alias("y1"),
         F.when(line, F.col("c11")).when(dim, F.col("c14")).alias("x2"), F.when(line, F.col("c21")).when(dim, F.col("c24")).alias("y2"),
         F.when(round_ | text | dim | insert, F.col("c10")).alias("cx"), F.when(round_ | text | dim | insert, F.col("c20")).alias("cy"),
@@ -91,20 +119,18 @@ def _shaped(rows: DataFrame) -> DataFrame:
 
 def read_entities(tags: DataFrame) -> DataFrame:
     """Entities of the ENTITIES section in source order; a POLYLINE takes the VERTEX entities that follow it."""
-    rows = _gathered(_numbered(tags).where("section = 'ENTITIES' and entity > 0")).where(F.col("etype").isin([*SIMPLE_TYPES, "POLYLINE", "VERTEX", "SEQEND"]) | F.col("etype").isNotNull())
-    line = Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    lead = F.last(F.when(F.col("etype") != "VERTEX", F.struct("entity", "etype")), ignorenulls=True).over(line)
-    rows = rows.withColumn("_lead", lead)
+    rows = _gathered(number_tags(tags).where("section = 'ENTITIES' and entity > 0")).where(F.col("etype").isNotNull())
+    rows = carried(rows, "ord", lasts={"_lead": F.when(F.col("etype") != "VERTEX", F.struct("entity", "etype"))})
     corners = rows.where("etype = 'VERTEX' and _lead.etype = 'POLYLINE'").groupBy("file", F.col("_lead.entity").alias("entity")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col("c10").alias("x"), F.col("c20").alias("y")))), lambda p: g.point(p["x"], p["y"])).alias("_v")
     )
     kept = rows.where(F.col("etype").isin([*SIMPLE_TYPES, "POLYLINE"])).join(corners, ["file", "entity"], "left")
-    return _shaped(kept.withColumn("points", F.when(F.col("etype") == "POLYLINE", F.col("_v")).otherwise(F.col("points"))))
+    return _shaped(kept.withColumn("points", F.when(F.col("etype") == "POLYLINE", F.col("_v")).otherwise(F.col("points")))).drop("chunk")
 
 
 def read_blocks(tags: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Block definitions (name, base point, bounds, layers, count) and their entities."""
-    numbered = _numbered(tags).where("section = 'BLOCKS' and entity > 0 and block > 0")
+    numbered = number_tags(tags).where("section = 'BLOCKS' and entity > 0 and block > 0")
     heads = numbered.groupBy("file", "block").agg(F.min_by(F.when(F.col("code") == "2", F.col("val")), F.when(F.col("code") == "2", F.col("n"))).alias("block_name"))
     rows = checkpoint(_gathered(numbered))
     base = rows.where("etype = 'BLOCK'").select("file", "block", F.col("c10").alias("base_x"), F.col("c20").alias("base_y"))
@@ -140,7 +166,7 @@ def place_blocks(entities: DataFrame, definitions: DataFrame, block_entities: Da
     """
     refs = entities.where("etype = 'INSERT'")
     r = refs.select("file", "block_name", F.col("ord").alias("insert_ord"), F.col("cx").alias("ix"), F.col("cy").alias("iy"), F.col("sx").alias("isx"), F.col("sy").alias("isy"), F.coalesce("rot", F.lit(0.0)).alias("irot"))
-    children = block_entities.drop("section", "block")
+    children = block_entities.drop("section", "block", "chunk")
     rows = r.join(children, ["file", "block_name"]).where("etype <> 'DIMENSION'")
     angle = F.radians("irot")
 

@@ -45,6 +45,37 @@ def test_drawing_file(spark, tmp_path):
     assert len(seg) == 5 and (seg[0]["x1"], seg[0]["x2"]) == (0, 5000)
 
 
+def test_a_drawing_is_read_by_many_tasks(spark, tmp_path):
+    """Byte ranges and small chunks give what one chunk gives, also where a pair, a section or a polyline is cut."""
+    drawing(tmp_path / "a.dxf")
+    body = (tmp_path / "a.dxf").read_text(encoding="utf-8").removesuffix("odd")
+    (tmp_path / "b.dxf").write_text(code_lines((999, "note")) + body.replace("\n", "\r\n"), encoding="utf-8", newline="")
+    files = spark.createDataFrame([(f"{n}.dxf", (tmp_path / f"{n}.dxf").read_bytes().decode()) for n in "ab"], "file string, value string")
+
+    def everything(tags):
+        name = F.element_at(F.split("file", "/"), -1)
+        numbered = dw.number_tags(tags.withColumn("file", name))
+        boxes, children = dw.read_blocks(numbered)
+        return [sorted(map(str, df.drop("chunk").collect())) for df in (numbered, dw.read_entities(numbered), boxes, children)]
+
+    whole = everything(dw.tags_of(files))
+    assert len(whole[1]) == 12 and len(whole[2]) == 2
+    for size in (1, 5):
+        assert everything(dw.tags_of(files, size)) == whole
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (61,):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            tags = dw.read_tags(spark, [str(tmp_path / "a.dxf"), str(tmp_path / "b.dxf")])
+            spark.conf.set("spark.sql.files.maxPartitionBytes", kept["spark.sql.files.maxPartitionBytes"])
+            assert tags.select("chunk").distinct().count() > 5
+            assert everything(tags) == whole
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_element_tables(spark, tmp_path):
     for name in ("one", "two"):
         (tmp_path / name).mkdir()
