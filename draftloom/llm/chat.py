@@ -23,7 +23,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,16 +127,17 @@ def format_turns(rows: DataFrame) -> DataFrame:
     kind = rows.schema["conv_id"].dataType.simpleString()
     turn = rows.schema["turn"].dataType.simpleString()
 
-    def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [render_turn(role, text) for role, text in zip(batch["role"], batch["text"])]
-            yield pd.DataFrame({
-                "conv_id": batch["conv_id"], "turn": batch["turn"], "role": batch["role"], "rendered": [m[0] for m in made],
-                "body_start": [m[1] for m in made], "body_end": [m[2] for m in made], "trained": [r == TRAINED for r in batch["role"]]})
+            roles = batch.column(2).to_pylist()
+            made = [render_turn(role, text) for role, text in zip(roles, batch.column(3).to_pylist())]
+            pieces = [pa.array([m[0] for m in made], pa.string()), *(pa.array([m[i] for m in made], pa.int64()) for i in (1, 2)), pa.array([r == TRAINED for r in roles], pa.bool_())]
+            # Ids and turns go through as they are: a null beside them must not make numbers of them that lose digits.
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *pieces], names=["conv_id", "turn", "role", "rendered", "body_start", "body_end", "trained"])
 
     ordered = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = ordered.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInPandas(render, f"conv_id {kind}, turn {turn}, role string, rendered string, body_start long, body_end long, trained boolean")
+    return ordered.mapInArrow(render, f"conv_id {kind}, turn {turn}, role string, rendered string, body_start long, body_end long, trained boolean")
 
 
 class _Digest:
@@ -168,26 +169,25 @@ def read_back(formatted: DataFrame) -> DataFrame:
     kind = formatted.schema["conv_id"].dataType.simpleString()
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current = None
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, id_type = None, None
         for batch in batches:
             done = []
-            ids = [None if missing else i for i, missing in zip(batch["conv_id"].tolist(), batch["conv_id"].isna())]
-            for conv_id, piece, start, end, trained in zip(ids, batch["rendered"], batch["body_start"], batch["body_end"], batch["trained"]):
+            id_type = batch.schema.field("conv_id").type
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("conv_id", "rendered", "body_start", "body_end", "trained")]
+            for conv_id, piece, start, end, trained in zip(*columns):
                 if current is None or current.conv_id != conv_id:
                     if current is not None:
                         done.append(current.row())
                     current = _Digest(conv_id)
                 current.add(piece, start, end, trained)
             if done:
-                yield _frame(done)
+                yield _table(done, id_type)
         if current is not None:
-            yield _frame([current.row()])
+            yield _table([current.row()], id_type)
 
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=names)
-        if kind in ("bigint", "int", "smallint", "tinyint"):
-            frame["conv_id"] = pd.array(frame["conv_id"].tolist(), dtype="Int64")
-        return frame
+    def _table(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+        kinds = (id_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=names)
 
-    return formatted.mapInPandas(digest, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(digest, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

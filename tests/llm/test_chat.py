@@ -44,3 +44,13 @@ def test_digests(spark):
     pieces = chat.format_turns(df).where("conv_id = 1").collect()
     assert got[1].formatted_chars == sum(len(p.rendered) for p in pieces)
     assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
+
+
+def test_large_ids_beside_a_null(spark):
+    rows = [(i, t, "user", f"text {i}") for i in (None, 2**53, 2**53 + 1, 2**53 + 2, -(2**62) - 1) for t in (2**53 + 1, 2**53, None)]
+    formatted = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert sorted((str(r.conv_id), str(r.turn)) for r in formatted.collect()) == sorted((str(i), str(t)) for i, t, *_ in rows)
+    got = {r.conv_id: r.n_turns for r in chat.read_back(formatted).collect()}
+    assert got == {None: 3, 2**53: 3, 2**53 + 1: 3, 2**53 + 2: 3, -(2**62) - 1: 3}
+    named = spark.createDataFrame([("a", 1, "user", "x"), (None, 1, "user", "y")], "conv_id string, turn int, role string, text string")
+    assert sorted(str(r.conv_id) for r in chat.read_back(chat.format_turns(named)).collect()) == ["None", "a"]
