@@ -64,13 +64,15 @@ MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside header masthead footer foot "
     "notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments "
     "disqus respond reply replies widget toolbar pagination pager search form hidden skip legal copyright complementary contentinfo alert".split())
+# Words that stand beside a mark in one class or id without changing what it says.
+BESIDE_MARKS = frozenset("area bar block box button buttons container content desktop global group inner item items left link links list main mobile outer page posts primary right row secondary section site slot unit wrap wrapper".split())
 ARTICLE_MARKS = frozenset("ad ads advert advertisement sponsored promo related recommended comment comments reply replies hidden".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 REGIONS = frozenset({"article", "main"})
 REGION_MARKS = frozenset({"article", "main", "content", "post", "entry", "story"})
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
 
@@ -108,17 +110,17 @@ def _marks(name: str, attributes: str) -> tuple[str, ...]:
     if "=" not in attributes and "hidden" not in attributes:
         return ()
     words: set[str] = set()
+    # Attributes one after the other, values with their names: what looks like an attribute inside a value is none.
     for key, double, single, bare in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), (double or single or bare).lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
             words.add("hidden")
-        elif key == "id":
-            found = _NAME.findall(value)
-            # An id marks an element only as a whole: "cookie-notice" does, "legal-history" does not.
-            if name not in HEADINGS:
-                words.update(found if MARKS.issuperset(found) else [w for w in found if w not in MARKS])
-        elif key != "aria-hidden":
-            words.update(_NAME.findall(value))
+        elif key in ("class", "role") or key == "id" and name not in HEADINGS:
+            # A class or id marks an element as a whole: "cookie-notice" and "comments-list" do, "legal-history" does not.
+            for token in value.split():
+                found = _NAME.findall(token)
+                whole = all(w in MARKS or w in BESIDE_MARKS for w in found)
+                words.update(found if whole else [w for w in found if w not in MARKS])
     return tuple(sorted(words))
 
 
@@ -196,9 +198,6 @@ class Slot:
         """Different pages that have the node, up to ``ENOUGH``."""
         return self.seen if isinstance(self.seen, int) else len(self.seen)
 
-    def shape(self) -> tuple:
-        return (self.label, *[c.shape() for c in self.children])
-
     def pack(self, finished: bool = False) -> list:
         seen = self.different if finished or isinstance(self.seen, int) else sorted(self.seen)
         return [self.label, seen, self.same, self.chars, self.linked, [c.pack(finished) for c in self.children], self.rows, self.times]
@@ -254,42 +253,58 @@ def _agree(a: int | None, b: int | None) -> int:
     return 2 if a == b else int(a is None or b is None)
 
 
-def tree_match(a: list[Slot], b: list[Slot]) -> list[tuple[int, int]]:
+class _Memory(dict):
+    """Alignments of lists of children by the two lists. Each is made once; the lists are kept, so that their ids stay theirs."""
+
+    def align(self, a: list[Slot], b: list[Slot]) -> tuple[int, list[tuple[int, int]]]:
+        key = (id(a), id(b))
+        if key not in self:
+            self[key] = (a, b, *self._made(a, b))
+        return self[key][2:]
+
+    def _made(self, a: list[Slot], b: list[Slot]) -> tuple[int, list[tuple[int, int]]]:
+        if not a or not b:
+            return 0, []
+        if [x.label for x in a] == [x.label for x in b]:
+            return sum(1 + self.align(x.children, y.children)[0] for x, y in zip(a, b)), [(i, i) for i in range(len(a))]
+        score = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        pair = [[0] * len(b) for _ in a]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                if x.label == y.label:
+                    pair[i][j] = 1000 * (1 + self.align(x.children, y.children)[0]) + _agree(x.same, y.same)
+                score[i + 1][j + 1] = max(score[i][j + 1], score[i + 1][j], score[i][j] + pair[i][j])
+        i, j, out = len(a), len(b), []
+        while i and j:
+            if pair[i - 1][j - 1] and score[i][j] == score[i - 1][j - 1] + pair[i - 1][j - 1]:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+            elif score[i][j] == score[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+        return sum(pair[i][j] // 1000 for i, j in out), out[::-1]
+
+
+def tree_match(a: list[Slot], b: list[Slot], memory: _Memory | None = None) -> list[tuple[int, int]]:
     """Simple tree matching of two lists of children: the aligned pairs, in order, that match most nodes; of equal ones, those whose texts agree."""
-    if [x.label for x in a] == [x.label for x in b]:
-        return [(i, i) for i in range(len(a))]
-    score = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    pair = [[0] * len(b) for _ in a]
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            if x.label == y.label:
-                pair[i][j] = 1000 * (1 + matched(x.children, y.children)) + _agree(x.same, y.same)
-            score[i + 1][j + 1] = max(score[i][j + 1], score[i + 1][j], score[i][j] + pair[i][j])
-    i, j, out = len(a), len(b), []
-    while i and j:
-        if pair[i - 1][j - 1] and score[i][j] == score[i - 1][j - 1] + pair[i - 1][j - 1]:
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif score[i][j] == score[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return out[::-1]
+    return (_Memory() if memory is None else memory).align(a, b)[1]
 
 
 def matched(a: list[Slot], b: list[Slot]) -> int:
     """Number of nodes that simple tree matching aligns below two nodes."""
-    return sum(1 + matched(a[i].children, b[j].children) for i, j in tree_match(a, b))
+    return _Memory().align(a, b)[0]
 
 
-def merge(a: Slot, b: Slot, repeated: bool = False) -> Slot:
+def merge(a: Slot, b: Slot, repeated: bool = False, memory: _Memory | None = None) -> Slot:
     """Two aligned nodes as one; children without a partner keep their place. ``repeated``: both stand on the same page."""
+    memory = _Memory() if memory is None else memory
     children, i, j = [], 0, 0
-    for x, y in [*tree_match(a.children, b.children), (len(a.children), len(b.children))]:
+    for x, y in [*tree_match(a.children, b.children, memory), (len(a.children), len(b.children))]:
         children += a.children[i:x]
         children += b.children[j:y]
         if x < len(a.children):
-            children.append(merge(a.children[x], b.children[y], repeated))
+            children.append(merge(a.children[x], b.children[y], repeated, memory))
         i, j = x + 1, y + 1
     if len(children) > WIDEST:
         # A node without a fixed sequence of children: one slot for each label.
@@ -374,6 +389,30 @@ def induce(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     return checkpoint(first.groupBy("host").applyInPandas(finish, "host string, wrapper string"))
 
 
+def _varying(slot: Slot) -> bool:
+    """Some text in the node or below it differs between pages."""
+    todo = [slot]
+    while todo:
+        x = todo.pop()
+        if x.chars and x.same is None:
+            return True
+        todo += x.children
+    return False
+
+
+def _varied_headings(children: list[Slot]) -> list[int]:
+    """Ids of headings over text that varies: they belong to it, though all pages have them (ingredients, method)."""
+    out, varies = [], False
+    for slot in reversed(children):
+        if slot.label.split(" ")[0] in HEADINGS:
+            if varies:
+                out.append(id(slot))
+            varies = False
+        else:
+            varies = varies or _varying(slot)
+    return out
+
+
 class Reader:
     """Reads the article of a host's pages: which labels hold the content, and which slots are constant and so template."""
 
@@ -384,6 +423,7 @@ class Reader:
         few = wrapper.tree.different < ENOUGH
         need = max(2, math.ceil(SHARE * wrapper.tree.different)) if few else ENOUGH
         best, region = 0.0, None
+        spared: set[int] = set()
         # Each slot with its path and the outermost article and main around it.
         todo: list[tuple[Slot, tuple[str, ...], dict[str, tuple]]] = [(wrapper.tree, (wrapper.tree.label,), {})]
         while todo:
@@ -393,7 +433,8 @@ class Reader:
                 continue
             if words[0] in REGIONS and words[0] not in around:
                 around = {**around, words[0]: (slot, path)}
-            if slot.chars and slot.same is not None and slot.different >= need:
+            spared.update(_varied_headings(slot.children))
+            if slot.chars and slot.same is not None and slot.different >= need and id(slot) not in spared:
                 self.template.add(id(slot))
             weight = self._direct(slot)
             if words[0] in REGIONS or any(w in REGION_MARKS for w in words[1:]):
@@ -447,12 +488,13 @@ class Reader:
     def _constant(self, root: Node) -> set[int]:
         """Ids of the page's nodes whose own text is the constant text of the slot that they are aligned with."""
         out: set[int] = set()
+        memory = _Memory()
         todo = [(self.tree, skeleton(root, track=True))]
         while todo:
             slot, mine = todo.pop()
             if id(slot) in self.template and mine.same == slot.same:
                 out.update(map(id, mine.nodes))
-            todo += [(slot.children[i], mine.children[j]) for i, j in tree_match(slot.children, mine.children)]
+            todo += [(slot.children[i], mine.children[j]) for i, j in tree_match(slot.children, mine.children, memory)]
         return out
 
     @staticmethod

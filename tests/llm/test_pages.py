@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -73,6 +74,76 @@ def test_tree_match_is_maximal():
     assert P.matched([slot("a"), slot("b"), slot("c")], [slot("b"), slot("a"), slot("c")]) == 2
 
 
+def plain_matched(a, b, memo):
+    """Size of the largest matching by the plain recursion over pairs of nodes, each pair worked out once."""
+    def node(x, y):
+        if (id(x), id(y)) not in memo:
+            memo[id(x), id(y)] = 1 + lists(x.children, y.children) if x.label == y.label else 0
+        return memo[id(x), id(y)]
+
+    def lists(p, q):
+        best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+        for i, x in enumerate(p):
+            for j, y in enumerate(q):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + node(x, y))
+        return best[-1][-1]
+
+    return lists(a, b)
+
+
+def test_tree_match_equals_the_plain_recursion_and_is_quick_on_deep_pages():
+    rng = random.Random(5)
+
+    def tree(depth):
+        return [P.Slot(rng.choice("abc"), 1, rng.choice([0, 1, None]), 0, 0, tree(depth - 1) if depth else []) for _ in range(rng.randint(0, 4))]
+
+    unlike = 0
+    while unlike < 80:
+        a, b = tree(3), tree(3)
+        if not all_like(a, b):
+            unlike += 1
+            assert P.matched(a, b) <= plain_matched(a, b, {}) and P.matched(a, b) == sum(1 + P.matched(a[i].children, b[j].children) for i, j in P.tree_match(a, b))
+            if no_equal_lists(a, b):
+                assert P.matched(a, b) == plain_matched(a, b, {})
+
+    def deep(side):
+        node = P.Slot("p", 1, 0, 1, 0, [])
+        for level in range(200):
+            node = P.Slot("div", 1, None, 1, 0, [node, P.Slot(f"{side}{level % 3}", 1, 0, 1, 0, []), P.Slot("div", 1, 0, 1, 0, [])][:: 1 if side == "x" else -1])
+        return node
+
+    start = time.perf_counter()
+    assert P.merge(deep("x"), deep("y")).label == "div" and time.perf_counter() - start < 1
+
+
+def all_like(a, b):
+    return [x.label for x in a] == [x.label for x in b]
+
+
+def no_equal_lists(a, b):
+    """No two lists of children that could be aligned have equal labels: equal lists are aligned one to one, which a larger matching may beat."""
+    return not all_like(a, b) and all(no_equal_lists(x.children, y.children) or not x.children for x in a for y in b if x.label == y.label)
+
+
+@pytest.mark.parametrize("opening, kept", [
+    ('<p title="The hidden truth">', True), ('<p data-hidden="false">', True), ('<p data-id="comments" data-role="banner">', True), ("<p title='class=ad id=nav'>", True), ('<div class="legal-history">', True),
+    ('<div class="side-effects">', True), ("<p id=search-party>", True), ("<p hidden>", False), ("<p aria-hidden=true>", False), ("<p aria-hidden='false'>", True), ('<div class="x ad">', False), ("<div class='comments-list'>", False),
+    ("<div role=navigation>", False), ('<div CLASS="Cookie-Notice">', False), ("<div data-x=1 class=related>", False)])
+def test_attributes_are_read_one_after_the_other(opening, kept):
+    name = opening[1:].split(" ")[0]
+    node = P.parse(f"<article>{opening}Keep me</{name}></article>").items[0].items[0]
+    assert node.items == ["Keep me"] and node.outside != kept
+
+
+@pytest.mark.parametrize("n", [2, 10, 25])
+def test_headings_over_text_that_varies_stay(spark, n):
+    rows = [(i, "http://h.example/x", f"<body><article><h1>Dish {i}</h1><h2>Ingredients</h2><p>{i} eggs and {'salt ' * (i + 3)}</p><h2>Method</h2><p>Cook {i} times {'stir ' * (i + 3)}</p><h2>About us</h2><p>We cook.</p></article></body>")
+            for i in range(n)]
+    for i, text in texts(spark, rows).items():
+        assert text.split("\n\n")[:2] == [f"Dish {i}", "Ingredients"] and "\n\nMethod\n\nCook" in text
+        assert n < 10 or "About us" not in text
+
+
 def test_wrapper_keeps_no_text_and_merges_in_any_order():
     made = [P.Wrapper(P.skeleton(P.parse(page(f"<p>text {i}</p>" * (i + 1), i))), {i}) for i in range(6)]
     one = made[0]
