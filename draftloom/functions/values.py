@@ -131,23 +131,36 @@ def material_names(value) -> Column:
     return F.aggregate(names, F.array().cast("array<string>"), add)
 
 
+def balanced_object(text) -> Column:
+    """From the first opening brace to the one that closes it, at any depth; braces in strings do not count. NULL if none does."""
+    tail = F.regexp_extract(col(text), r"(?s)(\{.*)", 1)
+    # Strings, braces and what lies between them, which together are the text; a quote that no other one closes stands alone.
+    pieces = F.regexp_extract_all(tail, F.lit(r'(?s)("(?:[^"\\]++|\\.)*+"|[{}]|[^"{}]++|")'), F.lit(1))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(s, piece):
+        depth = s["depth"] + F.when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
+        at = s["at"] + F.length(piece)
+        end = F.when(s["end"] != 0, s["end"]).when(piece == '"', -1).when((piece == "}") & (depth == 0), at).otherwise(0)
+        return F.struct(depth.alias("depth"), at.alias("at"), end.alias("end"))
+
+    end = F.aggregate(pieces, start, step)["end"]
+    return F.when(end > 0, F.substring(tail, F.lit(1), end))
+
+
 def json_object(text) -> Column:
     """First JSON object in a text that may wrap it in prose or code fences; NULL if none parses."""
     text = strip(F.coalesce(col(text), F.lit("")))
     fenced = strip(F.regexp_extract(text, r"(?is)```(?:json)?\s*(.*?)```", 1))
-    # Balanced braces up to four levels, strings skipped; deeper objects fall back to the last brace.
-    string = r'"(?:[^"\\]|\\.)*"'
-    level = rf'(?:[^{{}}"]|{string})*'
-    shape = rf"\{{{level}\}}"
-    for _ in range(4):
-        shape = rf'\{{(?:[^{{}}"]|{string}|{shape})*\}}'
-    balanced = F.regexp_extract(text, rf"(?s)({shape})", 1)
-    widest = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
 
     def valid(t):
         return F.when(t.startswith("{") & F.try_parse_json(t).isNotNull(), t)
 
-    return F.coalesce(valid(text), valid(fenced), valid(balanced), valid(widest))
+    def whole(t):
+        # The parser is content with a beginning that parses.
+        return F.when(balanced_object(t) == t, valid(t))
+
+    return F.coalesce(whole(text), whole(fenced), valid(balanced_object(text)))
 
 
 def key_values(pairs: dict) -> Column:

@@ -8,8 +8,8 @@ from draftloom.functions import geometry as g
 from draftloom.operators import dedupe as dd
 from draftloom.operators import rectangles as rc
 from draftloom.plans.derived import derived, derived_sql
-from draftloom.plans.registry import query
-from draftloom.plans.wall_queries import placed_walls
+from draftloom.plans.registry import query, serial_sql
+from draftloom.plans.wall_queries import WALLS, placed_walls
 
 KEYS = ("drawing_id",)
 SEG, DOORS, COMP, OPEN = (derived_sql(r) for r in ("segments", "sheet_openings", "components", "openings"))
@@ -99,29 +99,41 @@ def frame_numbers(spark, sf_dir):
     return found.select("drawing_id", "id", "frame_id")
 
 
-@query("distinct_frames", "H1 F2", None)
+_BOXED = f"""select *, row_number() over (partition by drawing_id order by -((x1-x0)*(y1-y0)), id) rk from (select *, x0+2000+id%4*300 x1, y0+1500+id%5*200 y1
+ from (select drawing_id, opening_id id, floor(x/3000)*3000+opening_id%3*40 x0, floor(y/3000)*3000 y0 from {DOORS}))"""
+_CENTRES = "sqrt(pow((a.x0+a.x1)/2-(b.x0+b.x1)/2,2)+pow((a.y0+a.y1)/2-(b.y0+b.y1)/2,2))<=160"
+_IN = "({1}.x0>={0}.x0-12 and {1}.y0>={0}.y0-12 and {1}.x1<={0}.x1+12 and {1}.y1<={0}.y1+12)"
+
+
+@query("distinct_frames", "H1 F2", serial_sql(_BOXED, "greatest(0,least(a.x1,b.x1)-greatest(a.x0,b.x0))*greatest(0,least(a.y1,b.y1)-greatest(a.y0,b.y0))/least((a.x1-a.x0)*(a.y1-a.y0),(b.x1-b.x0)*(b.y1-b.y0))>0.92"))
 def distinct_frames(spark, sf_dir):
     return dd.distinct_frames(_boxes(spark, sf_dir), KEYS).select("drawing_id", "id", "kept", "duplicate_of")
 
 
-@query("distinct_columns", "H2 F2", None)
+@query("distinct_columns", "H2 F2", serial_sql(f"select drawing_id, opening_id id, floor(x/1000)*1000+opening_id%4*8 x, floor(y/1000)*1000 y, kind, width_mm/20.0 size, row_number() over (partition by drawing_id order by opening_id) rk from {DOORS}",
+                                              "a.kind=b.kind and sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2))<=20 and abs(a.size-b.size)<=20"))
 def distinct_columns(spark, sf_dir):
     o = derived(spark, sf_dir, "sheet_openings").select("drawing_id", F.col("opening_id").alias("id"), F.col("opening_id").alias("ord"), (F.floor(F.col("x") / 1000) * 1000 + F.col("opening_id") % 4 * 8).alias("x"), (F.floor(F.col("y") / 1000) * 1000).alias("y"), F.col("kind").alias("shape"), (F.col("width_mm") / 20).alias("size"))
     return dd.distinct_columns(o, KEYS).select("drawing_id", "id", "kept", "duplicate_of")
 
 
-@query("distinct_openings", "H3", None)
+_NEAR = "sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2))<=greatest(450.0,least(1200.0,b.width_mm*0.65),least(1200.0,a.width_mm*0.65))"
+
+
+@query("distinct_openings", "H3", serial_sql(f"""select *, row_number() over (partition by drawing_id order by id) rk from (select drawing_id, opening_id id, x, y, width_mm from {DOORS} b where kind='door'
+ and not exists (select 1 from {DOORS} a where a.kind='window' and a.drawing_id=b.drawing_id and {_NEAR}))""", _NEAR))
 def distinct_openings(spark, sf_dir):
     o = derived(spark, sf_dir, "sheet_openings").select("drawing_id", F.col("opening_id").alias("id"), F.col("opening_id").alias("ord"), "x", "y", F.col("width_mm").alias("width"), "kind")
     return dd.distinct_openings(o.where("kind = 'door'").drop("kind"), o.where("kind = 'window'").drop("kind"), KEYS).select("drawing_id", "id", "kept", "duplicate_of")
 
 
-@query("distinct_rectangles", "H4", None)
+@query("distinct_rectangles", "H4", serial_sql(_BOXED, f"{_CENTRES} or {_IN.format('a', 'b')} or {_IN.format('b', 'a')}"))
 def distinct_rectangles(spark, sf_dir):
     return dd.distinct_rectangles(_boxes(spark, sf_dir), KEYS).select("drawing_id", "id", "kept", "duplicate_of")
 
 
-@query("distinct_railings", "H5", None)
+@query("distinct_railings", "H5", serial_sql(f"select drawing_id, id, ori, off_mm+case when ori='H' then id%3*15 else 0 end o, lo, hi, len, row_number() over (partition by drawing_id order by id) rk from {WALLS}",
+                                               "a.ori=b.ori and abs(a.o-b.o)<50 and greatest(0,least(a.hi,b.hi)-greatest(a.lo,b.lo))/greatest(1.0,least(a.len,b.len))>=0.85"))
 def distinct_railings(spark, sf_dir):
     w = placed_walls(spark, sf_dir)
     shift = F.col("id") % 3 * 15
@@ -130,7 +142,19 @@ def distinct_railings(spark, sf_dir):
     return dd.distinct_railings(r, KEYS).select("drawing_id", "id", "kept", "duplicate_of")
 
 
-@query("wall_recheck", "J40 J41 H6", None)
+_TWINS = f"""select *, row_number() over (partition by project_id order by len desc, case when thickness_mm<>0 then 0 else 1 end, id%10 desc, id) rk
+ from (select cast(floor(drawing_id/2.0) as bigint) project_id, id, drawing_id%2 lv, right(id::varchar,1) sheet, id%3 fl, id%5=0 review, ori, off_mm, lo, hi, len, thickness_mm from {WALLS} where len>1)"""
+_ONE_PLACE = "a.ori=b.ori and a.lv=b.lv and abs(a.off_mm-b.off_mm)<=20 and greatest(0,least(a.hi,b.hi)-greatest(a.lo,b.lo))>=least(a.len,b.len)*0.98-20"
+_ONE_FLOOR = "(a.sheet=b.sheet or (a.fl=b.fl and not a.review and not b.review))"
+
+
+@query("wall_recheck", "J40 J41 H6", f"""with t as ({_TWINS}), r as ({serial_sql("select * from t", f"{_ONE_PLACE} and {_ONE_FLOOR}", "project_id")}),
+ k as (select t.* from t join r on r.project_id=t.project_id and r.id=t.id where r.kept),
+ o as (select b.project_id, b.id, arg_min(a.id, a.rk) blocked_by from k a join k b on a.project_id=b.project_id and a.rk<>b.rk and {_ONE_PLACE} and not {_ONE_FLOOR} group by all),
+ one as (select distinct drawing_id, id from {WALLS} where len between 0.999 and 1)
+ select r.project_id, r.id, r.kept, r.duplicate_of, case when r.duplicate_of is not null then case when abs(x.thickness_mm-y.thickness_mm)>5 then 'thickness' else '' end end conflicts, o.blocked_by
+ from r left join t x on x.project_id=r.project_id and x.id=r.id left join t y on y.project_id=r.project_id and y.id=r.duplicate_of left join o on o.project_id=r.project_id and o.id=r.id
+ union all select cast(floor(drawing_id/2.0) as bigint), id, true, null, null, null from one""")
 def wall_recheck(spark, sf_dir):
     w = placed_walls(spark, sf_dir).where("len >= 1")
     w = w.select((F.col("drawing_id") / 2).cast("bigint").alias("project_id"), "id", F.concat(F.lit("L"), (F.col("drawing_id") % 2).cast("string")).alias("level"), F.col("id").cast("string").substr(-1, 1).alias("drawing_id"),

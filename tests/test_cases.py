@@ -96,6 +96,16 @@ def test_text_functions(spark):
     assert [(x["kind"], x["width_mm"], x["height_mm"]) for x in r["m"]] == [("door", 900, 2100), ("window", 1500, 1500)]
 
 
+def test_json_objects_of_any_depth_in_prose(spark):
+    deep = "{\"a\": " * 50 + "1" + "}" * 50
+    long = '{"t": "' + "x { } \\\\" * 20_000 + '", "n": {"m": 1}}'
+    odd = '{"a": "closing } and \\\\\\" { in text", "b": {"c": "}"}}'
+    texts = [f"So: {deep} as asked }}.", f"{long} and more {{", f"x {odd} y }}", "no { end", 'a {"b": "never closed} c', "{not json} then", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r["o"] for r in sorted(rows(df.select("i", v.json_object("t").alias("o"))), key=lambda r: r["i"])]
+    assert got == [deep, long, odd, None, None, None, None, None]
+
+
 def views(spark, data):
     return spark.createDataFrame(data, "project_id int, id int, ord int, kind string, facade string, mark string, width double, height double, position double")
 
