@@ -129,7 +129,22 @@ def _views(spark, sf_dir, view):
     return v.select("project_id", "id", F.col("id").alias("ord"), "kind", "facade", "mark", F.col("width_mm").alias("width"), F.col("height_mm").alias("height"), "position")
 
 
-@query("cross_view_match", "J20", None)
+def _step(a, b, near, gain, far, some, none="0.0"):
+    """CASE of a difference: ``gain`` up to ``near``, ``some`` up to ``far``, else ``none``."""
+    return f"case when abs({a}-{b})<={near} then {gain} when abs({a}-{b})<={far} then {some} else {none} end"
+
+
+@query("cross_view_match", "J20", f"""with recursive v as (select *, upper(trim(coalesce(mark, ''))) mk from {VIEWS}), p as (select *, row_number() over (partition by project_id, kind order by id) rn from v where view='plan'), e as (select * from v where view='elevation'),
+ s as (select p.project_id, p.kind, p.rn, e.id eid, case when p.facade=e.facade then 0 else 1 end tier, round(greatest(0.0::double, least(1.0::double, 0.22::double
+  + case when p.mk<>'' and p.mk=e.mk then 0.42 when p.mk<>'' and e.mk<>'' and p.mk[1]=e.mk[1] then 0.08 else 0.0 end::double + ({_step('p.width_mm', 'e.width_mm', 80, 0.2, 200, 0.1)})::double
+  + ({_step('p.height_mm', 'e.height_mm', 120, 0.08, 300, 0.04)})::double + coalesce(case when p.position is not null and e.position is not null then {_step('p.position', 'e.position', 300, 0.2, 900, 0.1, '-0.08')} end, 0.0)::double)), 6) score
+  from p join e on p.project_id=e.project_id and p.kind=e.kind),
+ l as (select project_id, kind, rn, list({{'eid': eid, 'score': score}} order by tier, score desc, eid) cand from s where (tier=0 and score>0) or score>=0.68 group by all), n as (select project_id, kind, max(rn) m from p group by all),
+ walk as (select project_id, kind, 0::bigint step, []::bigint[] used, null::struct(eid bigint, score double) pick from n
+  union all select project_id, kind, step, case when pick is null then used else list_append(used, pick.eid) end, pick from (select w.project_id, w.kind, w.step+1 step, w.used, list_filter(l.cand, lambda c: not list_contains(w.used, c.eid))[1] pick
+   from walk w join n on n.project_id=w.project_id and n.kind=w.kind and w.step<n.m left join l on l.project_id=w.project_id and l.kind=w.kind and l.rn=w.step+1))
+ select p.project_id, p.kind opening_kind, p.id plan_id, w.pick.eid elevation_id, p.facade, round(coalesce(w.pick.score, 0.0), 3) score, case when w.pick is null then 'unmatched' when w.pick.score>=0.68 then 'matched' else 'needs_review' end match_status
+ from p join walk w on w.project_id=p.project_id and w.kind=p.kind and w.step=p.rn""")
 def cross_view_match(spark, sf_dir):
     return m.match_views(_views(spark, sf_dir, "plan"), _views(spark, sf_dir, "elevation"))
 
