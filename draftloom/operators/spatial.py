@@ -192,7 +192,6 @@ def nearest(
     small cells and wide cells are visited by few rows. The last ring is the search limit; if it is
     infinite, rings grow until they cover all coordinates. ``right_line`` names the ends of right rows that are lines and
     ``distance`` the distance to them: cells then follow the line, in place of its box.
-    Rows that go on are written, so that the planner knows how few they are and right rows need not be shuffled for them.
     Left rows without a match are dropped. Adds ``_rank``, ``_distance``.
     """
     done: DataFrame | None = None
@@ -203,11 +202,10 @@ def nearest(
     radii, unlimited, position = [r for r in rings if math.isfinite(r)], math.isinf(rings[-1]), 0
     while position < len(radii):
         radius = radii[position]
-        cell = radius if right_line is None else 1.5 * radius
-        probe = pending.withColumn("_gx", F.floor(px / cell).cast("bigint")).withColumn(
-            "_gy", F.floor(py / cell).cast("bigint")
+        probe = pending.withColumn("_gx", F.floor(px / radius).cast("bigint")).withColumn(
+            "_gy", F.floor(py / radius).cast("bigint")
         )
-        cells = with_cells(right, right_box, cell, radius) if right_line is None else with_line_cells(right, right_line, cell, radius)
+        cells = with_cells(right, right_box, radius, radius) if right_line is None else with_line_cells(right, right_line, radius, radius)
         target = prefixed(cells, right_prefix, (*keys, "_gx", "_gy"))
         hits = probe.join(target, [*keys, "_gx", "_gy"]).withColumn("_distance", distance)
         last = position == len(radii) - 1 and not unlimited
@@ -235,7 +233,7 @@ def nearest(
         answer = tried.where(F.col("_found").isNotNull() if last else full)
         done = answer if done is None else done.unionByName(answer)
         if not last:
-            pending = checkpoint(tried.where(~full).drop("_found"))
+            pending = tried.where(~full).drop("_found")
             if pending.isEmpty():
                 break
         position += 1

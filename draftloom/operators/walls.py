@@ -311,9 +311,8 @@ def host_walls(points: DataFrame, walls: DataFrame, keys: Keys, point_id: str =
     while i < len(radii):
         radius = radii[i]
         last = i == len(radii) - 1 and not unlimited
-        cell = 1.5 * radius
-        target = prefixed(with_line_cells(boxed, ("x1", "y1", "x2", "y2"), cell, radius), "_w_", (*keys, "_gx", "_gy"))
-        probe = pending.withColumn("_gx", F.floor(F.col("x") / cell).cast("bigint")).withColumn("_gy", F.floor(F.col("y") / cell).cast("bigint"))
+        target = prefixed(with_line_cells(boxed, ("x1", "y1", "x2", "y2"), radius, radius), "_w_", (*keys, "_gx", "_gy"))
+        probe = pending.withColumn("_gx", F.floor(F.col("x") / radius).cast("bigint")).withColumn("_gy", F.floor(F.col("y") / radius).cast("bigint"))
         hits = probe.join(target, [*keys, "_gx", "_gy"])
         if leaf:
             turned = F.abs(F.col("leaf_x") * (F.col("_w_x2") - F.col("_w_x1")) + F.col("leaf_y") * (F.col("_w_y2") - F.col("_w_y1")))
