@@ -32,6 +32,8 @@ FIT_DOCS, TREES, DEPTH, THRESHOLD = 20_000, 24, 8, 0.5
 #: A dictionary word occurs in at least this share of all documents, and in two.
 DICTIONARY_SHARE = 2e-6
 MASK = "[SECRET]"
+#: A secret of this many characters, with a digit, is replaced wherever its text holds it.
+CERTAIN = 12
 # Words that announce a credential, and words that announce a made-up one.
 CREDENTIAL = "password|passwd|pwd|passphrase|secret|token|apikey|api_key|api-key|access_key|access-key|accesskey|auth|authorization|bearer|credential|credentials|private_key|client_secret|key"
 MADE_UP = "example|examples|sample|dummy|test|tests|fake|placeholder|changeme|your|xxx|todo|mock|demo|fixture|doc|docs"
@@ -187,16 +189,50 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, key: str = "doc_id"
     return joined.select(F.col("key").alias(key), "place", "candidate", "probability", (F.col("probability") >= threshold).alias("is_secret"))
 
 
+def _masked(word: Column, hidden: Column, mask: str) -> Column:
+    """A word with those of its candidates that ``hidden`` lists replaced; keys and what lies between stay."""
+    marked = F.regexp_replace(word, _URL, _URL_MARKED)
+
+    def plain(part: Column) -> Column:
+        return F.translate(part, " \x01", "@")
+
+    between = F.split(marked, _FOUND, -1)
+    found = F.arrays_zip(F.regexp_extract_all(marked, F.lit(_FOUND), 1).alias("k"), F.regexp_extract_all(marked, F.lit(_FOUND), 2).alias("c"), F.slice(between, F.lit(2), F.size(between)).alias("b"))
+    rest = F.transform(found, lambda m: F.concat(plain(m["k"]), F.when(F.array_contains(hidden, m["c"]), F.lit(mask)).otherwise(plain(m["c"])), plain(m["b"])))
+    # A word that holds the mark of URL passwords itself is not taken apart.
+    return F.when(F.contains(word, F.lit("\x01")), F.aggregate(hidden, word, lambda t, s: F.replace(t, s, F.lit(mask)))).otherwise(F.concat(plain(F.get(between, F.lit(0))), F.array_join(rest, "")))
+
+
 def redact(docs: DataFrame, labelled: DataFrame | None = None, key: str = "doc_id", text: str = "text", path: str | None = "source", mask: str = MASK, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with every secret in their texts replaced by ``mask``; ``n_chars``, where there is one, follows the text."""
-    secrets, again = own("secrets"), own("key")
-    found = scan(docs, labelled, key, text, path, threshold).where("is_secret")
+    """The documents with every secret in their texts replaced by ``mask``; ``n_chars``, where there is one, follows the text.
+
+    A secret is replaced at its place: in the word where it was found, as a whole value (equal values of one word together). One of at
+    least ``CERTAIN`` characters with a digit, which no other text holds by chance, goes wherever it occurs in that text. What is found
+    belongs to a key and its text, so rows that share a key, or have none, do not clean each other.
+    """
+    secrets, again, words, gaps, joined = own("secrets"), own("key"), own("words"), own("gaps"), own("joined")
+    name = F.concat_ws("/", F.coalesce(F.col(key).cast("string"), F.lit("")), F.hex(F.xxhash64(text)))
+    found = scan(docs.withColumn(again, name), labelled, again, text, path, threshold).where("is_secret")
+    certain = (F.length("candidate") >= CERTAIN) & F.col("candidate").rlike("[0-9]")
+    placed = found.groupBy(again, "place").agg(F.collect_set(F.when(~certain, F.col("candidate"))).alias("hidden"), F.collect_set(F.when(certain, F.col("candidate"))).alias("certain"))
     # Longer secrets first, so that none is cut by one that it contains.
-    listed = F.array_sort(F.collect_set("candidate"), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    per_key = checkpoint(found.groupBy(F.col(key).alias(again)).agg(listed.alias(secrets)))
-    joined = docs.join(per_key, F.col(key).eqNullSafe(F.col(again)), "left")
-    cleaned = F.when(F.col(secrets).isNull(), F.col(text)).otherwise(F.aggregate(secrets, F.col(text), lambda t, s: F.replace(t, s, F.lit(mask))))
-    out = joined.withColumn(text, cleaned)
+    longest = F.array_sort(F.array_distinct(F.flatten(F.collect_list("certain"))), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    per_text = placed.groupBy(again).agg(F.array_sort(F.collect_list(F.when(F.size("hidden") > 0, F.struct("place", "hidden")))).alias("placed"), longest.alias("certain"))
+    per_text = checkpoint(per_text.select(again, F.struct("placed", "certain").alias(secrets)))
+    rows = docs.withColumn(again, name).join(per_text, again, "left")
+    # Words and the white space behind them, of texts with a secret to be replaced at its place.
+    at = F.col(f"{secrets}.placed")
+    some = F.coalesce(F.size(at) > 0, F.lit(False))
+    rows = rows.withColumn(words, F.when(some, F.split(text, _SPLIT, -1))).withColumn(gaps, F.when(some, F.concat(F.regexp_extract_all(text, F.lit(f"({_SPLIT})"), 1), F.array(F.lit("")))))
+    rows = rows.withColumn(joined, F.when(some, F.zip_with(words, gaps, lambda w, g: F.concat(w, g))))
+    # Each secret's word comes behind the stretch since the one before.
+    stretches = F.transform(at, lambda s, i: F.concat(
+        F.array_join(F.slice(joined, F.coalesce(F.when(i > 0, F.get(at, i - 1)["place"]), F.lit(-1)) + 2, s["place"] - F.coalesce(F.when(i > 0, F.get(at, i - 1)["place"]), F.lit(-1)) - 1), ""),
+        _masked(F.get(words, s["place"]), s["hidden"], mask), F.get(gaps, s["place"])))
+    tail = F.array_join(F.slice(joined, F.get(at, F.size(at) - 1)["place"] + 2, F.size(joined)), "")
+    cleaned = F.when(some, F.concat(F.array_join(stretches, ""), tail)).otherwise(F.col(text))
+    cleaned = F.when(F.col(secrets).isNull(), F.col(text)).otherwise(F.aggregate(F.col(f"{secrets}.certain"), cleaned, lambda t, s: F.replace(t, s, F.lit(mask))))
+    out = rows.withColumn(text, cleaned)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(secrets).isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

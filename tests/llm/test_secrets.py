@@ -57,6 +57,18 @@ def test_known_formats_in_given_documents(spark):
     assert same >= 0.99 * docs.where(~F.col("text").rlike(FORMATS)).count()
 
 
+def test_masks_stand_where_the_secrets_stood(make):
+    digest = "9f86d081884c7d659a2feaa0c55ad015"
+    texts = ["password=test then the latest tests attest it", "  test_password=test\t\nuser  password: test  the test ", f"token={digest} again {digest}x end", "see postgres://admin:pass@db.example/pass now",
+             "\x01password=test and test", "password=test", "password: test"]
+    docs = make([(None if i == 1 else 7, t, "en", "s") for i, t in enumerate(texts)] + [(7, "the test goes on", "en", "s"), (None, "test", "en", "s")])
+    labelled = S.candidates(make([(i, f"{k}key{i} password=Zq8vN2xW id 2024-01-{i % 28 + 1:02d}T10", "en", "s") for i, k in enumerate("ab" * 10)])).withColumn("is_secret", F.lit(1.0))
+    got = {r.text for r in S.redact(docs, labelled).collect()}
+    M = S.MASK
+    assert got == {f"password={M} then the latest tests attest it", f"  test_password={M}\t\nuser  password: {M}  the test ", f"token={M} again {M} end", f"see postgres://admin:{M}@db.example/pass now",
+                   f"\x01password={M} and test", f"password={M}", f"password: {M}", "the test goes on", "test"}
+
+
 def test_odd_rows(odd, make):
     assert S.redact(odd).columns == odd.columns and S.redact(odd).count() == 9
     assert S.scan(odd.limit(0)).count() == 0 and S.redact(odd.limit(0)).count() == 0
