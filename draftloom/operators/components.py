@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from draftloom.functions import semantics as sem
 from draftloom.operators.ordered import first_wins, top_k
 from draftloom.operators.spatial import Keys
+from draftloom.session import checkpoint
 
 # Groups in the order in which the modelling host takes them.
 MODEL_SEQUENCE = ["levels", "grids", "columns", "walls", "slabs", "floor_openings", "stairs", "doors", "windows"]
@@ -289,13 +290,43 @@ def tokens(text) -> Column:
 def retrieve_cases(queries: DataFrame, cases: DataFrame, k: int = 3) -> DataFrame:
     """Cases that share most words with a query, newest first on a tie.
 
-    ``queries``: ``query_id``, ``text``. ``cases``: ``case_id``, ``text``, ``created_at``. Words are the join key; counts
-    shrink before the shuffle.
+    ``queries``: ``query_id``, ``text``. ``cases``: ``case_id``, ``text``, ``created_at``; rows of one case and time count as one.
+
+    A query's words are ordered by how many cases hold them. The cases met through the rarer half give a bound: the ``k``-th
+    best overlap so far, t. A case that shares t of m words holds one of the rarest m - t + 1, so the common rest is never
+    looked up. A word of all cases adds the same to each: only the ``k`` newest cases are listed under it.
     """
-    q = queries.select("query_id", F.explode(tokens("text")).alias("w"))
-    c = cases.select("case_id", "created_at", F.explode(tokens("text")).alias("w"))
-    shared = q.join(c, "w").groupBy("query_id", "case_id", "created_at").agg(F.count(F.lit(1)).alias("score"))
-    return top_k(shared, ["query_id"], [F.col("score").desc(), F.col("created_at").desc(), F.col("case_id")], k).drop("created_at")
+    by, case = ["_case"], F.struct("case_id", "created_at").alias("_case")
+    asked = queries.select("query_id", F.explode(tokens("text")).alias("w")).distinct()
+    held = cases.select(case, F.explode(tokens("text")).alias("w")).join(asked.select("w").distinct(), "w", "left_semi").distinct()
+    held = checkpoint(held)
+    total = cases.select(case).distinct().count()
+    counted = held.groupBy("w").agg(F.count(F.lit(1)).alias("n")).withColumn("everywhere", F.col("n") == total)
+    newest = cases.select(case).distinct().orderBy(F.col("_case.created_at").desc(), "_case.case_id").limit(k)
+    marked = held.join(counted.where("everywhere").select("w", "everywhere"), "w", "left")
+    index = marked.where("everywhere is null").select("w", *by).unionByName(marked.where("everywhere").join(newest, by, "left_semi").select("w", *by))
+    index = checkpoint(index)
+    # Positions of the words of a query, rarest first; words of all cases stand before them, at 0.
+    known = asked.join(counted, "w").groupBy("query_id").agg(F.array_sort(F.collect_list(F.when(~F.col("everywhere"), F.struct("n", "w")))).alias("_rare"), F.collect_list(F.when(F.col("everywhere"), F.col("w"))).alias("_all"))
+    known = checkpoint(known.select("query_id", F.transform("_rare", lambda e: e["w"]).alias("_rare"), "_all", F.concat(F.transform("_rare", lambda e: e["w"]), "_all").alias("_asked")))
+    listed = F.concat(F.transform("_all", lambda w: F.struct(F.lit(0).alias("pos"), w.alias("w"))), F.transform("_rare", lambda w, i: F.struct((i + 1).alias("pos"), w.alias("w"))))
+    words = known.select("query_id", F.size("_rare").alias("_m"), F.size("_all").alias("_same"), F.explode(listed).alias("e")).select("query_id", "_m", "_same", "e.*")
+    sets = held.groupBy(*by).agg(F.collect_set("w").alias("_held"))
+
+    def scored(prefix: DataFrame) -> DataFrame:
+        met = prefix.select("query_id", "w").join(index, "w").select("query_id", *by).distinct()
+        both = met.join(sets, by).join(known.select("query_id", "_asked"), "query_id")
+        return both.select("query_id", "_case.*", F.size(F.array_intersect("_asked", "_held")).cast("bigint").alias("score"))
+
+    def best(rows: DataFrame, rank: str = "rank") -> DataFrame:
+        return top_k(rows, ["query_id"], [F.col("score").desc(), F.col("created_at").desc(), F.col("case_id")], k, rank)
+
+    half = F.ceil(F.col("_m") / 2)
+    first = checkpoint(best(scored(words.where(F.col("pos") <= half)), "_r").drop("_r"))
+    bound = first.groupBy("query_id").agg(F.min("score").alias("_t"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == k).select("query_id", "_t")
+    wanted = F.coalesce(F.greatest(F.col("_t") - F.col("_same"), F.lit(1)), F.lit(1))
+    rest = words.join(bound, "query_id", "left").where((F.col("pos") > half) & (F.col("pos") <= F.col("_m") - wanted + 1))
+    return best(first.unionByName(scored(rest)).distinct()).drop("created_at")
 
 
 def case_summaries(components: DataFrame, issues: DataFrame, keys: Keys = ("project_id",), shown: int = 8) -> DataFrame:

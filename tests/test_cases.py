@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from draftloom.functions import geometry as g
 from draftloom.functions import text as t
 from draftloom.functions import values as v
+from draftloom.operators import components as cp
 from draftloom.operators import dedupe as dd
 from draftloom.operators import levels as lv
 from draftloom.operators import matching as m
@@ -279,3 +280,22 @@ def test_all_conflicts_unless_a_report_asks_for_fewer(spark):
     values = spark.createDataFrame([(1, i, i, "door_width", 800.0) for i in range(30)], "project_id int, id int, ord int, rule string, actual double")
     assert a.requirement_conflicts(need, values, ["project_id"]).count() == 30
     assert a.requirement_conflicts(need, values, ["project_id"], stop=25).count() == 25
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_retrieved_cases_as_by_brute_force(spark, seed):
+    rng = random.Random(seed)
+    words = [f"word{i}" for i in range(40)]
+
+    def text():
+        return " ".join(["Every", *rng.choices(words, [1 / (i + 1) for i in range(40)], k=rng.randint(0, 12))])
+
+    cases = [(i, text(), rng.choice([None, 1, 2, 3])) for i in range(60)] + [(60, None, 3), (61, "", 1)][: 2 * (seed == 2)]
+    queries = [(i, text()) for i in range(20)] + [(20, "every"), (21, "nothing known"), (22, None), (23, "word39 word38")]
+    got = {(r.query_id, r.rank): (r.case_id, r.score) for r in cp.retrieve_cases(spark.createDataFrame(queries, "query_id int, text string"), spark.createDataFrame(cases, "case_id int, text string, created_at int")).collect()}
+    want = {}
+    for q, asked in queries:
+        shared = [(c, len(set((asked or "").lower().split()) & set((held or "").lower().split())), at or 0) for c, held, at in cases]
+        for n, (c, score, _) in enumerate(sorted((s for s in shared if s[1]), key=lambda s: (-s[1], -s[2], s[0]))[:3]):
+            want[q, n + 1] = (c, score)
+    assert got == want
