@@ -1,5 +1,6 @@
 """Small drawings and models with known results."""
 
+import math
 import random
 
 import pytest
@@ -240,6 +241,22 @@ def test_slab_loop(spark):
     assert len(found[True]["boundary"]) == 4 and found[True]["floor_type"] == "balcony_slab" and found[False]["needs_review"]
 
 
+def test_slab_outline_of_many_corners(spark):
+    rng, n = random.Random(5), 500
+    ring = [(round(1e6 + 40000 * math.cos(2 * math.pi * i / n)), round(2e6 + 30000 * math.sin(2 * math.pi * i / n))) for i in range(n)]
+    sides = [(ring[i], ring[(i + 1) % n]) for i in range(n)]
+    # The first edge keeps its direction, the others come in any order and direction; a stray edge makes the second ring open.
+    drawn = [sides[0]] + [s if rng.random() < 0.5 else s[::-1] for s in rng.sample(sides[1:], n - 1)]
+    square = [((0, 0), (900, 0)), ((900, 0), (900, 900)), ((900, 900), (0, 900)), ((0, 900), (0, 0)), ((0, 0), (-500, -500))]
+    df = spark.createDataFrame([(1, 1, i, i, "SLAB", *map(float, a + b)) for i, (a, b) in enumerate(drawn + square)], "project_id int, drawing_id int, id int, ord int, layer string, x1 double, y1 double, x2 double, y2 double")
+    found, corners = st.slab_outlines(df)
+    got = sorted((r["position"], r["x"], r["y"]) for r in rows(corners))
+    assert got == [(i, *p) for i, p in enumerate(ring)]
+    area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in sides)) / 2
+    assert {r["closed"]: (r["area"], r["source_geometry_count"]) for r in rows(found)} == {True: (area, n), False: (None, 5)}
+    assert rows(st.slab_outlines(df.limit(0))[1]) == []
+
+
 def test_folded_void(spark):
     box = [(0, 0, 1000, 0), (0, 1000, 1000, 1000), (0, 0, 0, 1000), (1000, 0, 1000, 1000), (100, 100, 500, 900), (500, 900, 900, 100)]
     ln = lines(spark, box, "A-HOLE")
