@@ -70,7 +70,7 @@ def short_walls(spark, sf_dir):
  cast(case when ori='H' then lo else mid end as bigint) x1, cast(case when ori='H' then mid else lo end as bigint) y1,
  cast(case when ori='H' then hi else mid end as bigint) x2, cast(case when ori='H' then mid else hi end as bigint) y2 from p""")
 def wall_center_lines(spark, sf_dir):
-    found = w.pair_lines(w.unique_segments(lines(spark, sf_dir), KEYS), KEYS)
+    found = w.pair_lines(w.unique_segments(lines(spark, sf_dir), KEYS), KEYS, crowd=lines(spark, sf_dir))
     ends = [F.round(c).cast("bigint").alias(c) for c in ("x1", "y1", "x2", "y2")]
     return found.select("drawing_id", "a_id", "b_id", *ends)
 
@@ -193,7 +193,7 @@ _D = "round(sqrt(pow(greatest(least(x1,x2)-x,0,x-greatest(x1,x2)),2)+pow(greates
  k as (select *, row_number() over (partition by drawing_id, opening_id order by d, id) rn from d)
  select drawing_id, opening_id, id wall_id, cast(round(d*d) as bigint) dist2 from k where rn=1""")
 def nearest_wall(spark, sf_dir):
-    found = w.nearest_walls(derived(spark, sf_dir, "openings"), placed_walls(spark, sf_dir), KEYS, "opening_id", (500.0, 4000.0, float("inf")))
+    found = w.nearest_walls(derived(spark, sf_dir, "openings"), placed_walls(spark, sf_dir), KEYS, "opening_id", (500.0, 4000.0, float("inf")), crowd=lines(spark, sf_dir))
     return found.select("drawing_id", "opening_id", F.col("w_id").alias("wall_id"), F.round(F.pow("_distance", F.lit(2))).cast("bigint").alias("dist2"))
 
 
@@ -202,7 +202,7 @@ def nearest_wall(spark, sf_dir):
   lambda s, c: case when c.d < s.d-50 or (abs(c.d-s.d)<=50 and c.len>s.len) then c else s end) b from d group by drawing_id, opening_id)
  select drawing_id, opening_id, b.id host_wall_id, round(b.d,3) host_distance from k""")
 def host_walls(spark, sf_dir):
-    found = w.host_walls(derived(spark, sf_dir, "openings"), placed_walls(spark, sf_dir), KEYS, "opening_id")
+    found = w.host_walls(derived(spark, sf_dir, "openings"), placed_walls(spark, sf_dir), KEYS, "opening_id", crowd=lines(spark, sf_dir))
     return found.where("host_wall_id is not null").select("drawing_id", "opening_id", "host_wall_id", F.round("host_distance", 3).alias("host_distance"))
 
 
@@ -214,7 +214,7 @@ def perpendicular_hosts(spark, sf_dir):
     flat = F.col("opening_id") % 3 == 0
     leaves = derived(spark, sf_dir, "openings").withColumn("ux", F.when(flat, 1.0).otherwise(0.0)).withColumn("uy", F.when(flat, 0.0).otherwise(1.0))
     walls = g.with_measures(placed_walls(spark, sf_dir))
-    found = w.nearest_walls(leaves, walls, KEYS, "opening_id", (500.0, 4000.0, float("inf")), perpendicular=True)
+    found = w.nearest_walls(leaves, walls, KEYS, "opening_id", (500.0, 4000.0, float("inf")), perpendicular=True, crowd=lines(spark, sf_dir))
     return found.select("drawing_id", "opening_id", F.col("w_id").alias("wall_id"), F.round("_distance", 3).alias("distance"))
 
 
