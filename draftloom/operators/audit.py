@@ -295,10 +295,13 @@ def floor_height_conflicts(requirements: DataFrame, levels: DataFrame, keys: Key
 
 
 def material_conflicts(notes: DataFrame, components: DataFrame, keys: Keys, text: str = "text") -> DataFrame:
-    """Components whose material is not the one the notes name for their group."""
+    """Components whose material is not the one the notes name for their group, once for each material asked for.
+
+    What several notes of a project ask alike meets the components once.
+    """
     words = {"doors": "门", "windows": "窗", "walls": "墙"}
     table = F.array(*[F.struct(F.lit(g_).alias("component_group"), sem.expected_material(F.col(text), w).alias("expected")) for g_, w in words.items()])
-    asked = notes.select(*keys, F.explode(table).alias("_e")).select(*keys, "_e.*").where("expected <> ''")
+    asked = notes.select(*keys, F.explode(table).alias("_e")).select(*keys, "_e.*").where("expected <> ''").distinct()
     rows = components.where(_text("material") != "").join(asked, [*keys, "component_group"])
     return rows.where(~sem.materials_match(F.col("expected"), F.col("material"))).select(*keys, "component_group", "id", "expected", "material")
 
