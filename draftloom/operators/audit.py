@@ -153,17 +153,26 @@ def void_compliance(voids: DataFrame, slabs: DataFrame, keys: Keys) -> DataFrame
     ])
 
 
-def column_compliance(columns: DataFrame, slabs: DataFrame, keys: Keys, cell: float = 10000.0) -> DataFrame:
-    """Columns: location, section, top, and whether any slab of the project lies under them."""
+def column_compliance(columns: DataFrame, slabs: DataFrame, keys: Keys, cell: float = 5000.0) -> DataFrame:
+    """Columns: location, section, top, and whether any slab of the project lies under them.
+
+    A column is done with the first slab found under it, so layers of slabs do not multiply the work.
+    """
     from draftloom.operators.matching import point_box
-    from draftloom.operators.spatial import box_join
+    from draftloom.operators.spatial import prefixed, with_cells
     from draftloom.operators.walls import BOX
 
     box = g.bounding_box("boundary")
     placed = slabs.where(F.size("boundary") >= 3)
     for name, part in zip(BOX, ("x0", "y0", "x1", "y1")):
         placed = placed.withColumn(name, box[part])
-    inside = box_join(point_box(columns.where("x is not null")), placed, keys, BOX, BOX, cell, condition=g.point_in_or_on_polygon("a_x", "a_y", "b_boundary"))
+    by = [*keys, "_gx", "_gy"]
+    spots = prefixed(with_cells(point_box(columns.where("x is not null")), BOX, cell), "a_", by)
+    under = prefixed(with_cells(placed, BOX, cell), "b_", by)
+    on = F.col("a_x").between(F.col("b_bx0"), F.col("b_bx1")) & F.col("a_y").between(F.col("b_by0"), F.col("b_by1")) & g.point_in_or_on_polygon("a_x", "a_y", "b_boundary")
+    for c in by:
+        on = on & (spots[c] == under[c])
+    inside = spots.join(under, on, "left_semi")
     covered = inside.select(*keys, F.col("a_id").alias("id")).distinct().withColumn("_in", F.lit(True))
     any_slab = slabs.select(*keys).distinct().withColumn("_slabs", F.lit(True))
     rows = columns.join(covered, [*keys, "id"], "left").join(any_slab, list(keys), "left")

@@ -16,3 +16,14 @@ def test_notes_that_ask_alike_count_once(spark):
     rows = spark.createDataFrame([(1, "walls", 1, "steel"), (1, "walls", 2, "Brick"), (1, "walls", 3, ""), (2, "walls", 4, "steel")], "project_id int, component_group string, id int, material string")
     got = sorted((r["id"], r["expected"]) for r in a.material_conflicts(notes, rows, ["project_id"]).collect())
     assert len(got) == len(set(got)) == 3 and {i for i, _ in got} == {1, 2}
+
+
+def test_columns_end_with_the_first_slab_under_them(spark):
+    ring = [(0.0, 0.0), (1200.0, 0.0), (1200.0, 1200.0), (0.0, 1200.0)]
+    slabs = spark.createDataFrame([(1, [(x + d, y) for x, y in ring]) for d in (0.0, 10.0, 4800.0)] + [(None, ring)], "k int, boundary array<struct<x:double,y:double>>")
+    spots = [(1, 1, 600.0, 600.0), (1, 2, 5990.0, 1200.0), (1, 3, 3000.0, 100.0), (2, 4, 100.0, 100.0), (1, 5, None, 5.0), (None, 6, 600.0, 600.0)]
+    columns = spark.createDataFrame([(*s, 400.0, 400.0, None, 3000.0, "") for s in spots], "k int, id int, x double, y double, width_mm double, depth_mm double, diameter_mm double, height_mm double, top_level string")
+    found = a.column_compliance(columns, slabs, ["k"])
+    assert sorted((r["component_id"], r["rule"]) for r in found.collect()) == [("3", "column_slab_relation"), ("5", "column_location")]
+    # No list of all slabs per column.
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
