@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from draftloom.functions import values as v
 from draftloom.functions import geometry as g
 from draftloom.operators.matching import point_box
-from draftloom.operators.ordered import first_wins, suppress
-from draftloom.operators.spatial import Keys, box_join, parallel_join
+from draftloom.operators.ordered import first_wins, suppress, suppress_crowded
+from draftloom.operators.spatial import Keys, box_join, parallel_join, sane_box
 from draftloom.operators.walls import BOX, DRAWING, _boxed
 from draftloom.session import checkpoint
 
@@ -32,16 +32,36 @@ def frame_boxes(polygons: DataFrame, keys: Keys = DRAWING) -> DataFrame:
     return rows.where((w >= 1000) & (h >= 1000) & (g.polygon_area("points") / (w * h) >= 0.82)).drop("_b")
 
 
-def distinct_frames(frames: DataFrame, keys: Keys = DRAWING, cell: float = 50000.0) -> DataFrame:
-    """Largest frames first; one that shares over 92 % of the smaller box with a kept one falls.
+def _distinct_boxes(boxes: DataFrame, keys: Keys, margin: float, same: Column) -> DataFrame:
+    """Largest boxes first; one for which ``same`` holds with a kept one falls.
 
-    ``frames``: keys, ``id``, ``ord``, x0, y0, x1, y1.
+    Cells are twice as wide as a drawing's boxes usually are (their root mean square, so that the cells boxes touch stay in proportion to the boxes).
     """
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    rows = frames.withColumn("_first", F.col("ord")).withColumn("ord", F.struct((-area).alias("a"), F.col("_first").alias("o")))
     box = ("x0", "y0", "x1", "y1")
-    pairs = box_join(rows, rows, keys, box, box, cell, condition=_earlier() & (g.box_overlap_share("a_", "b_") > 0.92))
-    return suppress(rows, _edges(pairs, keys), keys).withColumn("ord", F.col("_first")).drop("_first")
+    rows = boxes.withColumn("_first", F.col("ord")).withColumn("ord", F.struct((-area).alias("a"), F.col("_first").alias("o")))
+    w, h = ((F.col(b).cast("double") - F.col(a)) for a, b in (("x0", "x1"), ("y0", "y1")))
+    usual = boxes.where(sane_box(box)).groupBy(*keys).agg(F.greatest(2 * F.sqrt(F.avg(w * w + h * h)), F.lit(max(4 * margin, 100.0))).alias("_cell"))
+    cell = F.col("_cell")
+    # Boxes without a place conflict with none.
+    known = F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull()
+    placed = rows.where(sane_box(box) & known).join(usual, list(keys))
+    placed = placed.withColumn("_px", F.floor((F.col("x0") + F.col("x1")) / cell * 4)).withColumn("_py", F.floor((F.col("y0") + F.col("y1")) / cell * 4))
+
+    def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+        met = box_join(a, b, [*keys, "_cell"], box, box, cell, margin=margin, condition=_earlier() & same)
+        return _edges(met, keys)
+
+    settled = suppress_crowded(placed, keys, ["_px", "_py"], pairs).where("not kept").select(*keys, "id", "duplicate_of").distinct()
+    return rows.join(settled, [*keys, "id"], "left").withColumn("kept", F.col("duplicate_of").isNull()).withColumn("ord", F.col("_first")).select(*boxes.columns, "kept", "duplicate_of")
+
+
+def distinct_frames(frames: DataFrame, keys: Keys = DRAWING) -> DataFrame:
+    """Largest frames first; one that shares over 92 % of the smaller box with a kept one falls.
+
+    ``frames``: keys, ``id``, ``ord``, x0, y0, x1, y1.
+    """
+    return _distinct_boxes(frames, keys, 0.0, g.box_overlap_share("a_", "b_") > 0.92)
 
 
 def numbered_frames(frames: DataFrame, keys: Keys = DRAWING) -> DataFrame:
@@ -101,22 +121,17 @@ def distinct_openings(found: DataFrame, placed: DataFrame | None, keys: Keys = D
     return suppress(rows, edges if rivals is None else edges.unionByName(rivals), keys)
 
 
-def distinct_rectangles(rects: DataFrame, keys: Keys = DRAWING, cell: float = 3000.0) -> DataFrame:
+def distinct_rectangles(rects: DataFrame, keys: Keys = DRAWING) -> DataFrame:
     """Largest rectangles first; one nested with a kept one, or centred within 160 of it, falls.
 
     ``rects``: keys, ``id``, ``ord``, x0, y0, x1, y1.
     """
-    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    rows = rects.withColumn("_first", F.col("ord")).withColumn("ord", F.struct((-area).alias("a"), F.col("_first").alias("o")))
-    box = ("x0", "y0", "x1", "y1")
-
     def mid(p, a, b):
         return (F.col(f"{p}{a}") + F.col(f"{p}{b}")) / 2
 
     close = F.hypot(mid("a_", "x0", "x1") - mid("b_", "x0", "x1"), mid("a_", "y0", "y1") - mid("b_", "y0", "y1")) <= 160
     same = close | g.box_contains("a_", "b_") | g.box_contains("b_", "a_")
-    pairs = box_join(rows, rows, keys, box, box, cell, margin=160.0, condition=_earlier() & same)
-    return suppress(rows, _edges(pairs, keys), keys).withColumn("ord", F.col("_first")).drop("_first")
+    return _distinct_boxes(rects, keys, 160.0, same)
 
 
 def overlap_share() -> Column:

@@ -27,3 +27,51 @@ def test_columns_end_with_the_first_slab_under_them(spark):
     assert sorted((r["component_id"], r["rule"]) for r in found.collect()) == [("3", "column_slab_relation"), ("5", "column_location")]
     # No list of all slabs per column.
     assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _serial(rows, same):
+    kept, out = {}, {}
+    for k, i, _, *box in sorted(rows, key=lambda r: (-(r[5] - r[3]) * (r[6] - r[4]), r[2])):
+        out[(k, i)] = next((j for j, other in kept.get(k, []) if same(other, box)), None)
+        if out[(k, i)] is None:
+            kept.setdefault(k, []).append((i, box))
+    return out
+
+
+def _inside(a_, b_):
+    return b_[0] >= a_[0] - 12 and b_[1] >= a_[1] - 12 and b_[2] <= a_[2] + 12 and b_[3] <= a_[3] + 12
+
+
+def _nested(a_, b_):
+    mid = [(p[0] + p[2] - q[0] - q[2]) ** 2 + (p[1] + p[3] - q[1] - q[3]) ** 2 for p, q in ((a_, b_),)][0]
+    return mid <= 320 ** 2 or _inside(a_, b_) or _inside(b_, a_)
+
+
+def _share(a_, b_):
+    w, h = min(a_[2], b_[2]) - max(a_[0], b_[0]), min(a_[3], b_[3]) - max(a_[1], b_[1])
+    return max(0, w) * max(0, h) / min((a_[2] - a_[0]) * (a_[3] - a_[1]), (b_[2] - b_[0]) * (b_[3] - b_[1])) > 0.92
+
+
+def test_boxes_in_crowds_equal_the_serial_scan(spark, monkeypatch):
+    rng, rows = random.Random(5), []
+    for k, n, spots in ((1, 200, 3), (2, 40, 40), (3, 1, 1)):
+        for i in range(n):
+            x, y = rng.randrange(spots) * 3000 + rng.randrange(4) * 40, rng.randrange(2) * 3000 + rng.randrange(2) * 9
+            rows.append((k, i, i, x, y, x + 2000 + rng.randrange(4) * 300, y + 1500 + rng.randrange(5) * 200))
+    rows.append((2, 99, 99, 0, 0, 2_000_000, 50_000))
+    rows = [(*r[:3], *map(float, r[3:])) for r in rows]
+    frame = spark.createDataFrame(rows + [(1, 900, 900, None, 0.0, 5.0, 5.0), (None, 901, 901, 0.0, 0.0, 9.0, 9.0)], "k int, id int, ord int, x0 double, y0 double, x1 double, y1 double")
+    listed, edges = [], dd._edges
+
+    def counted(pairs, keys):
+        listed.append(edges(pairs, keys).count())
+        return edges(pairs, keys)
+
+    monkeypatch.setattr(dd, "_edges", counted)
+    for distinct, same in ((dd.distinct_frames, _share), (dd.distinct_rectangles, _nested)):
+        listed.clear()
+        got = {(r["k"], r["id"]): r["duplicate_of"] for r in distinct(frame, K).collect()}
+        want = _serial(rows, same) | {(1, 900): None, (None, 901): None}
+        assert got == want
+        # The crowd of 200 alone has thousands of conflicts.
+        assert max(listed) < 1500
