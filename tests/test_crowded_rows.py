@@ -75,3 +75,13 @@ def test_boxes_in_crowds_equal_the_serial_scan(spark, monkeypatch):
         assert got == want
         # The crowd of 200 alone has thousands of conflicts.
         assert max(listed) < 1500
+
+
+def test_groups_leave_one_table(spark):
+    folder = checkpoint_folder(spark).removeprefix("file:")
+    nodes = spark.createDataFrame([(1, i) for i in range(60)] + [(2, i) for i in range(5)] + [(None, 3)], "k int, id int")
+    links = spark.createDataFrame([(1, i, i + 1) for i in range(40)] + [(2, 4, 2), (2, 2, 2), (None, 3, 4)], "k int, u int, v int")
+    before = set(os.listdir(folder))
+    got = {(r["k"], r["id"]): r["component"] for r in components(nodes, links, K).collect()}
+    assert got == {(1, i): 0 if i <= 40 else i for i in range(60)} | {(2, i): 2 if i == 4 else i for i in range(5)} | {(None, 3): 3}
+    assert len(set(os.listdir(folder)) - before) == 1
