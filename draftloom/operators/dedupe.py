@@ -39,6 +39,8 @@ def _distinct_boxes(boxes: DataFrame, keys: Keys, margin: float, same: Column) -
     """
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     box = ("x0", "y0", "x1", "y1")
+    # Written once: it is met in every step.
+    boxes = checkpoint(boxes)
     rows = boxes.withColumn("_first", F.col("ord")).withColumn("ord", F.struct((-area).alias("a"), F.col("_first").alias("o")))
     w, h = ((F.col(b).cast("double") - F.col(a)) for a, b in (("x0", "x1"), ("y0", "y1")))
     usual = boxes.where(sane_box(box)).groupBy(*keys).agg(F.greatest(2 * F.sqrt(F.avg(w * w + h * h)), F.lit(max(4 * margin, 100.0))).alias("_cell"))

@@ -5,6 +5,7 @@ import random
 
 from draftloom.operators import audit as a
 from draftloom.operators import dedupe as dd
+from draftloom.operators import ordered
 from draftloom.operators.ordered import components
 from draftloom.session import checkpoint_folder
 
@@ -68,6 +69,7 @@ def test_boxes_in_crowds_equal_the_serial_scan(spark, monkeypatch):
         return edges(pairs, keys)
 
     monkeypatch.setattr(dd, "_edges", counted)
+    monkeypatch.setattr(ordered, "LEAST_CROWD", 0)
     for distinct, same in ((dd.distinct_frames, _share), (dd.distinct_rectangles, _nested)):
         listed.clear()
         got = {(r["k"], r["id"]): r["duplicate_of"] for r in distinct(frame, K).collect()}
