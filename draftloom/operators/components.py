@@ -218,14 +218,14 @@ def match_reports(plan: DataFrame, candidates: DataFrame) -> DataFrame:
     return unresolved.unionByName(visual).unionByName(conflict)
 
 
-def accept_candidates(components: DataFrame, candidates: DataFrame, keys: Keys = ()) -> DataFrame:
+def accept_candidates(components: DataFrame, candidates: DataFrame, keys: Keys = (), by: Keys = ("id",)) -> DataFrame:
     """Give components without a type file the best candidate: highest score, then file name.
 
-    ``candidates``: keys, ``id``, ``file_path``, ``score``.
+    ``candidates``: keys, ``by``, ``file_path``, ``score``. Components that are alike in ``by`` have the same candidates, listed once for all of them.
     """
     name = F.lower(F.regexp_replace("file_path", r"^.*[\\/]", ""))
-    best = candidates.groupBy(*keys, "id").agg(F.min(F.struct((-F.col("score")).alias("s"), name.alias("n"), F.col("file_path"))).alias("_b"))
-    rows = components.join(best, [*keys, "id"], "left")
+    best = candidates.groupBy(*keys, *by).agg(F.min(F.struct((-F.col("score")).alias("s"), name.alias("n"), F.col("file_path"))).alias("_b"))
+    rows = components.join(best, [*keys, *by], "left")
     empty = F.coalesce("family_file", F.lit("")) == ""
     return rows.select(*[c for c in components.columns if c != "family_file"], F.when(empty, F.col("_b.file_path")).otherwise(F.col("family_file")).alias("family_file"))
 
