@@ -196,7 +196,7 @@ def recheck_walls(walls: DataFrame, keys: Keys = ("project_id",), cell: float =
     a = w.withColumn("_meet", F.explode(F.when(open_level, F.array(F.lit("a"))).otherwise(F.array(level, F.lit("b")))))
     b = w.withColumn("_meet", F.explode(F.when(open_level, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(level, F.lit("a")))))
     # Written once: three tables are made from it.
-    pairs = checkpoint(parallel_join(a, b, [*keys, "_meet"], along=cell, across=200.0, margin=25.0, tolerance=1.1, condition=_earlier() & share_position(), sector=2.0, crowd=walls.select(*keys)))
+    pairs = checkpoint(parallel_join(a, b, [*keys, "_meet"], along=cell, across=200.0, margin=25.0, tolerance=1.1, condition=_earlier() & share_position(), sector=2.25, crowd=walls.select(*keys)))
     merged = pairs.where(same_floor())
     result = suppress(nodes, _edges(merged, keys), keys)
     differ = F.concat_ws(
