@@ -38,13 +38,23 @@ def read_tags(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def tags_of(files: DataFrame, chunk_tags: int = CHUNK_TAGS) -> DataFrame:
-    """:func:`read_tags` for files given as rows (``file``, ``value``), each cut into chunks of ``chunk_tags`` pairs."""
-    lines = F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size("_l") / 2)).cast("int") - 1),
-        lambda i: F.struct(F.floor(i / chunk_tags).cast("bigint").alias("chunk"), i.cast("bigint").alias("n"), g.strip(F.get("_l", i * 2)).alias("code"), g.strip(F.get("_l", i * 2 + 1)).alias("val")),
+    """:func:`read_tags` for files given as rows (``file``, ``value``), each cut into chunks of ``chunk_tags`` pairs.
+
+    Chunks are dealt out as texts and taken apart where they arrive, so the prefix scans over them (:func:`carried`) shuffle no tags.
+    """
+    lines = files.withColumn("_l", F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")).where(F.size("_l") >= 2)
+    pairs = F.floor(F.size("_l") / 2)
+    chunks = lines.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((pairs - 1) / chunk_tags).cast("bigint"))))
+    first = F.col("chunk") * chunk_tags
+    texts = chunks.select("file", "chunk", F.array_join(F.slice("_l", (first * 2 + 1).cast("int"), (F.least(F.lit(chunk_tags).cast("bigint"), pairs - first) * 2).cast("int")), "\n").alias("_t"))
+    # As many parts as a shuffle has: a part grows when it is taken apart, so it must not be merged by its size as text.
+    texts = texts.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file", "chunk")
+    cut = texts.withColumn("_l", F.split("_t", "\n"))
+    tags = F.transform(
+        F.sequence(F.lit(0), (F.size("_l") / 2).cast("int") - 1),
+        lambda i: F.struct((i + F.col("chunk") * chunk_tags).cast("bigint").alias("n"), g.strip(F.get("_l", i * 2)).alias("code"), g.strip(F.get("_l", i * 2 + 1)).alias("val")),
     )
-    return files.withColumn("_l", lines).where(F.size("_l") >= 2).select("file", F.explode(pairs).alias("_t")).select("file", "_t.*")
+    return cut.select("file", "chunk", F.explode(tags).alias("_t")).select("file", "chunk", "_t.*")
 
 
 def carried(df: DataFrame, order: str, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None) -> DataFrame:
@@ -119,13 +129,16 @@ def _shaped(rows: DataFrame) -> DataFrame:
 
 def read_entities(tags: DataFrame) -> DataFrame:
     """Entities of the ENTITIES section in source order; a POLYLINE takes the VERTEX entities that follow it."""
-    rows = _gathered(number_tags(tags).where("section = 'ENTITIES' and entity > 0")).where(F.col("etype").isNotNull())
-    rows = carried(rows, "ord", lasts={"_lead": F.when(F.col("etype") != "VERTEX", F.struct("entity", "etype"))})
-    corners = rows.where("etype = 'VERTEX' and _lead.etype = 'POLYLINE'").groupBy("file", F.col("_lead.entity").alias("entity")).agg(
+    # Written once: the prefix scan, the corners and the entities all read it, and each would gather the tags again.
+    rows = checkpoint(_gathered(number_tags(tags).where("section = 'ENTITIES' and entity > 0")).where(F.col("etype").isNotNull()))
+    # The scan takes along what the corners need, not the whole entities, and only polylines meet their corners.
+    narrow = rows.select("file", "chunk", "ord", "entity", "etype", "c10", "c20")
+    led = carried(narrow, "ord", lasts={"_lead": F.when(F.col("etype") != "VERTEX", F.struct("entity", "etype"))})
+    corners = led.where("etype = 'VERTEX' and _lead.etype = 'POLYLINE'").groupBy("file", F.col("_lead.entity").alias("entity")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col("c10").alias("x"), F.col("c20").alias("y")))), lambda p: g.point(p["x"], p["y"])).alias("_v")
     )
-    kept = rows.where(F.col("etype").isin([*SIMPLE_TYPES, "POLYLINE"])).join(corners, ["file", "entity"], "left")
-    return _shaped(kept.withColumn("points", F.when(F.col("etype") == "POLYLINE", F.col("_v")).otherwise(F.col("points")))).drop("chunk")
+    old = rows.where("etype = 'POLYLINE'").join(corners, ["file", "entity"], "left").withColumn("points", F.col("_v")).drop("_v")
+    return _shaped(rows.where(F.col("etype").isin(SIMPLE_TYPES)).unionByName(old)).drop("chunk")
 
 
 def read_blocks(tags: DataFrame) -> tuple[DataFrame, DataFrame]:

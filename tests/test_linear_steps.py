@@ -5,6 +5,7 @@ import random
 from draftloom.operators import components as c
 from draftloom.operators import spatial as s
 from draftloom.operators import stairs as st
+from draftloom.sources import drawings as dw
 from pyspark.sql import functions as F
 
 K = ("k",)
@@ -63,3 +64,19 @@ def test_lines_along_an_axis_are_in_one_sector(spark, monkeypatch):
     assert sides == [(60, 60)]
     want = {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and a[1] % 2 == b[1] % 2 and all(a[n] - 500 <= b[n + 2] and b[n] <= a[n + 2] + 500 for n in (2, 3))}
     assert got == want
+
+
+def test_tags_of_a_chunk_arrive_together(spark):
+    texts = {"a": "0\nSECTION\r\n 2 \r\nENTITIES\n0\nPOLYLINE\n8\nW\n0\nVERTEX\n10\n1\n20\n2\n0\nVERTEX\n10\n3\n20\n4\n0\nSEQEND\n0\nLINE\n11\n\n0\nENDSEC\n", "b": "0\n", "c": "", "d": "1", "e": None}
+    files = spark.createDataFrame(list(texts.items()), "file string, value string")
+    want = set()
+    for f, text in texts.items():
+        lines = (text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n")
+        want |= {(f, n // 3, n, lines[2 * n].strip(), lines[2 * n + 1].strip()) for n in range(len(lines) // 2)}
+    tags = dw.tags_of(files, 3)
+    assert {tuple(r) for r in tags.select("file", "chunk", "n", "code", "val").collect()} == want
+    # The scan over chunks needs no exchange of its own.
+    scanned = tags.groupBy("file", "chunk").agg(F.max_by("val", "n").alias("val"))
+    assert scanned._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    rows = dw.read_entities(tags).orderBy("ord").collect()
+    assert [(r.etype, r.points and [(p.x, p.y) for p in r.points]) for r in rows] == [("POLYLINE", [(1.0, 2.0), (3.0, 4.0)]), ("LINE", None)]
