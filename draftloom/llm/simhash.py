@@ -67,6 +67,11 @@ def fingerprints(docs: DataFrame, text: str = "text", column: str = "simhash") -
     return docs.withColumn(column, simhash(F.col(text)))
 
 
+def _exploded(rows: DataFrame) -> DataFrame:
+    """Rows exploded from a table, never broadcast: the planner takes them for as small as that table."""
+    return rows.hint("merge")
+
+
 def _chain(shift: str, length: str) -> str:
     return f"(shiftrightunsigned(f, {shift}) & (shiftleft(1L, {length}) - 1))"
 
@@ -110,7 +115,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, dense: int = DENSE) -> Dat
     else:
         spare_own, spare_other = own, other
     near = f"a <> b and {_ring_filter('a', 'b', distance)} and bit_count(a ^ b) <= {distance}"
-    pairs = spare_own.join(spare_other, "key").where(near).selectExpr("least(a, b) as a", "greatest(a, b) as b")
+    pairs = _exploded(spare_own).join(_exploded(spare_other), "key").where(near).selectExpr("least(a, b) as a", "greatest(a, b) as b")
     if has_dense:
         inside = other.join(crowded, "key", "left_semi").select(F.col("b").alias("f")).distinct()
         pairs = pairs.unionByName(_midpoint_links(inside, distance))
@@ -129,7 +134,7 @@ def _midpoint_links(nodes: DataFrame, distance: int) -> DataFrame:
         flips = f"concat({flips}, flatten(transform(sequence(0, 62), i -> transform(sequence(i + 1, 63), j -> shiftleft(1L, i) | shiftleft(1L, j)))))"
     points = nodes.selectExpr("f", f"explode({flips}) as d").selectExpr("f", "f ^ d as point")
     least = points.groupBy("point").agg(F.min("f").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = points.join(least.select("point", "a"), "point").where("a <> f")
+    met = _exploded(points).join(_exploded(least.select("point", "a")), "point").where("a <> f")
     if distance % 2 == 0:
         return met.select("a", F.col("f").alias("b"))
     return met.where(f"bit_count(a ^ f) <= {distance}").select("a", F.col("f").alias("b"))

@@ -91,3 +91,15 @@ def test_odd_rows(odd):
     assert kept.columns == odd.columns
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 1), (False, 4), (False, 6), (False, 7), (True, None)]
     assert S.components(odd.limit(0)).count() == 0 and S.deduplicate(odd.limit(0)).count() == 0
+
+
+def test_exploded_rows_are_not_broadcast(spark, tmp_path):
+    spark.range(300).selectExpr("(id % 150) * 977 + id div 150 as f").write.parquet(f"{tmp_path}/nodes")
+    nodes = spark.read.parquet(f"{tmp_path}/nodes")
+    f = sorted(r.f for r in nodes.collect())
+    brute = {(a, b) for i, b in enumerate(f) for a in f[:i] if (a ^ b).bit_count() <= S.DISTANCE}
+    links = S.links(nodes)
+    assert "BroadcastHashJoin" not in links._jdf.queryExecution().executedPlan().toString()
+    assert {(r.a, r.b) for r in links.collect()} == brute
+    midpoints = S._midpoint_links(nodes, S.DISTANCE)
+    assert "BroadcastHashJoin" not in midpoints._jdf.queryExecution().executedPlan().toString()
