@@ -52,3 +52,17 @@ def test_names_and_guard():
 
     names = entry.queries()
     assert names.keys() >= {"pipeline"} and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
+
+
+def test_near_dedup_sends_no_exploded_rows_to_the_driver(spark, monkeypatch):
+    plans, links = [], simhash.links
+
+    def seen(*args):
+        found = links(*args)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(simhash, "links", seen)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert C.near_dedup(spark, docs, "").count() <= docs.count()
+    assert len(plans) == 1 and "BroadcastHashJoin" not in plans[0]
