@@ -110,3 +110,45 @@ def test_odd_rows(odd):
     assert all(got[i].base_failed and not got[i].kept and got[i].perplexity is None and got[i].n_words == 0 for i in (1, 2, 3))
     assert got[6].n_repeat_words == got[6].n_words == 30_000 and got[7].word_chars == 50_000
     assert Q.judge(odd.limit(0)).count() == 0
+
+
+def mean_by_hand(hand, text, order):
+    return sum(math.log(hand.p(g)) for g in grams_of(" ".join(text.lower().split()), order)) / (len(" ".join(text.split())) + 1)
+
+
+def test_rare_grams_of_many_languages_stay(spark, make):
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(3, 40))) for _ in range(30)]
+    # Scored, not learned from: their n-grams back off.
+    junk = ["ab # c $ % f", "# # # abc zz"]
+    docs = [(i, t, "xx", "s") for i, t in enumerate([*texts, *junk])] + [(100 + i, "one text", f"l{i}", "s") for i in range(400)]
+    hand = ByHand(texts, 5)
+    # A model sent to the tasks, and one that stays a table.
+    for shipped in (Q.SHIPPED, 0):
+        got = {r.doc_id: r.perplexity for r in Q.judge(make(docs), shipped=shipped).where("lang = 'xx'").collect()}
+        for i, t in enumerate([*texts, *junk]):
+            assert math.isclose(got[i], math.exp(-mean_by_hand(hand, t, 5)), rel_tol=1e-5), (shipped, t)
+
+
+def test_odd_rows_by_chunks(odd):
+    columns = ["doc_id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    ways = [Q.judge(odd, shipped=n) for n in (Q.SHIPPED, 0)]
+    assert ways[0].columns == ways[1].columns
+    rows = [sorted(w.select(*columns, F.round("perplexity", 4).alias("p")).collect(), key=str) for w in ways]
+    assert rows[0] == rows[1] and len(rows[0]) == 9
+    assert Q.judge(odd.limit(0), shipped=-1).count() == 0
+
+
+def test_chunks_and_slices(spark, make):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["abc", "bcd", "Cde", "#"]) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    docs = make([(i, t, rng.choice(["xx", None, "yy"]), "s") for i, t in enumerate(texts)]).repartition(3)
+    assert [list(r) for r in Q._slices([3, 9, 1, 1, 0, 5], 4)] == [[0], [1], [2, 3, 4], [5]] and not list(Q._slices([]))
+    parts = docs.select("doc_id", "lang", "text")
+    _, whole = Q.chunks(parts, [], order=3)
+    pieces, small = Q.chunks(parts, ["doc_id"], order=3, size=100)
+    assert pieces.count() == 60 and pieces.select("chunk").distinct().count() > 20
+    assert pieces.groupBy("chunk").agg(F.count_distinct("lang").alias("n")).where("n > 1").isEmpty()
+    assert small.groupBy("chunk", "gram").count().where("count > 1").isEmpty()
+    counts = [{(r.lang, r.gram): r.n for r in g.groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()} for g in (whole, small)]
+    assert counts[0] == counts[1] and 0 in counts[0].values()
